@@ -26,12 +26,13 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float],
     ``long`` holds ``keys + [v]`` with ``v`` a non-null double. Returns
     ``keys + [q_no, p, value]``.
 
-    ``exact`` never gathers a group into one task: pass 1 takes a
-    ``percentile_approx`` bracket around each target rank (rank error at most
-    n/accuracy, the bracket is twice that wide on each side); pass 2 counts
-    the values below each bracket and groups the values inside it, so only
-    the bracket's distinct values (about 6n/accuracy at most) are ranked per
-    (group, quantile). ``approx`` returns the pass-1 estimate.
+    ``exact`` never gathers a group into one task: pass 1 takes
+    ``percentile_approx`` brackets around each target rank (sketch rank error
+    at most n/accuracy; the bracket spans at least 3 ranks plus twice that
+    error on each side); pass 2 counts the values below each bracket and
+    groups the values inside it, so only the bracket's distinct values (a few
+    n/accuracy at most) are ranked per (group, quantile). ``approx`` returns
+    the sketch estimate.
     """
     probs = list(probs)
     if method == "approx":
@@ -41,13 +42,26 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float],
             *keys, F.col("q_no").cast("int").alias("q_no"),
             F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("q_no") + 1).alias("p"),
             "value")
-    d = 2.0 / accuracy
-    edges = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
+    # Bracket half-widths (in quantile units) offered in the same pass; each
+    # group takes the narrowest that spans 3 ranks plus twice the sketch
+    # error, so the target ranks always fall inside. The widest is the whole
+    # range (tiny groups).
+    widths = [2.0 / accuracy, 1e-4, 1e-3, 1e-2, 1e-1, 1.0]
+    edges = [x for p in probs for d in widths for x in (max(0.0, p - d), min(1.0, p + d))]
     est = long.groupBy(*keys).agg(
         F.count("v").alias("n"),
         F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_b"))
+
+    def bound(j: int, side: int) -> Column:
+        need = F.lit(3.0) / F.col("n") + F.lit(2.0 / accuracy)
+        expr = None
+        for w, d in enumerate(widths):
+            v = F.col("_b")[(j * len(widths) + w) * 2 + side]
+            expr = F.when(F.lit(d) >= need, v) if expr is None else expr.when(F.lit(d) >= need, v)
+        return expr.otherwise(F.col("_b")[(j * len(widths) + len(widths) - 1) * 2 + side])
+
     targets = est.select(*keys, "n", F.posexplode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col("_b")[2 * j].alias("lo"), F.col("_b")[2 * j + 1].alias("hi"))
+        F.struct(F.lit(p).alias("p"), bound(j, 0).alias("lo"), bound(j, 1).alias("hi"))
         for j, p in enumerate(probs)])).alias("q_no", "t")).select(
         *keys, "n", F.col("q_no").cast("int").alias("q_no"), "t.*")
     h = (F.col("n") - 1) * F.col("p")
