@@ -17,11 +17,12 @@ def cut_label(c: Column, n: int = 20) -> Column:
 
 
 def money_label(v: Column) -> Column:
-    """``$1.2M`` / ``$3K`` / ``$9`` (Java formatting rounds half-up)."""
+    """``$1.2M`` / ``$3K`` / ``$9``; ties round to even first, as the
+    reference's formatting does (Java's would round them up)."""
     return (
-        F.when(v >= 1_000_000, F.format_string("$%.1fM", v / 1_000_000))
-        .when(v >= 1_000, F.format_string("$%.0fK", v / 1_000))
-        .otherwise(F.format_string("$%.0f", v))
+        F.when(v >= 1_000_000, F.format_string("$%.1fM", F.bround(v / 1_000_000, 1)))
+        .when(v >= 1_000, F.format_string("$%.0fK", F.bround(v / 1_000, 0)))
+        .otherwise(F.format_string("$%.0f", F.bround(v, 0)))
     )
 
 
