@@ -297,8 +297,17 @@ def check_outliers(df: DataFrame, dataset: str = "data", method: str = "exact")
 
 
 def run_checks(df: DataFrame, prof: DataFrame, dataset: str = "data",
-               method: str = "exact") -> DataFrame:
-    """Q13: all twelve status rows in run order."""
+               method: str = "exact", persist: bool = True) -> DataFrame:
+    """Q13: all twelve status rows in run order.
+
+    Nine checks read the profile; with ``persist`` it is first written to
+    the shared checkpoint folder once, so the table is scanned for it once
+    (and a lost executor does not trigger a rescan).
+    """
+    if persist:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        prof = prof.checkpoint(eager=True)
     parts = [
         check_missing(prof), check_dup_rows(df, dataset), check_dup_cols(df, dataset),
         check_zero_variance(prof), check_sparse(prof), check_date_integrity(prof),

@@ -20,7 +20,7 @@ TOP_CATEGORIES = 20
 
 
 def quantiles(long: DataFrame, keys: list[str], probs: list[float],
-              method: str = "exact", accuracy: int = 100_000) -> DataFrame:
+              method: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """Linear-interpolated quantiles of ``v`` per ``keys`` group.
 
     ``long`` holds ``keys + [v]`` with ``v`` a non-null double. Returns
@@ -31,8 +31,9 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float],
     at most n/accuracy; the bracket spans at least 3 ranks plus twice that
     error on each side); pass 2 counts the values below each bracket and
     groups the values inside it, so only the bracket's distinct values (a few
-    n/accuracy at most) are ranked per (group, quantile). ``approx`` returns
-    the sketch estimate.
+    n/accuracy at most) are ranked per (group, quantile); raise ``accuracy``
+    for columns of many billions of distinct values. ``approx`` returns the
+    sketch estimate.
     """
     probs = list(probs)
     if method == "approx":

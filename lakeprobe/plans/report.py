@@ -53,7 +53,7 @@ def assess(tables: dict[str, DataFrame], as_of=None, method: str = "exact",
         if persist:
             prof = materialise(prof)
         profiles.append(prof)
-        statuses.append(Q.run_checks(df, prof, name, method))
+        statuses.append(Q.run_checks(df, prof, name, method, persist=False))
         claims.append(claims_summary(df, name, method))
     catalog = union_all(profiles)
     status = union_all(statuses)

@@ -19,17 +19,30 @@ NULL_TOKENS = (
 FORMATS = {".parquet": "parquet", ".csv": "csv"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least as many partitions as the cluster has cores.
-
-    A lake scan of many row groups is already wide and is left alone; a small
-    input held in one row group (one task) is spread round-robin so that the
-    per-row work of the profile runs on every core.
+def _input_bytes(df: DataFrame) -> int:
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
+    """Give a narrow scan as many partitions as the cluster has cores.
+
+    A lake scan of many row groups is already wide and is left alone (only
+    the partition count is read). A scan with fewer partitions than cores
+    (one big row group is one task) and at least ``min_bytes`` of input is
+    spread round-robin, so the per-row work of the profile uses every core.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    if _input_bytes(df) < min_bytes:
+        return df
+    return df.repartition(par)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -102,12 +115,13 @@ def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
         if fmt is None:
             raise ValueError(f"Unsupported file extension: {ext or '(none)'}")
     if fmt == "parquet":
-        return read_parquet(spark, path)
+        return spread(read_parquet(spark, path))
     if fmt == "csv":
         return read_csv(spark, path)
     raise ValueError(f"Unsupported format: {fmt}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables under ``sf_dir``."""
-    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the test tables under ``sf_dir`` (spread when it is one big
+    row group)."""
+    return spread(read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet"))
