@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference profiles one uploaded file at a time and has no stream,
+watermark, window or state. Nothing is built here; a stream of files can be
+profiled per micro-batch by calling ``lakeprobe.plans.report.report`` from a
+user's own ``foreachBatch``.
+"""
