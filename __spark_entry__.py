@@ -56,8 +56,17 @@ def _profile(spark, sf, name):
     return profile(dataset(spark, sf, name), name, as_of=AS_OF)
 
 
+_CATALOG_CACHE: dict = {}
+
+
 def _catalog(spark, sf, names):
-    return union_all([_profile(spark, sf, n) for n in names])
+    """Profiles of ``names``, written once to the checkpoint folder and shared
+    by the catalog keys of one session."""
+    key = (id(spark), sf, tuple(names))
+    if key not in _CATALOG_CACHE:
+        ensure_checkpoint_dir(spark)
+        _CATALOG_CACHE[key] = union_all([_profile(spark, sf, n) for n in names]).checkpoint(eager=True)
+    return _CATALOG_CACHE[key]
 
 
 def _scratch(spark) -> str:
@@ -110,8 +119,8 @@ def q_meta_shape(spark, sf):
 
 def q_sink_report_json(spark, sf):
     path = _scratch(spark)
-    r = report(dataset(spark, sf, "dirty_fx"), "dirty_fx", as_of=AS_OF, persist=False)
-    write_report({"check_status": r["check_status"], "claims": r["claims"]}, path)
+    r = report(dataset(spark, sf, "dirty_fx"), "dirty_fx", as_of=AS_OF, persist=True)
+    write_report(r, path)
     return spark.read.json(f"{path}/check_status")
 
 

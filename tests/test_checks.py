@@ -61,3 +61,19 @@ def test_meta_on_fixture(spark):
     assert c["claiming_entities"] == 19040
     d = M.date_range(dataset(spark, SF, "dirty_fx"), "dirty_fx").first()
     assert d["date_range"] == "2024-01-01 → 2024-01-16"
+
+
+def test_report_sink_roundtrip(spark):
+    import os
+    import tempfile
+
+    from lakeprobe.plans.report import report
+    from lakeprobe.sources.sinks import write_report
+    from .conftest import SF_SMALL
+
+    r = report(dataset(spark, SF_SMALL, "dirty_fx"), "dirty_fx", as_of="2024-01-10")
+    out = tempfile.mkdtemp(prefix="lp-sink-", dir="/tmp")
+    written = write_report(r, out)
+    assert len(written) == len(r) and os.path.isdir(f"{out}/check_status")
+    back = spark.read.json(f"{out}/check_status")
+    assert back.count() == 12
