@@ -8,9 +8,12 @@ both sides so the value hash does not depend on last-bit float differences.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Callable
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
