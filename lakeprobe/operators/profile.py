@@ -145,27 +145,28 @@ def finish_profile(stats: DataFrame, dataset: str) -> DataFrame:
 
 
 def samples(df: DataFrame, order_by: str, n: int = 5, dataset: str = "data",
-            salt: int = 64) -> DataFrame:
+            salt: int = 4096) -> DataFrame:
     """C4: first ``n`` non-null values (as text) of every column, in the order
     of ``order_by``.
 
-    Two bounded window stages: top-n inside each (column, salt) slice, then
-    top-n of the ``n * salt`` survivors per column; no column's values ever
-    meet in one task.
+    Two bounded window stages: top-n inside each (column, slice), then top-n
+    of the ``n * salt`` survivors per column. Rows go to slices by a hash of
+    the whole row position, not the key, so a key value that fills a third
+    of the table is still spread evenly; any split keeps the top-n exact.
     """
     cols = [c for c in columns_of(df) if c.kind != "nested"]
     key = F.col(f"`{order_by}`")
     long = df.select(
-        key.alias("_key"),
+        key.alias("_key"), F.monotonically_increasing_id().alias("_row"),
         F.explode(F.array(*[
             F.struct(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"),
                      clean(F.col(f"`{c.name}`"), c.dtype).cast("string").alias("value"))
             for c in cols])).alias("v"),
-    ).select("_key", "v.*").where(F.col("value").isNotNull())
+    ).select("_key", "_row", "v.*").where(F.col("value").isNotNull())
     from pyspark.sql.window import Window
     w1 = Window.partitionBy("ordinal", "_salt").orderBy("_key", "value")
     w2 = Window.partitionBy("ordinal").orderBy("_key", "value")
-    stage1 = (long.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salt)))
+    stage1 = (long.withColumn("_salt", F.pmod(F.xxhash64("_row", "ordinal"), F.lit(salt)))
               .withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n))
     top = stage1.withColumn("sample_no", F.row_number().over(w2)).where(F.col("sample_no") <= n)
     return top.select(F.lit(dataset).alias("dataset"), "ordinal", "column",
