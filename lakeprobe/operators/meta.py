@@ -42,8 +42,12 @@ def meta_shape(df: DataFrame, dataset: str = "data", file_type: str | None = Non
         files = df.select(F.col("_metadata.file_path").alias("p"),
                           F.col("_metadata.file_size").alias("s")).distinct()
         size = files.agg(F.sum("s").cast("bigint").alias("bytes"))
-    else:  # not a plain file scan (a view, a join, an in-memory table)
-        size = df.sparkSession.createDataFrame([(None,)], "bytes bigint")
+    else:
+        # A view, join or repartitioned scan: sum the sizes of the files it
+        # reads from the file system listing (None for in-memory data).
+        from ..sources.readers import _input_bytes
+        total = _input_bytes(df) if df.inputFiles() else None
+        size = df.sparkSession.createDataFrame([(total,)], "bytes bigint")
     return rows.crossJoin(size).select(
         F.lit(dataset).alias("dataset"), F.col("rows").cast("bigint").alias("rows"),
         F.lit(ncols).cast("int").alias("columns"), "bytes",
