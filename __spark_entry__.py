@@ -32,6 +32,14 @@ from lakeprobe.session import ensure_checkpoint_dir
 from lakeprobe.sources.readers import read_csv, read_parquet, table
 from lakeprobe.sources.sinks import write_report
 
+try:  # the training-data operators are optional
+    import corpus_pipeline
+    from lakeprobe.llm import queries as LLM
+except ModuleNotFoundError as gone:
+    if gone.name not in ("corpus_pipeline", "lakeprobe.llm"):
+        raise
+    LLM = corpus_pipeline = None
+
 AS_OF = O.AS_OF
 ALL = O.TABLES + O.FIXTURE_NAMES
 FX = O.FIXTURE_NAMES
@@ -248,6 +256,13 @@ def _rule(key):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = _queries()
+    if LLM is not None:
+        out |= LLM.queries() | {"pipeline": corpus_pipeline.run}
+    return out
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "src_parquet_scan": q_src_parquet_scan,
         "src_csv_roundtrip": q_src_csv_roundtrip,
@@ -301,4 +316,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return O.oracle_queries()
+    out = O.oracle_queries()
+    if LLM is not None:
+        out |= LLM.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

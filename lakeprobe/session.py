@@ -35,16 +35,20 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder and set it on the context.
 
-    On a cluster that setting names a shared, reliable folder and is used as
-    is. Only when it is unset (local tests) a fresh scratch folder is taken.
+    That is the setting ``spark.checkpoint.dir``, or else the folder already set
+    on the context. Without either, a session whose master is ``local`` (driver
+    and executors are one process, as in tests) takes a fresh scratch folder; any
+    other session raises, since executors would not share a local folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lakeprobe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
