@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .licenses import op4_licenses
 from .pii import op1_pii
 from .sharding import op7_sharding
+from .tokens import op2_tokens
+from .toxicity import op5_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,9 @@ def _over(op: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": _over(op1_pii, "documents"),
+        "op2_tokens": _over(op2_tokens, "documents"),
         "op4_licenses": _over(op4_licenses, "documents"),
+        "op5_toxicity": _over(op5_toxicity, "documents", "labels"),
         "op7_sharding": _over(op7_sharding, "documents"),
     }
 
