@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_langid
 from .licenses import op4_licenses
+from .mixing import op10_mixing
 from .pii import op1_pii
 from .sharding import op7_sharding
 from .tokens import op2_tokens
@@ -28,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_licenses": _over(op4_licenses, "documents"),
         "op5_toxicity": _over(op5_toxicity, "documents", "labels"),
         "op7_sharding": _over(op7_sharding, "documents"),
+        "op9_langid": _over(op9_langid, "documents"),
+        "op10_mixing": _over(op10_mixing, "documents"),
     }
 
 
