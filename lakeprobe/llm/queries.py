@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontamination
 from .langid import op9_langid
 from .licenses import op4_licenses
 from .mixing import op10_mixing
@@ -13,6 +14,7 @@ from .pii import op1_pii
 from .sharding import op7_sharding
 from .tokens import op2_tokens
 from .toxicity import op5_toxicity
+from .vectors import op6_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tokens": _over(op2_tokens, "documents"),
         "op4_licenses": _over(op4_licenses, "documents"),
         "op5_toxicity": _over(op5_toxicity, "documents", "labels"),
+        "op6_vectors": _over(op6_vectors, "embeddings"),
         "op7_sharding": _over(op7_sharding, "documents"),
+        "op8_decontamination": _over(op8_decontamination, "documents", "benchmark"),
         "op9_langid": _over(op9_langid, "documents"),
         "op10_mixing": _over(op10_mixing, "documents"),
     }
