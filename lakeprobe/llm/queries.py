@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontamination
+from .jaccard import op3_jaccard
 from .langid import op9_langid
 from .licenses import op4_licenses
 from .mixing import op10_mixing
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": _over(op1_pii, "documents"),
         "op2_tokens": _over(op2_tokens, "documents"),
+        "op3_jaccard": _over(op3_jaccard, "documents"),
         "op4_licenses": _over(op4_licenses, "documents"),
         "op5_toxicity": _over(op5_toxicity, "documents", "labels"),
         "op6_vectors": _over(op6_vectors, "embeddings"),
