@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def bounded_rows(df: DataFrame, rows: int, seed: int = 0) -> pd.DataFrame:
+    """All of ``df``, or an even sample of about ``rows`` and never more, on the
+    driver. The rows are counted first and drawn where they lie, so that no
+    partition sends more than its share."""
+    total = df.count()
+    if total > rows:
+        df = df.filter(F.rand(seed) < rows / total)
+    return df.limit(2 * rows).toPandas().head(rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_rows
+
 HIDDEN = 8
 WINDOW = 128           # bytes; longer texts are several windows
 TRAIN_WINDOW = 48
@@ -254,10 +256,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on rows with a language that are not held out, ``rows`` of them at most
-    (the first by a hash of id and text, so any input order gives the same sample)."""
-    got = (docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-           .filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang").limit(rows).toPandas())
+    """Fit on rows with a language that are not held out, on an even sample of
+    ``rows`` if there are more."""
+    own = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    got = bounded_rows(own.filter(~held_out(F.col("doc_id"))).select("text", "lang"), rows)
     return fit(list(got["text"]), list(got["lang"]))
 
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_rows
+
 TRAIN_ROWS = 5_000     # labelled rows that the driver fits on, at most
 MIN_DOCS = 8           # texts that must hold a word before it gets a rate
 PENALTY = (3.0, 0.7)   # weights of the penalty on a rate: of words, of beginnings
@@ -125,13 +127,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on labelled rows that are not held out, ``rows`` of them at most (the
-    first by a hash of the id, so any input order gives the same sample)."""
+    """Fit on labelled rows that are not held out, on an even sample of ``rows`` if
+    there are more. A document labelled twice is toxic if one label says so."""
     y = labels.select("doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     y = y.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").orderBy(
-        F.xxhash64("doc_id", F.lit(1)), "doc_id", F.xxhash64("text")).limit(rows).toPandas()
+    ids = docs.sparkSession.createDataFrame(bounded_rows(y, rows), y.schema)  # at most ``rows``
+    got = bounded_rows(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), rows)
     return fit(list(got["text"]), list(got["toxic"]))
 
 
