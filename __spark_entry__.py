@@ -27,7 +27,8 @@ from lakeprobe.operators.rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, POLICY_
                                        POLICY_PATTERN, claims_columns, find_column)
 from lakeprobe.functions import parse_date, parse_number
 from lakeprobe.plans.fixtures import dataset
-from lakeprobe.plans.report import assess, report, union_all
+from lakeprobe.operators.scoring import features, targets
+from lakeprobe.plans.report import assess, claims_summary, report, union_all
 from lakeprobe.session import ensure_checkpoint_dir
 from lakeprobe.sources.readers import read_csv, read_parquet, table
 from lakeprobe.sources.sinks import write_report
@@ -63,41 +64,27 @@ def entry(spark: SparkSession) -> DataFrame:
 # ---------------------------------------------------------------------------
 # helpers
 
-def _profile(spark, sf, name):
-    return profile(dataset(spark, sf, name), name, as_of=AS_OF)
+def _profile(spark, sf, name, distinct=None):
+    return profile(dataset(spark, sf, name), name, distinct=distinct, as_of=AS_OF)
 
 
-_CATALOG_CACHE: dict = {}
-
-
-def _catalog(spark, sf, names):
-    """Profiles of ``names``, written once to the checkpoint folder and shared
-    by the catalog keys of one session."""
-    key = (id(spark), sf, tuple(names))
-    if key not in _CATALOG_CACHE:
-        ensure_checkpoint_dir(spark)
-        _CATALOG_CACHE[key] = union_all([_profile(spark, sf, n) for n in names]).checkpoint(eager=True)
-    return _CATALOG_CACHE[key]
+def _catalog(spark, sf, names, distinct=None):
+    """Profiles of ``names``."""
+    return union_all([_profile(spark, sf, n, distinct) for n in names])
 
 
 def _scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-_ASSESS_CACHE: dict = {}
-
-
 def _assess(spark, sf):
-    key = (id(spark), sf)
-    if key not in _ASSESS_CACHE:
-        _ASSESS_CACHE[key] = assess({n: dataset(spark, sf, n) for n in FX}, as_of=AS_OF, persist=True)
-    return _ASSESS_CACHE[key]
+    return assess({n: dataset(spark, sf, n) for n in FX}, as_of=AS_OF, persist=True)
 
 
-def _status(check: Callable, name: str = "dirty_fx", data: bool = False):
+def _status(check: Callable, name: str = "dirty_fx", data: bool = False, distinct=None):
     def q(spark, sf):
         df = dataset(spark, sf, name)
-        out = check(df, name) if data else check(profile(df, name, as_of=AS_OF))
+        out = check(df, name) if data else check(profile(df, name, distinct=distinct, as_of=AS_OF))
         return r4(out)
     return q
 
@@ -112,8 +99,10 @@ def q_src_parquet_scan(spark, sf):
 
 def q_src_csv_roundtrip(spark, sf):
     path = _scratch(spark)
-    table(spark, sf, "customer").write.option("header", True).csv(path)
-    return read_csv(spark, path)
+    odd = F.concat(F.col("c_name"), F.lit(', said "'), F.col("c_mktsegment"), F.lit('"\nand left'))
+    (table(spark, sf, "customer").withColumn("c_name", odd).withColumn("is_rich", F.col("c_acctbal") > 5000)
+     .write.option("header", True).option("escape", '"').csv(path))
+    return read_csv(spark, path, multi_line=True)
 
 
 def q_src_csv_encoding(spark, sf):
@@ -124,22 +113,23 @@ def q_src_csv_encoding(spark, sf):
 
 
 def q_meta_shape(spark, sf):
-    # the raw file scan: bytes come from its hidden _metadata column
-    return M.meta_shape(read_parquet(spark, f"{sf.rstrip('/')}/lineitem.parquet"), "lineitem", "PARQUET")
+    # the raw file scan; bytes on disk depend on the files and are tested apart
+    shape = M.meta_shape(read_parquet(spark, f"{sf.rstrip('/')}/lineitem.parquet"), "lineitem", "PARQUET")
+    return shape.select("dataset", "rows", "columns", "file_type", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 def q_sink_report_json(spark, sf):
     path = _scratch(spark)
     r = report(dataset(spark, sf, "dirty_fx"), "dirty_fx", as_of=AS_OF, persist=True)
     write_report(r, path)
-    return spark.read.json(f"{path}/check_status")
+    return r4(spark.read.json(f"{path}/check_status"))
 
 
 # ---------------------------------------------------------------------------
 # profile
 
 def q_profile_columns(spark, sf):
-    return _profile(spark, sf, "lineitem").select(
+    return _profile(spark, sf, "lineitem", "exact").select(
         "ordinal", "column", "dtype", "category", "non_null", "coverage_pct", "unique_values")
 
 
@@ -149,7 +139,7 @@ def q_profile_coverage(spark, sf):
 
 
 def q_profile_distinct(spark, sf):
-    return _profile(spark, sf, "dirty_fx").select("ordinal", "column", "unique_values")
+    return _profile(spark, sf, "dirty_fx", "exact").select("ordinal", "column", "unique_values")
 
 
 def q_profile_types(spark, sf):
@@ -165,18 +155,43 @@ def q_coverage_summary(spark, sf):
 
 
 def q_rule_category(spark, sf):
-    return _catalog(spark, sf, ALL).select("dataset", "ordinal", "column", "category")
+    """Coverage by category, next to each column's category."""
+    return r4(_catalog(spark, sf, ALL).select("dataset", "ordinal", "column", "category", "non_null", "coverage_pct"))
+
+
+def _measured(cat, picked, name, metric):
+    """The picked column of each dataset and one of its measures."""
+    m = cat.select("dataset", F.col("column").alias(name), F.col(metric).alias(f"{name.rsplit('_', 1)[0]}_{metric}"))
+    return picked.withColumnRenamed("column", name).join(m, ["dataset", name], "left")
 
 
 def q_rule_find_column(spark, sf):
     cat = _catalog(spark, sf, ALL)
-    pol = find_column(cat, POLICY_PATTERN, POLICY_EXACT).withColumnRenamed("column", "policy_column")
-    cus = find_column(cat, CUSTOMER_PATTERN, CUSTOMER_EXACT).withColumnRenamed("column", "customer_column")
+    pol = _measured(cat, find_column(cat, POLICY_PATTERN, POLICY_EXACT), "policy_column", "non_null")
+    cus = _measured(cat, find_column(cat, CUSTOMER_PATTERN, CUSTOMER_EXACT), "customer_column", "non_null")
     return cat.select("dataset").distinct().join(pol, "dataset", "left").join(cus, "dataset", "left")
 
 
 def q_rule_claims_columns(spark, sf):
-    return claims_columns(_catalog(spark, sf, ALL))
+    cat = _catalog(spark, sf, ALL)
+    out = claims_columns(cat)
+    for name in ("amount_col", "flag_col", "count_col"):
+        m = cat.select("dataset", F.col("column").alias(name), F.col("non_null").alias(f"{name.split('_')[0]}_non_null"))
+        out = out.join(m, ["dataset", name], "left")
+    return out
+
+
+def q_rule_targets(spark, sf):
+    """Targets, with the rows in which all their source columns can have values."""
+    cat = _catalog(spark, sf, FX)
+    each = targets(cat).withColumn("column", F.explode(F.split("source_columns", ",")))
+    least = each.join(cat.select("dataset", "column", "non_null"), ["dataset", "column"], "left").groupBy(
+        "dataset", "target_rank").agg(F.min("non_null").alias("usable_rows"))
+    return targets(cat).join(least, ["dataset", "target_rank"])
+
+
+def q_rule_features(spark, sf):
+    return features(_catalog(spark, sf, FX))
 
 
 # ---------------------------------------------------------------------------
@@ -200,7 +215,7 @@ def q_claims_amount_stats(spark, sf):
 
 
 def q_claims_skewness(spark, sf):
-    return r4(D.claims_amount_stats(dataset(spark, sf, "dirty_fx"), "dirty_fx").select("dataset", "n", "skewness"))
+    return r4(D.claims_moments(dataset(spark, sf, "dirty_fx"), "dirty_fx").select("dataset", "n", "skewness"))
 
 
 def q_claims_percentiles(spark, sf):
@@ -300,18 +315,24 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_outliers": _status(Q.check_outliers, data=True),
         "check_unexpected_nulls": _status(Q.check_unexpected_nulls),
         "check_mixed_types": _status(Q.check_mixed_types),
-        "check_cardinality": _status(Q.check_cardinality),
+        "check_cardinality": _status(Q.check_cardinality, distinct="text"),
         "check_negatives": _status(Q.check_negatives),
         "check_coverage": _status(Q.check_coverage),
         "check_status_all": lambda spark, sf: r4(Q.run_checks(
-            dataset(spark, sf, "dirty_fx"), _profile(spark, sf, "dirty_fx"), "dirty_fx")),
+            dataset(spark, sf, "dirty_fx"), _profile(spark, sf, "dirty_fx", "text"), "dirty_fx")),
+        "check_detail": lambda spark, sf: r4(Q.check_detail(
+            dataset(spark, sf, "dirty_fx"), _profile(spark, sf, "dirty_fx", "text"), "dirty_fx")),
+        "outlier_counts": lambda spark, sf: r4(Q.outlier_counts(dataset(spark, sf, "dirty_fx"), "dirty_fx")),
+        "date_detail": lambda spark, sf: Q.date_detail(_profile(spark, sf, "dirty_fx")),
+        "claims_summary": lambda spark, sf: r4(union_all([claims_summary(dataset(spark, sf, n), n) for n in FX[:2]])),
         "scalar_parse_date": q_scalar_parse_date,
         "scalar_parse_number": q_scalar_parse_number,
-        "rule_targets": _rule("targets"),
-        "rule_features": _rule("features"),
+        "rule_targets": q_rule_targets,
+        "rule_features": q_rule_features,
         "readiness_score": _rule("readiness"),
         "findings": _rule("findings"),
         "roadmap_steps": _rule("roadmap"),
+        "roadmap_summary": _rule("roadmap_summary"),
     }
 
 

@@ -27,22 +27,19 @@ _NUM_SHAPE = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
 # Any date layout above starts like this; one test rejects most other text.
 _ANY_DATE = r"^(\s*[+-]?\d|[A-Za-z]{3} \d)"
 
-# Dates are short; longer text is never tried (saves parsing long documents).
-_MAX_DATE_CHARS = 64
-
 
 def parse_date(c: Column) -> Column:
     """Per-value parse of text to ``timestamp_ntz``; NULL when no layout fits.
 
     ISO forms (and a bare year) go through ``try_cast``; the other layouts are
-    tried in order with ``try_to_timestamp``.
+    tried in order with ``try_to_timestamp``. Blanks around the text do not count.
     """
-    s = c.cast("string")
+    s = F.trim(c.cast("string"))
     tries = [F.when(s.rlike(_ISO_SHAPE), s.try_cast("timestamp_ntz"))]
     for f in DATE_FORMATS:
         tries.append(F.when(s.rlike(_SHAPES[f]),
                             F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz")))
-    return F.when((F.length(s) <= _MAX_DATE_CHARS) & s.rlike(_ANY_DATE), F.coalesce(*tries))
+    return F.when(s.rlike(_ANY_DATE), F.coalesce(*tries))
 
 
 def parse_number(c: Column) -> Column:

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.nulls import clean
 from .distributions import numeric_long, quantiles
-from .schema import columns_of
+from .schema import by_position, columns_of
 
 # Check names in run order.
 CHECK_NAMES = (
@@ -33,8 +34,6 @@ CHECK_NAMES = (
     "Overall Population Coverage",
 )
 # Limits of the checks.
-MAX_DATE_COLUMNS = 5
-MAX_OUTLIER_COLUMNS = 20
 IQR_FACTOR = 3
 KEY_CATEGORIES = ("Identifiers", "Dates", "Exposure")
 POSITIVE_CATEGORIES = ("Claims", "Exposure", "Premium")
@@ -45,6 +44,13 @@ STATUS_SCHEMA = ("dataset string, check_no int, check string, status string, "
 
 def _status(df: DataFrame, no: int, status: Column, value: Column, flagged: Column,
             detail: Column) -> DataFrame:
+    """Status rows of a check. A table without rows (``rows`` is 0) fails with a
+    NULL value; ``df`` without ``rows`` has its own rule."""
+    if "rows" in df.columns:
+        none = F.col("rows") == 0
+        status = F.when(none, F.lit("fail")).otherwise(status)
+        value = F.when(~none, value)
+        flagged, detail = F.when(none, F.lit(0)).otherwise(flagged), F.when(none, F.lit("")).otherwise(detail)
     return df.select(
         "dataset", F.lit(no).cast("int").alias("check_no"),
         F.lit(CHECK_NAMES[no - 1]).alias("check"), status.alias("status"),
@@ -57,7 +63,7 @@ def _flag_list(cond: Column) -> Column:
 
 
 def _per_dataset(prof: DataFrame, *aggs: Column) -> DataFrame:
-    return prof.groupBy("dataset").agg(*aggs)
+    return prof.groupBy("dataset").agg(*aggs, F.max("rows").alias("rows"))
 
 
 def check_missing(prof: DataFrame) -> DataFrame:
@@ -72,9 +78,13 @@ def check_missing(prof: DataFrame) -> DataFrame:
     return _status(g, 1, st, v, F.col("f"), F.col("d"))
 
 
+def zero_variance() -> Column:
+    return F.col("kind").isin("numeric", "string") & F.col("constant")
+
+
 def check_zero_variance(prof: DataFrame) -> DataFrame:
     """Q4: numeric and text columns with at most one distinct value."""
-    cond = F.col("kind").isin("numeric", "string") & (F.col("unique_values") <= 1)
+    cond = zero_variance()
     g = _per_dataset(prof, F.count_if(cond).alias("f"), _flag_list(cond).alias("d"))
     return _status(g, 4, F.when(F.col("f") == 0, "pass").otherwise("warn"),
                    F.col("f"), F.col("f"), F.col("d"))
@@ -83,31 +93,30 @@ def check_zero_variance(prof: DataFrame) -> DataFrame:
 def check_sparse(prof: DataFrame) -> DataFrame:
     """Q5: columns under 30 % populated; none pass, <5 warn, else fail."""
     cond = F.col("coverage") < 0.30
-    g = _per_dataset(prof, F.count_if(cond).alias("f"), _flag_list(cond).alias("d"),
-                     F.max("rows").alias("rows"))
+    g = _per_dataset(prof, F.count_if(cond).alias("f"), _flag_list(cond).alias("d"))
     f = F.col("f")
-    st = (F.when(F.col("rows") == 0, "fail").when(f == 0, "pass")
-          .when(f < 5, "warn").otherwise("fail"))
+    st = F.when(f == 0, "pass").when(f < 5, "warn").otherwise("fail")
     return _status(g, 5, st, f, f, F.col("d"))
 
 
-def date_columns(prof: DataFrame) -> DataFrame:
-    """Q6 columns: the first five whose category or type names a date."""
-    from pyspark.sql.window import Window
-    cond = (F.lower("category").contains("date") | F.lower("dtype").contains("date"))
+def date_columns(prof: DataFrame, limit: int | None = None) -> DataFrame:
+    """Q6 columns: those whose category or type names a date, all of them or the
+    first ``limit``."""
+    cond = F.lower("category").contains("date") | F.lower("dtype").contains("date")
+    if limit is None:
+        return prof.where(cond)
     w = Window.partitionBy("dataset").orderBy("ordinal")
-    return prof.where(cond).withColumn("_n", F.row_number().over(w)).where(
-        F.col("_n") <= MAX_DATE_COLUMNS).drop("_n")
+    return prof.where(cond).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
-def check_date_integrity(prof: DataFrame) -> DataFrame:
+def check_date_integrity(prof: DataFrame, limit: int | None = None) -> DataFrame:
     """Q6: nulls, unparseable and future values in date columns."""
-    dc = date_columns(prof).withColumn("null_dates", F.col("rows") - F.col("non_null"))
+    dc = date_columns(prof, limit).withColumn("null_dates", F.col("rows") - F.col("non_null"))
     issue = (F.col("null_dates") + F.col("bad_dates") > 0) | (F.col("future_dates") > 0)
     g = dc.groupBy("dataset").agg(
         F.sum(F.col("null_dates") + F.col("bad_dates")).alias("v"),
         F.count_if(issue).alias("f"), _flag_list(issue).alias("d"))
-    full = prof.select("dataset").distinct().join(g, "dataset", "left")
+    full = prof.groupBy("dataset").agg(F.max("rows").alias("rows")).join(g, "dataset", "left")
     f = F.coalesce(F.col("f"), F.lit(0))
     return _status(full, 6, F.when(f == 0, "pass").otherwise("warn"),
                    F.coalesce(F.col("v"), F.lit(0)), f, F.coalesce(F.col("d"), F.lit("")))
@@ -130,28 +139,40 @@ def check_unexpected_nulls(prof: DataFrame) -> DataFrame:
                    F.col("f"), F.col("f"), F.col("d"))
 
 
+def mixed_types() -> Column:
+    return ((F.col("kind") == "string") & (F.col("num_parsed") > 0)
+            & (F.col("num_parsed") < F.col("non_null") * 0.9))
+
+
 def check_mixed_types(prof: DataFrame) -> DataFrame:
     """Q9: text columns where some but under 90 % of values are numbers."""
-    cond = ((F.col("kind") == "string") & (F.col("num_parsed") > 0)
-            & (F.col("num_parsed") < F.col("non_null") * 0.9))
+    cond = mixed_types()
     g = _per_dataset(prof, F.count_if(cond).alias("f"), _flag_list(cond).alias("d"))
     return _status(g, 9, F.when(F.col("f") == 0, "pass").otherwise("warn"),
                    F.col("f"), F.col("f"), F.col("d"))
 
 
+def high_cardinality() -> Column:
+    return ((F.col("dtype") == "object") & (F.col("category") != "Identifiers")
+            & (F.col("unique_values") > 100))
+
+
 def check_cardinality(prof: DataFrame) -> DataFrame:
     """Q10: text (``object``) columns, not identifiers, over 100 values."""
-    cond = ((F.col("dtype") == "object") & (F.col("category") != "Identifiers")
-            & (F.col("unique_values") > 100))
+    cond = high_cardinality()
     g = _per_dataset(prof, F.count_if(cond).alias("f"), _flag_list(cond).alias("d"))
     return _status(g, 10, F.when(F.col("f") == 0, "pass").otherwise("warn"),
                    F.col("f"), F.col("f"), F.col("d"))
 
 
+def negative_values() -> Column:
+    return (F.col("category").isin(*POSITIVE_CATEGORIES) & (F.col("kind") == "numeric")
+            & (F.col("negatives") > 0))
+
+
 def check_negatives(prof: DataFrame) -> DataFrame:
     """Q11: negatives in numeric Claims / Exposure / Premium columns."""
-    cond = (F.col("category").isin(*POSITIVE_CATEGORIES) & (F.col("kind") == "numeric")
-            & (F.col("negatives") > 0))
+    cond = negative_values()
     g = _per_dataset(prof, F.count_if(cond).alias("f"), _flag_list(cond).alias("d"),
                      F.sum(F.when(cond, F.col("negatives"))).alias("v"))
     return _status(g, 11, F.when(F.col("f") == 0, "pass").otherwise("warn"),
@@ -172,17 +193,34 @@ def check_coverage(prof: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # Checks with their own passes over the data
 
+def plain_text(col: Column, dtype: T.DataType) -> Column:
+    """Nested values as JSON, the entries of maps sorted by key at every depth."""
+    def walk(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: walk(x, t.elementType))
+        if isinstance(t, T.StructType):
+            fields = [walk(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]
+            return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+        if isinstance(t, T.MapType):
+            return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(
+                F.to_json(F.struct(walk(e["key"], t.keyType).alias("k"))).alias("k"),
+                F.to_json(F.struct(walk(e["value"], t.valueType).alias("v"))).alias("v"))))
+        return c
+    return F.to_json(F.struct(walk(col, dtype).alias("x")))
+
+
 def _row_key(df: DataFrame) -> list[Column]:
-    """Per column, (is-null flag, value) with floats normalised (NaN kept as
-    one value, -0.0 as 0.0) and nested values as JSON, for hashing rows."""
+    """Per column of ``by_position(df)``, (is-null flag, value) with floats
+    normalised (NaN kept as one value, -0.0 as 0.0) and nested values as text."""
     parts = []
     for c in columns_of(df):
-        col = F.col(f"`{c.name}`")
+        col = F.col(c.ref)
+        null = col.isNull()
         if c.is_float:
             col = F.when(col == 0, F.lit(0.0).cast(c.dtype)).otherwise(col)
         elif c.kind == "nested":
-            col = F.to_json(col)
-        parts += [col.isNull(), col]
+            col = F.when(~null, plain_text(col, c.dtype))
+        parts += [null, col]
     return parts
 
 
@@ -195,7 +233,7 @@ def check_dup_rows(df: DataFrame, dataset: str = "data") -> DataFrame:
     table, and map-side partial aggregation folds hot rows before it.
     """
     key = _row_key(df)
-    fp = df.select(F.xxhash64(F.lit("a"), *key).alias("h1"),
+    fp = by_position(df).select(F.xxhash64(F.lit("a"), *key).alias("h1"),
                    F.xxhash64(F.lit("b"), *key).alias("h2"))
     g = fp.agg(F.count(F.lit(1)).alias("n"),
                F.count_distinct("h1", "h2").alias("u")).select(
@@ -207,9 +245,9 @@ def check_dup_rows(df: DataFrame, dataset: str = "data") -> DataFrame:
 
 
 def _text(c) -> Column:
-    col = F.col(f"`{c.name}`")
+    col = F.col(c.ref)
     if c.kind == "nested":
-        return F.to_json(col)
+        return F.when(col.isNotNull(), plain_text(col, c.dtype))
     return col.cast("string")
 
 
@@ -227,7 +265,7 @@ def dup_column_pairs(df: DataFrame) -> list[tuple[str, str]]:
         return []
     key = _row_key(df)
     r1, r2 = F.xxhash64(F.lit("r1"), *key), F.xxhash64(F.lit("r2"), *key)
-    base = df.select(*[_text(c).alias(f"c{c.ordinal}") for c in cols],
+    base = by_position(df).select(*[_text(c).alias(f"c{c.ordinal}") for c in cols],
                      r1.alias("_r1"), r2.alias("_r2"))
     aggs = []
     for c in cols:
@@ -251,32 +289,36 @@ def dup_column_pairs(df: DataFrame) -> list[tuple[str, str]]:
     return [(a.name, b.name) for i, (a, b) in enumerate(cands) if verify[f"p{i}"] == 0]
 
 
-def check_dup_cols(df: DataFrame, dataset: str = "data") -> DataFrame:
+def check_dup_cols(df: DataFrame, dataset: str = "data", pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Q3: duplicate column pairs; none pass, else warn."""
-    pairs = dup_column_pairs(df)
-    spark = df.sparkSession
+    pairs = dup_column_pairs(df) if pairs is None else pairs
     detail = ",".join(f"{a}={b}" for a, b in sorted(pairs))
-    g = spark.createDataFrame([(dataset, len(pairs), detail)], "dataset string, f bigint, d string")
+    g = df.limit(1).agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(dataset).alias("dataset"), "rows", F.lit(len(pairs)).alias("f"), F.lit(detail).alias("d"))
     return _status(g, 3, F.when(F.col("f") == 0, "pass").otherwise("warn"),
                    F.col("f"), F.col("f"), F.col("d"))
 
 
-def outlier_counts(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:
+OUTLIER_SCHEMA = "dataset string, column string, q1 double, q3 double, lo double, hi double, outliers bigint"
+
+
+def outlier_counts(df: DataFrame, dataset: str = "data", method: str = "exact",
+                   limit: int | None = None) -> DataFrame:
     """Q7 per column: quartiles, fences at 3 x IQR (exclusive) and the count
-    outside them, for the first 20 numeric columns; IQR 0 is skipped."""
-    num = [c.name for c in columns_of(df) if c.kind == "numeric"][:MAX_OUTLIER_COLUMNS]
-    schema = "dataset string, column string, q1 double, q3 double, lo double, hi double, outliers bigint"
+    outside them, for all numeric columns or the first ``limit``; IQR 0 is
+    skipped."""
+    num = [c.name for c in columns_of(df) if c.kind == "numeric"][:limit]
     if not num:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
     long = numeric_long(df, num)
-    q = quantiles(long, ["column"], [0.25, 0.75], method)
+    q = quantiles(long, ["column"], [0.25, 0.75], method, few_groups=True)
     b = q.groupBy("column").agg(
         F.max(F.when(F.col("q_no") == 0, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("q_no") == 1, F.col("value"))).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     b = b.where(iqr != 0).select("column", "q1", "q3", (F.col("q1") - IQR_FACTOR * iqr).alias("lo"),
                                  (F.col("q3") + IQR_FACTOR * iqr).alias("hi"))
-    # Fences: one row per numeric column (at most 20), joined by broadcast.
+    # Fences: one row per numeric column, joined by broadcast.
     out = long.join(F.broadcast(b), "column").groupBy("column").agg(
         F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outliers"))
     return b.join(out, "column", "left").select(
@@ -284,20 +326,59 @@ def outlier_counts(df: DataFrame, dataset: str = "data", method: str = "exact")
         F.coalesce("outliers", F.lit(0)).cast("bigint").alias("outliers"))
 
 
-def check_outliers(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:
-    """Q7: columns with outliers; none pass, <5 warn, else fail."""
-    oc = outlier_counts(df, dataset, method)
+def check_outliers(df: DataFrame, dataset: str = "data", method: str = "exact",
+                   counts: DataFrame | None = None) -> DataFrame:
+    """Q7: columns with outliers; none pass, <5 warn, else fail. ``counts`` is the
+    table's ``outlier_counts`` where it is there already."""
+    oc = outlier_counts(df, dataset, method) if counts is None else counts
     cond = F.col("outliers") > 0
-    g = df.sparkSession.createDataFrame([(dataset,)], "dataset string").join(
-        oc.groupBy("dataset").agg(F.count_if(cond).alias("f"), _flag_list(cond).alias("d"),
-                                  F.sum("outliers").alias("v")), "dataset", "left")
+    rows = df.limit(1).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(dataset).alias("dataset"), "rows")
+    g = rows.join(oc.groupBy("dataset").agg(F.count_if(cond).alias("f"), _flag_list(cond).alias("d"),
+                                            F.sum("outliers").alias("v")), "dataset", "left")
     f = F.coalesce(F.col("f"), F.lit(0))
     st = F.when(f == 0, "pass").when(f < 5, "warn").otherwise("fail")
     return _status(g, 7, st, F.coalesce(F.col("v"), F.lit(0)), f, F.coalesce(F.col("d"), F.lit("")))
 
 
-def run_checks(df: DataFrame, prof: DataFrame, dataset: str = "data",
-               method: str = "exact", persist: bool = True) -> DataFrame:
+def check_detail(df: DataFrame, prof: DataFrame, dataset: str = "data", method: str = "exact",
+                 counts: DataFrame | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """One row per flagged column and number: ``dataset, check_no, check, column,
+    metric, value``. Duplicate columns give the place of the first equal column;
+    Q2 has no columns and so no rows here."""
+    oc = outlier_counts(df, dataset, method) if counts is None else counts
+    pairs = dup_column_pairs(df) if pairs is None else pairs
+    place = {c.name: c.ordinal for c in columns_of(df)}
+    null_dates = F.col("rows") - F.col("non_null")
+    rules = [
+        (1, F.col("non_null") < F.col("rows"), {"missing": null_dates}),
+        (4, zero_variance(), {"non_null": F.col("non_null")}),
+        (5, F.col("coverage") < 0.30, {"coverage": F.col("coverage")}),
+        (8, F.col("category").isin(*KEY_CATEGORIES) & (F.col("coverage_pct") < 95), {"coverage_pct": F.col("coverage_pct")}),
+        (9, mixed_types(), {"numeric_share": F.col("num_parsed") / F.col("non_null")}),
+        (10, high_cardinality(), {"unique_values": F.col("unique_values")}),
+        (11, negative_values(), {"negatives": F.col("negatives")}),
+        (12, F.col("coverage") < 0.5, {"coverage": F.col("coverage")}),
+    ]
+
+    def rows(src: DataFrame, no: int, cond: Column, metrics: dict[str, Column]) -> DataFrame:
+        pairs_ = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()])
+        return src.where(cond).select(F.lit(dataset).alias("dataset"), F.lit(no).alias("check_no"),
+                                      F.lit(CHECK_NAMES[no - 1]).alias("check"), "column", F.inline(pairs_))
+
+    dates = date_columns(prof).where("rows > 0")
+    issue = (null_dates + F.col("bad_dates") > 0) | (F.col("future_dates") > 0)
+    out = rows(dates, 6, issue, {"null_dates": null_dates, "bad_dates": F.col("bad_dates"),
+                                 "unparseable": null_dates + F.col("bad_dates"), "future_dates": F.col("future_dates")})
+    for no, cond, metrics in rules:
+        out = out.unionByName(rows(prof.where("rows > 0"), no, cond, metrics))
+    out = out.unionByName(rows(oc, 7, F.col("outliers") > 0, {k: F.col(k) for k in ("outliers", "q1", "q3", "lo", "hi")}))
+    same = df.sparkSession.createDataFrame([(a, place[b]) for a, b in pairs], "column string, first int")
+    return out.unionByName(rows(same, 3, F.lit(True), {"equal_to_place": F.col("first")}))
+
+
+def run_checks(df: DataFrame, prof: DataFrame, dataset: str = "data", method: str = "exact",
+               persist: bool = True, counts: DataFrame | None = None,
+               pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Q13: all twelve status rows in run order.
 
     Nine checks read the profile; with ``persist`` it is first written to
@@ -309,9 +390,9 @@ def run_checks(df: DataFrame, prof: DataFrame, dataset: str = "data",
         ensure_checkpoint_dir(df.sparkSession)
         prof = prof.checkpoint(eager=True)
     parts = [
-        check_missing(prof), check_dup_rows(df, dataset), check_dup_cols(df, dataset),
+        check_missing(prof), check_dup_rows(df, dataset), check_dup_cols(df, dataset, pairs),
         check_zero_variance(prof), check_sparse(prof), check_date_integrity(prof),
-        check_outliers(df, dataset, method), check_unexpected_nulls(prof),
+        check_outliers(df, dataset, method, counts), check_unexpected_nulls(prof),
         check_mixed_types(prof), check_cardinality(prof), check_negatives(prof),
         check_coverage(prof),
     ]

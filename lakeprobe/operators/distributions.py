@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions.nulls import clean
 from ..functions.text import cut_label, money_label
 from .rules import CLAIM_TRUTH, claims_columns
-from .schema import columns_of, schema_frame
+from .schema import by_position, columns_of, schema_frame
 
 # Claim percentiles and their labels.
 CLAIM_PERCENTILES = ((0.25, "P25"), (0.50, "P50 (Median)"), (0.75, "P75"),
@@ -19,82 +19,91 @@ HIST_BINS = 20
 TOP_CATEGORIES = 20
 
 
-def quantiles(long: DataFrame, keys: list[str], probs: list[float],
-              method: str = "exact", accuracy: int = 10_000) -> DataFrame:
+SUB_BUCKETS = 4096
+
+
+def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str = "exact",
+              accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """Linear-interpolated quantiles of ``v`` per ``keys`` group.
 
     ``long`` holds ``keys + [v]`` with ``v`` a non-null double. Returns
-    ``keys + [q_no, p, value]``.
-
-    ``exact`` never gathers a group into one task: pass 1 takes
-    ``percentile_approx`` brackets around each target rank (sketch rank error
-    at most n/accuracy; the bracket spans at least 3 ranks plus twice that
-    error on each side); pass 2 counts the values below each bracket and
-    groups the values inside it, so only the bracket's distinct values (a few
-    n/accuracy at most) are ranked per (group, quantile); raise ``accuracy``
-    for columns of many billions of distinct values. ``approx`` returns the
-    sketch estimate.
+    ``keys + [q_no, p, value]``. ``few_groups`` promises that the number of groups
+    is bounded by a schema and lets the small tables of brackets be broadcast.
+
+    ``exact`` never gathers a group into one task. Pass 1 brackets each target
+    rank by ``percentile_approx`` (3 ranks and twice the sketch's error to either
+    side). Pass 2 counts the values below the brackets and in 4,096 equal steps of
+    each bracket, which finds the step that holds the rank. Pass 3 ranks the
+    grouped values of that step alone: about n / accuracy / 1,000 of them. A rank
+    outside its bracket raises an error. ``approx`` returns the sketch estimate.
     """
-    probs = list(probs)
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    ps = [float(probs[i]) for i in order]
+    at = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values]), i + 1)
     if method == "approx":
-        est = long.groupBy(*keys).agg(
-            F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
-        return est.select(*keys, F.posexplode("_q").alias("q_no", "value")).select(
-            *keys, F.col("q_no").cast("int").alias("q_no"),
-            F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("q_no") + 1).alias("p"),
-            "value")
-    # Bracket half-widths (in quantile units) offered in the same pass; each
-    # group takes the narrowest that spans 3 ranks plus twice the sketch
-    # error, so the target ranks always fall inside. The widest is the whole
-    # range (tiny groups).
-    widths = [2.0 / accuracy, 1e-4, 1e-3, 1e-2, 1e-1, 1.0]
-    edges = [x for p in probs for d in widths for x in (max(0.0, p - d), min(1.0, p + d))]
-    est = long.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_b"))
-
-    def bound(j: int, side: int) -> Column:
-        need = F.lit(3.0) / F.col("n") + F.lit(2.0 / accuracy)
-        expr = None
-        for w, d in enumerate(widths):
-            v = F.col("_b")[(j * len(widths) + w) * 2 + side]
-            expr = F.when(F.lit(d) >= need, v) if expr is None else expr.when(F.lit(d) >= need, v)
-        return expr.otherwise(F.col("_b")[(j * len(widths) + len(widths) - 1) * 2 + side])
-
-    targets = est.select(*keys, "n", F.posexplode(F.array(*[
-        F.struct(F.lit(p).alias("p"), bound(j, 0).alias("lo"), bound(j, 1).alias("hi"))
-        for j, p in enumerate(probs)])).alias("q_no", "t")).select(
-        *keys, "n", F.col("q_no").cast("int").alias("q_no"), "t.*")
-    h = (F.col("n") - 1) * F.col("p")
-    targets = (targets.withColumn("r_lo", F.floor(h)).withColumn("r_hi", F.ceil(h))
-               .withColumn("frac", h - F.floor(h)))
-    # Targets: (groups x quantiles) rows, a size fixed by the schema.
-    joined = long.join(F.broadcast(targets.select(*keys, "q_no", "lo", "hi")), list(keys))
-    side = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), 1).otherwise(0)
-    grouped = (joined.withColumn("side", side)
-               .withColumn("vb", F.when(F.col("side") == 0, F.col("v")))
-               .groupBy(*keys, "q_no", "side", "vb").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy(*keys, "q_no").orderBy("side", "vb").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = grouped.withColumn("_end", F.sum("cnt").over(w)).withColumn("_start", F.col("_end") - F.col("cnt"))
-    hit = ranked.join(targets.select(*keys, "q_no", "p", "r_lo", "r_hi", "frac"), list(keys) + ["q_no"])
-
-    def pick(r: str) -> Column:
-        inside = (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end")) & (F.col("side") == 0)
-        return F.max(F.when(inside, F.col("vb")))
-
-    picked = hit.groupBy(*keys, "q_no", "p", "frac").agg(pick("r_lo").alias("a"), pick("r_hi").alias("b"))
-    return picked.select(*keys, "q_no", "p",
-                         (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("value"))
+        est = long.groupBy(*keys).agg(F.percentile_approx("v", F.array(*map(F.lit, ps)), accuracy).alias("_q"))
+        out = est.select(*keys, F.posexplode("_q").alias("_i", "value"))
+        return out.select(*keys, at(order, F.col("_i")).alias("q_no"), at(ps, F.col("_i")).alias("p"), "value")
+    hint = F.broadcast if few_groups else (lambda d: d)
+    widths = [3.0 / accuracy, 10.0 / accuracy, 1e-2, 1e-1, 1.0]
+    edges = [x for p in ps for d in widths for x in (max(0.0, p - d), min(1.0, p + d))]
+    need = F.lit(3.0) / F.col("n") + F.lit(2.0 / accuracy)
+
+    def bound(i: int, side: int) -> Column:
+        expr = F.col("_b")[(i * len(widths) + len(widths) - 1) * 2 + side]
+        for w in range(len(widths) - 2, -1, -1):
+            expr = F.when(F.lit(widths[w]) >= need, F.col("_b")[(i * len(widths) + w) * 2 + side]).otherwise(expr)
+        return expr
+
+    q = len(ps)
+    brackets = long.groupBy(*keys).agg(
+        F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("_b"),
+    ).select(*keys, "n", F.array(*[bound(i, 0) for i in range(q)]).alias("lo"), F.array(*[bound(i, 1) for i in range(q)]).alias("hi"))
+
+    def step(i: Column) -> Column:
+        lo, hi, v = F.get(F.col("lo"), i), F.get(F.col("hi"), i), F.col("v")
+        part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * SUB_BUCKETS), F.lit(SUB_BUCKETS - 1))).otherwise(0)
+        return F.struct(i.alias("i"), F.when((v >= lo) & (v <= hi), part).cast("int").alias("b"))
+
+    each = F.sequence(F.lit(0), F.lit(q - 1))
+    inside = F.filter(F.transform(each, step), lambda x: x["b"].isNotNull())
+    placed = long.join(hint(brackets), list(keys))
+    # every value once, with the number of brackets that start above it, and once
+    # more in each bracket that holds it
+    above = F.struct(F.lit(-1).alias("i"), F.size(F.filter("lo", lambda x: x > F.col("v"))).alias("b"))
+    counts = placed.select(*keys, F.explode(F.concat(F.array(above), inside)).alias("x")).groupBy(
+        *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+    below = counts.where("i = -1").groupBy(*keys).agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("b") >= q - i, F.col("cnt"))), F.lit(0)) for i in range(q)]).alias("below"))
+    run = Window.partitionBy(*keys, "i").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = (F.col("n") - 1) * at(ps, F.col("i"))
+    steps = counts.where("i >= 0").withColumn("upto", F.sum("cnt").over(run)).join(hint(below), list(keys)).join(
+        hint(brackets.select(*keys, "n")), list(keys))
+    start = F.get("below", F.col("i")) + F.col("upto") - F.col("cnt")
+    ranks = (steps.withColumn("start", start).withColumn("r_lo", F.floor(h)).withColumn("r_hi", F.ceil(h))
+             .withColumn("frac", h - F.floor(h)))
+    holds = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("start") + F.col("cnt"))
+    hits = ranks.where(holds("r_lo") | holds("r_hi")).select(*keys, "i", "b", "start", "r_lo", "r_hi", "frac")
+    near = placed.select(*keys, "v", F.explode(inside).alias("x")).select(*keys, "v", "x.*")
+    values = near.join(hint(hits), [*keys, "i", "b"]).groupBy(
+        *keys, "i", "b", "start", "r_lo", "r_hi", "frac", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    run = Window.partitionBy(*keys, "i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("start", F.col("start") + F.sum("cnt").over(run) - F.col("cnt"))
+    pick = lambda r: F.max(F.when(holds(r), F.col("v")))
+    out = values.groupBy(*keys, "i", "frac").agg(pick("r_lo").alias("a"), pick("r_hi").alias("z"))
+    found = brackets.select(*keys, F.explode(each).alias("i")).join(out, [*keys, "i"], "left")
+    sure = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    return found.select(*keys, at(order, F.col("i")).alias("q_no"), at(ps, F.col("i")).alias("p"),
+                        (sure("a") + (sure("z") - sure("a")) * F.col("frac")).alias("value"))
 
 
 def numeric_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Unpivot chosen numeric columns to (column, v) without missing values."""
-    info = {c.name: c for c in columns_of(df)}
-    arr = F.array(*[F.struct(F.lit(c).alias("column"),
-                             clean(F.col(f"`{c}`"), info[c].dtype).cast("double").alias("v"))
-                    for c in cols])
-    return df.select(F.explode(arr).alias("_x")).select("_x.*").where(F.col("v").isNotNull())
+    infos = [c for c in columns_of(df) if c.name in cols]
+    arr = F.array(*[F.struct(F.lit(c.name).alias("column"),
+                             clean(F.col(c.ref), c.dtype).cast("double").alias("v"))
+                    for c in infos])
+    return by_position(df).select(F.explode(arr).alias("_x")).select("_x.*").where(F.col("v").isNotNull())
 
 
 # --------------------------------------------------------------------------
@@ -110,17 +119,18 @@ def claim_columns_of(df: DataFrame) -> dict:
 def claim_predicate(df: DataFrame, cols: dict) -> Column | None:
     """Which rows carry a claim (amount, else flag, else count)."""
     info = {c.name: c for c in columns_of(df)}
+    ref = lambda name: F.col("`" + name.replace("`", "``") + "`")
     if cols["amount"]:
-        x = clean(F.col(f"`{cols['amount']}`"), info[cols["amount"]].dtype)
+        x = clean(ref(cols["amount"]), info[cols["amount"]].dtype)
         return x.isNotNull() & (x > 0)
     if cols["flag"]:
-        c = F.col(f"`{cols['flag']}`")
+        c = ref(cols["flag"])
         s = F.when(c.isNull(), F.lit("nan")).otherwise(F.lower(c.cast("string")))
         if info[cols["flag"]].kind == "boolean":
             s = F.when(c.isNull(), F.lit("nan")).when(c, "true").otherwise("false")
         return s.isin(*CLAIM_TRUTH)
     if cols["count"]:
-        x = clean(F.col(f"`{cols['count']}`"), info[cols["count"]].dtype)
+        x = clean(ref(cols["count"]), info[cols["count"]].dtype)
         return x.isNotNull() & (x > 0)
     return None
 
@@ -149,24 +159,35 @@ def claim_values(df: DataFrame) -> DataFrame | None:
     return numeric_long(df.where(pred), [cols["amount"]])
 
 
-def claims_amount_stats(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:
-    """A2 + A3: mean, median, max, total and adjusted skewness of positive
-    claim amounts (skewness only when n > 3; constant values give 0)."""
+_STATS = "dataset string, n bigint, avg_claim double, max_claim double, total_paid double, skewness double"
+
+
+def claims_moments(df: DataFrame, dataset: str = "data") -> DataFrame:
+    """A2 without the median, and A3: one aggregate over positive claim amounts
+    (NULLs when there are none; skewness only when n > 3, 0 for constant values)."""
     vals = claim_values(df)
-    schema = ("dataset string, n bigint, avg_claim double, median_claim double, "
-              "max_claim double, total_paid double, skewness double")
     if vals is None:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], _STATS)
     n = F.count("v")
     adj = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
-    stats = vals.agg(
-        n.alias("n"), F.avg("v").alias("avg_claim"), F.max("v").alias("max_claim"),
-        F.sum("v").alias("total_paid"),
-        F.when(n > 3, F.coalesce(adj, F.lit(0.0))).alias("skewness"))
-    med = quantiles(vals, ["column"], [0.5], method).select(F.col("value").alias("median_claim"))
-    return stats.crossJoin(med).select(
-        F.lit(dataset).alias("dataset"), F.col("n").cast("bigint").alias("n"), "avg_claim",
-        "median_claim", "max_claim", "total_paid", "skewness")
+    return vals.agg(
+        n.cast("bigint").alias("n"), F.avg("v").alias("avg_claim"), F.max("v").alias("max_claim"),
+        F.sum("v").alias("total_paid"), F.when(n > 3, F.coalesce(adj, F.lit(0.0))).alias("skewness"),
+    ).select(F.lit(dataset).alias("dataset"), "*")
+
+
+def claims_amount_stats(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:
+    """A2 + A3: mean, median, max, total and adjusted skewness of positive claim
+    amounts; one row of NULLs when no amount is positive."""
+    stats = claims_moments(df, dataset)
+    vals = claim_values(df)
+    if vals is None:
+        return stats.withColumn("median_claim", F.lit(None).cast("double")).select(
+            "dataset", "n", "avg_claim", "median_claim", "max_claim", "total_paid", "skewness")
+    med = quantiles(vals, ["column"], [0.5], method, few_groups=True).select(
+        F.lit(dataset).alias("dataset"), F.col("value").alias("median_claim"))
+    return stats.join(F.broadcast(med), "dataset", "left").select(
+        "dataset", "n", "avg_claim", "median_claim", "max_claim", "total_paid", "skewness")
 
 
 def claims_percentiles(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:
@@ -175,7 +196,7 @@ def claims_percentiles(df: DataFrame, dataset: str = "data", method: str = "exac
     if vals is None:
         return df.sparkSession.createDataFrame([], "dataset string, q_no int, label string, p double, value double")
     labels = F.array(*[F.lit(lbl) for _, lbl in CLAIM_PERCENTILES])
-    q = quantiles(vals, ["column"], [p for p, _ in CLAIM_PERCENTILES], method)
+    q = quantiles(vals, ["column"], [p for p, _ in CLAIM_PERCENTILES], method, few_groups=True)
     return q.select(F.lit(dataset).alias("dataset"), "q_no",
                     F.element_at(labels, F.col("q_no") + 1).alias("label"), "p", "value")
 
@@ -214,9 +235,9 @@ def category_distribution(df: DataFrame, column: str, dataset: str = "data",
                           top: int = TOP_CATEGORIES) -> DataFrame:
     """Share (%) of each value among non-null rows, top ``top`` by count
     (ties by value); labels cut to 20 characters after grouping."""
-    info = {c.name: c for c in columns_of(df)}
-    x = clean(F.col(f"`{column}`"), info[column].dtype).alias("value")
-    vals = df.select(x).where(F.col("value").isNotNull())
+    info = {c.name: c for c in columns_of(df)}[column]
+    x = clean(F.col(info.ref), info.dtype).alias("value")
+    vals = by_position(df).select(x).where(F.col("value").isNotNull())
     total = vals.agg(F.count(F.lit(1)).alias("total"))
     counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     # Top-k is a bounded TakeOrderedAndProject; the total joins as one row.
@@ -245,16 +266,26 @@ def heatmap_columns(prof_rows: list) -> list[tuple[str, str]]:
     return out
 
 
-def coverage_heatmaps(df: DataFrame, prof: DataFrame, dataset: str = "data") -> DataFrame:
-    """A6 for the chosen column of each heatmap category. The profile is
-    one row per column, so reading it on the driver is schema-sized."""
+def coverage_heatmaps(df: DataFrame, prof: DataFrame, dataset: str = "data",
+                      top: int = TOP_CATEGORIES) -> DataFrame:
+    """A6 for the chosen column of each heatmap category, in one pass: the
+    columns are unpivoted and grouped by (column, value), the total comes from the
+    counts. The profile is one row per column, so reading it is schema-sized."""
     rows = prof.select("ordinal", "column", "category", "dtype").collect()
-    parts = [category_distribution(df, col, dataset).withColumn("category", F.lit(cat))
-             for cat, col in heatmap_columns(rows)]
-    if not parts:
+    chosen = heatmap_columns(rows)
+    if not chosen:
         return df.sparkSession.createDataFrame(
             [], "dataset string, column string, rank int, label string, count bigint, pct double, category string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    info = {c.name: c for c in columns_of(df)}
+    arr = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(col).alias("column"),
+                             F.col(info[col].ref).cast("string").alias("value")) for cat, col in chosen])
+    counts = by_position(df).select(F.explode(arr).alias("x")).select("x.*").where("value IS NOT NULL").groupBy(
+        "category", "column", "value").agg(F.count(F.lit(1)).alias("count"))
+    total = counts.groupBy("category").agg(F.sum("count").alias("total"))
+    w = Window.partitionBy("category").orderBy(F.col("count").desc(), F.col("value").asc())
+    ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # one total per heatmap category
+    return ranked.join(F.broadcast(total), "category").select(
+        F.lit(dataset).alias("dataset"), "column", F.col("rank").cast("int").alias("rank"),
+        cut_label(F.col("value")).alias("label"), F.col("count").cast("bigint").alias("count"),
+        F.round(F.col("count") * 100.0 / F.col("total"), 1).alias("pct"), "category")

@@ -13,7 +13,7 @@ from ..functions.text import size_label, ymd
 from .profile import _as_date
 from .rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, META_CLAIM, META_DATE,
                     POLICY_EXACT, POLICY_PATTERN, find_column, name_match)
-from .schema import columns_of, schema_frame
+from .schema import by_position, columns_of, schema_frame
 
 # Fixed value: a date column counts when over 30 % of rows parse.
 DATE_SHARE = 0.3
@@ -45,8 +45,8 @@ def meta_shape(df: DataFrame, dataset: str = "data", file_type: str | None = Non
     else:
         # A view, join or repartitioned scan: sum the sizes of the files it
         # reads from the file system listing (None for in-memory data).
-        from ..sources.readers import _input_bytes
-        total = _input_bytes(df) if df.inputFiles() else None
+        from ..sources.readers import input_bytes
+        total = input_bytes(df) if df.inputFiles() else None
         size = df.sparkSession.createDataFrame([(total,)], "bytes bigint")
     return rows.crossJoin(size).select(
         F.lit(dataset).alias("dataset"), F.col("rows").cast("bigint").alias("rows"),
@@ -70,9 +70,9 @@ def unique_entities(df: DataFrame, dataset: str = "data") -> DataFrame:
     def nd(c):
         if c is None or info[c].kind == "nested":
             return F.lit(None).cast("bigint")
-        return F.count_distinct(clean(F.col(f"`{c}`"), info[c].dtype)).cast("bigint")
+        return F.count_distinct(clean(F.col(info[c].ref), info[c].dtype)).cast("bigint")
 
-    return df.agg(nd(pol).alias("unique_policies"), nd(cus).alias("unique_customers")).select(
+    return by_position(df).agg(nd(pol).alias("unique_policies"), nd(cus).alias("unique_customers")).select(
         F.lit(dataset).alias("dataset"), F.lit(pol).cast("string").alias("policy_column"),
         F.lit(cus).cast("string").alias("customer_column"), "unique_policies", "unique_customers")
 
@@ -88,7 +88,7 @@ def claim_rate(df: DataFrame, dataset: str = "data") -> DataFrame:
     if r is None:
         return df.sparkSession.createDataFrame([(dataset, None, None, None)], schema)
     info = {c.name: c for c in cols}[r["column"]]
-    c = F.col(f"`{info.name}`")
+    c = F.col(info.ref)
     if info.kind == "numeric":
         x = clean(c, info.dtype)
         pred = x.isNotNull() & (x > 0)
@@ -98,7 +98,7 @@ def claim_rate(df: DataFrame, dataset: str = "data") -> DataFrame:
         pred = c.isNotNull() & (c != "")
     else:
         pred = c.isNotNull()
-    return df.agg(F.count_if(pred).alias("k"), F.count(F.lit(1)).alias("n")).select(
+    return by_position(df).agg(F.count_if(pred).alias("k"), F.count(F.lit(1)).alias("n")).select(
         F.lit(dataset).alias("dataset"), F.lit(info.name).alias("claim_column"),
         F.col("k").cast("bigint").alias("claiming_entities"),
         F.round(F.when(F.col("n") > 0, F.col("k") * 100.0 / F.col("n")), 2).alias("claim_rate"))
@@ -111,7 +111,7 @@ def date_range(df: DataFrame, dataset: str = "data") -> DataFrame:
     for ci in columns_of(df):
         if ci.kind == "nested" or not re.search(META_DATE, ci.name, re.I):
             continue
-        parsed, _ = _as_date(ci, F.col(f"`{ci.name}`"))
+        parsed, _ = _as_date(ci, F.col(ci.ref))
         if parsed is not None:
             cands.append((ci, parsed))
     schema = "dataset string, date_min string, date_max string, date_range string"
@@ -120,7 +120,7 @@ def date_range(df: DataFrame, dataset: str = "data") -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, (ci, p) in enumerate(cands):
         aggs += [F.count(p).alias(f"k{i}"), F.min(p).alias(f"a{i}"), F.max(p).alias(f"b{i}")]
-    g = df.agg(*aggs)
+    g = by_position(df).agg(*aggs)
     keep = lambda i: F.col(f"k{i}") > F.col("n") * DATE_SHARE
     lo = F.array_min(F.array(*[F.when(keep(i), F.col(f"a{i}")) for i in range(len(cands))]))
     hi = F.array_max(F.array(*[F.when(keep(i), F.col(f"b{i}")) for i in range(len(cands))]))

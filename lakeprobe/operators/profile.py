@@ -1,8 +1,8 @@
 """Column profile: the one shared scan (C1-C3, C5, C6, Q6 metrics).
 
-``profile(df, dataset)`` runs one aggregate over the table and returns one row
-per column. Every other check that needs only per-column counts reads this
-small result instead of scanning again.
+``profile(df, dataset)`` runs one aggregate of fixed-width counts over the table,
+without a shuffle of values, and returns one row per column. Distinct counts are
+taken apart from it, one pruned column at a time, and only where they are read.
 """
 
 from __future__ import annotations
@@ -12,22 +12,20 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.nulls import clean
 from ..functions.parse import parse_date, parse_number
 from .rules import category_expr
-from .schema import ColumnInfo, columns_of
+from .schema import ColumnInfo, by_position, columns_of
 
 # Profile rows, in order.
 PROFILE_COLUMNS = (
     "dataset", "ordinal", "column", "spark_type", "kind", "dtype", "category",
     "rows", "non_null", "coverage", "coverage_pct", "unique_values",
-    "date_parsed", "num_parsed", "negatives", "bad_dates", "future_dates",
+    "date_parsed", "num_parsed", "negatives", "bad_dates", "future_dates", "constant",
 )
 
-# Columns per aggregate; wider tables are split so generated code stays small.
-BATCH = 200
-
 _YEAR = "year"
 
 
@@ -59,65 +57,84 @@ def _as_date(ci: ColumnInfo, c: Column) -> tuple[Column | None, Column | None]:
     return None, None
 
 
-def _column_metrics(ci: ColumnInfo, distinct: str, as_of: Column) -> list[Column]:
-    c = F.col(f"`{ci.name}`")
+def _column_metrics(ci: ColumnInfo, as_of: Column) -> Column:
+    c = F.col(ci.ref)
     x = clean(c, ci.dtype)
     none = F.lit(None).cast("bigint")
-    non_null = F.count(x)
-    if ci.kind == "nested" or "map<" in ci.dtype.simpleString():
-        uniq = none
-    elif distinct == "approx":
-        uniq = F.approx_count_distinct(x, 0.05)
-    else:
-        uniq = F.count_distinct(x)
     parsed, bad = _as_date(ci, c)
-    if ci.kind == "string":
-        date_ok = F.count(parsed)
-        num_ok = F.count(parse_number(c))
-    else:
-        date_ok = num_ok = none
-    neg = F.count_if(x < 0) if ci.kind == "numeric" else none
-    if parsed is None:
-        bad_n, fut_n = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    else:
-        bad_n = F.count_if(bad).cast("bigint")
-        fut_n = F.count_if(parsed > as_of).cast("bigint")
-    return [F.struct(
-        F.lit(ci.ordinal).alias("ordinal"),
-        F.lit(ci.name).alias("column"),
-        F.lit(ci.dtype.simpleString()).alias("spark_type"),
-        F.lit(ci.kind).alias("kind"),
+    text = ci.kind == "string"
+    constant = F.lit(None).cast("boolean")
+    if ci.kind != "nested":  # at most one value: one hash
+        h = F.when(x.isNotNull(), F.xxhash64(x))
+        constant = F.coalesce(F.min(h) == F.max(h), F.lit(True))
+    counts = {
+        "non_null": F.count(x),
+        "date_parsed": F.count(parsed) if text else none,
+        "num_parsed": F.count(parse_number(c)) if text else none,
+        "negatives": F.count_if(x < 0) if ci.kind == "numeric" else none,
+        "bad_dates": F.lit(0) if parsed is None else F.count_if(bad),
+        "future_dates": F.lit(0) if parsed is None else F.count_if(parsed > as_of),
+    }
+    return F.struct(
+        F.lit(ci.ordinal).alias("ordinal"), F.lit(ci.name).alias("column"),
+        F.lit(ci.dtype.simpleString()).alias("spark_type"), F.lit(ci.kind).alias("kind"),
         F.lit(ci.label).alias("type_label"),
-        non_null.cast("bigint").alias("non_null"),
-        uniq.cast("bigint").alias("unique_values"),
-        date_ok.cast("bigint").alias("date_parsed"),
-        num_ok.cast("bigint").alias("num_parsed"),
-        neg.cast("bigint").alias("negatives"),
-        bad_n.alias("bad_dates"),
-        fut_n.alias("future_dates"),
-    )]
-
-
-def profile(df: DataFrame, dataset: str = "data", distinct: str = "exact",
-            as_of=None) -> DataFrame:
+        *[v.cast("bigint").alias(k) for k, v in counts.items()], constant.alias("constant"))
+
+
+def distinct_counts(df: DataFrame, cols: list[ColumnInfo] | None = None, method: str = "exact") -> DataFrame:
+    """``(ordinal, unique_values)`` of the non-null values of each column.
+
+    Each column is a pruned scan of its own, grouped by the value, or by two
+    64-bit hashes of it for text, so no text is shuffled and no row is copied per
+    column. Nested columns have none. ``method="approx"`` is one HyperLogLog++ pass.
+    """
+    p = by_position(df)
+    cols = [ci for ci in (columns_of(df) if cols is None else cols)
+            if ci.kind != "nested" and "map<" not in ci.dtype.simpleString()]
+    schema = "ordinal int, unique_values bigint"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    if method == "approx":
+        both = [F.struct(F.lit(ci.ordinal).alias("ordinal"),
+                         F.approx_count_distinct(clean(F.col(ci.ref), ci.dtype), 0.05).alias("unique_values")) for ci in cols]
+        return p.agg(F.array(*both).alias("m")).select(F.inline("m"))
+    out = None
+    for ci in cols:
+        x = clean(F.col(ci.ref), ci.dtype)
+        if ci.kind in ("string", "other"):
+            one = p.where(x.isNotNull()).select(F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2"))
+            count = F.count_distinct("h1", "h2")
+        else:
+            one, count = p.select(x.alias("x")), F.count_distinct("x")
+        row = one.agg(count.cast("bigint").alias("unique_values")).select(F.lit(ci.ordinal).alias("ordinal"), "unique_values")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def profile(df: DataFrame, dataset: str = "data", distinct: str | None = "exact",
+            as_of=None, batch: int = 200) -> DataFrame:
     """One row per column (see ``PROFILE_COLUMNS``).
 
-    ``distinct``: ``exact`` (``count(distinct)``, one Expand per column) or
-    ``approx`` (HyperLogLog++, 5 % relative standard deviation, no shuffle
-    of values).
+    ``distinct``: ``exact`` or ``approx`` counts the distinct values of all
+    columns, ``text`` those of text columns exactly, None of none
+    (``unique_values`` is then NULL). ``batch`` columns go into one aggregate;
+    a wider table is scanned once per batch, so generated code stays small.
     """
     cols = columns_of(df)
+    p = by_position(df)
     clock = as_of_lit(as_of)
-    parts = []
-    for start in range(0, max(len(cols), 1), BATCH):
-        batch = cols[start:start + BATCH]
-        structs = [s for ci in batch for s in _column_metrics(ci, distinct, clock)]
-        agg = df.agg(F.count(F.lit(1)).alias("rows"),
-                     F.array(*structs).alias("m") if structs else F.array().alias("m"))
-        parts.append(agg.select("rows", F.inline("m")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for start in range(0, max(len(cols), 1), batch):
+        structs = [_column_metrics(ci, clock) for ci in cols[start:start + batch]]
+        part = p.agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("m")).select("rows", F.inline("m"))
+        out = part if out is None else out.unionByName(part)
+    if distinct is None:
+        out = out.withColumn("unique_values", F.lit(None).cast("bigint"))
+    else:
+        wanted = [ci for ci in cols if distinct != "text" or ci.kind == "string"]
+        counts = distinct_counts(df, wanted, "approx" if distinct == "approx" else "exact")
+        out = out.join(counts, "ordinal", "left")
     return finish_profile(out, dataset)
 
 
@@ -140,37 +157,32 @@ def finish_profile(stats: DataFrame, dataset: str) -> DataFrame:
         coverage.alias("coverage"),
         F.round(coverage * 100, 1).alias("coverage_pct"),
         "unique_values", "date_parsed", "num_parsed", "negatives",
-        "bad_dates", "future_dates",
+        "bad_dates", "future_dates", "constant",
     )
 
 
-def samples(df: DataFrame, order_by: str, n: int = 5, dataset: str = "data",
-            salt: int = 4096) -> DataFrame:
+def samples(df: DataFrame, order_by: str, n: int = 5, dataset: str = "data") -> DataFrame:
     """C4: first ``n`` non-null values (as text) of every column, in the order
-    of ``order_by``.
+    of ``order_by``, then of the text.
 
-    Two bounded window stages: top-n inside each (column, slice), then top-n
-    of the ``n * salt`` survivors per column. Rows go to slices by a hash of
-    the whole row position, not the key, so a key value that fills a third
-    of the table is still spread evenly; any split keeps the top-n exact.
+    Each column is a scan of two columns with a bounded top-n; the few rows left
+    are numbered together.
     """
-    cols = [c for c in columns_of(df) if c.kind != "nested"]
-    key = F.col(f"`{order_by}`")
-    long = df.select(
-        key.alias("_key"), F.monotonically_increasing_id().alias("_row"),
-        F.explode(F.array(*[
-            F.struct(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"),
-                     clean(F.col(f"`{c.name}`"), c.dtype).cast("string").alias("value"))
-            for c in cols])).alias("v"),
-    ).select("_key", "_row", "v.*").where(F.col("value").isNotNull())
-    from pyspark.sql.window import Window
-    w1 = Window.partitionBy("ordinal", "_salt").orderBy("_key", "value")
-    w2 = Window.partitionBy("ordinal").orderBy("_key", "value")
-    stage1 = (long.withColumn("_salt", F.pmod(F.xxhash64("_row", "ordinal"), F.lit(salt)))
-              .withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n))
-    top = stage1.withColumn("sample_no", F.row_number().over(w2)).where(F.col("sample_no") <= n)
-    return top.select(F.lit(dataset).alias("dataset"), "ordinal", "column",
-                      F.col("sample_no").cast("int").alias("sample_no"), "value")
+    p, cols = by_position(df), columns_of(df)
+    key = F.col(cols[df.columns.index(order_by)].ref)
+    out = None
+    for c in cols:
+        if c.kind == "nested":
+            continue
+        top = p.select(key.alias("_key"), clean(F.col(c.ref), c.dtype).cast("string").alias("value")).where(
+            F.col("value").isNotNull()).orderBy("_key", "value").limit(n)
+        top = top.select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"), "_key", "value")
+        out = top if out is None else out.unionByName(top)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "dataset string, ordinal int, column string, sample_no int, value string")
+    w = Window.partitionBy("ordinal").orderBy("_key", "value")
+    return out.select(F.lit(dataset).alias("dataset"), "ordinal", "column",
+                      F.row_number().over(w).cast("int").alias("sample_no"), "value")
 
 
 def coverage_summary(prof: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ class ColumnInfo:
     kind: str      # numeric | string | boolean | temporal | nested | other
     label: str     # dtype label; strings get theirs from a parse rate later
 
+    @property
+    def ref(self) -> str:
+        """The column's name in ``by_position``."""
+        return f"c{self.ordinal}"
+
     @property
     def is_float(self) -> bool:
         return isinstance(self.dtype, (T.FloatType, T.DoubleType))
@@ -52,6 +57,12 @@ def columns_of(df: DataFrame) -> list[ColumnInfo]:
     return out
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """The same columns named by place (``c0``, ``c1``, ...), so that any names,
+    with back-quotes or equal but for case, can be worked on."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def schema_frame(spark: SparkSession, df: DataFrame, dataset: str) -> DataFrame:
     """One row per column with name facts only (a local relation, no scan)."""
     rows = [(dataset, c.ordinal, c.name, c.dtype.simpleString(), c.kind, c.label)

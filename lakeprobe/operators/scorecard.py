@@ -90,16 +90,19 @@ def readiness(facts: DataFrame) -> DataFrame:
 
 
 def _finding(facts: DataFrame, section: int, order: int, cond: Column, title: Column,
-             impact: str, confidence: int, review: bool) -> DataFrame:
+             impact: str, confidence: int, review: bool, note: Column | None = None) -> DataFrame:
     return facts.where(cond).select(
         "dataset", F.lit(SECTIONS[section]).alias("section"), F.lit(order).alias("_o"),
         title.alias("title"), F.lit(impact).alias("impact"),
-        F.lit(confidence).alias("confidence"), F.lit(review).alias("human_review"))
+        F.lit(confidence).alias("confidence"), F.lit(review).alias("human_review"),
+        (F.lit(None).cast("string") if note is None else note).alias("note"))
 
 
-def findings(facts: DataFrame, status: DataFrame) -> DataFrame:
-    """Findings in five sections; failed checks (first 5) and warned
-    checks (first 4) in run order."""
+def findings(facts: DataFrame, status: DataFrame, max_fails: int = 5, max_warns: int = 4) -> DataFrame:
+    """Findings in five sections. The quality section is a ranking: the first
+    ``max_fails`` failed and ``max_warns`` warned checks in run order (L4); all of
+    them are in the status table. ``note`` is ``low rate`` beside a claiming rate
+    under 20 %."""
     n = lambda c: F.col(c).cast("string")
     parts = [
         _finding(facts, 0, 1, F.col("n_targets") >= 2,
@@ -120,20 +123,20 @@ def findings(facts: DataFrame, status: DataFrame) -> DataFrame:
                  F.lit("No Clear Modelling Target Detected"), "High", 80, True),
         _finding(facts, 4, 1, F.col("has_claims") == 1,
                  F.concat(F.lit("Claiming Rate: "), F.coalesce(n("claiming_pct"), F.lit("?")), F.lit("%")),
-                 "Medium", 95, False),
+                 "Medium", 95, False, F.when(F.col("claiming_pct") < 20, "low rate")),
         _finding(facts, 4, 2, F.col("has_geo") == 1,
                  F.lit("Geographic Segmentation Available"), "Medium", 85, False),
     ]
     w = Window.partitionBy("dataset", "status").orderBy("check_no")
     ranked = status.where(F.col("status").isin("fail", "warn")).withColumn("_k", F.row_number().over(w))
-    fails = ranked.where((F.col("status") == "fail") & (F.col("_k") <= 5)).select(
+    fails = ranked.where((F.col("status") == "fail") & (F.col("_k") <= max_fails)).select(
         "dataset", F.lit(SECTIONS[2]).alias("section"), F.col("check_no").alias("_o"),
         F.concat(F.lit("FAIL: "), F.col("check")).alias("title"), F.lit("High").alias("impact"),
-        F.lit(95).alias("confidence"), F.lit(True).alias("human_review"))
-    warns = ranked.where((F.col("status") == "warn") & (F.col("_k") <= 4)).select(
+        F.lit(95).alias("confidence"), F.lit(True).alias("human_review"), F.lit(None).cast("string").alias("note"))
+    warns = ranked.where((F.col("status") == "warn") & (F.col("_k") <= max_warns)).select(
         "dataset", F.lit(SECTIONS[2]).alias("section"), (F.col("check_no") + 100).alias("_o"),
         F.concat(F.lit("WARNING: "), F.col("check")).alias("title"), F.lit("Medium").alias("impact"),
-        F.lit(85).alias("confidence"), F.lit(False).alias("human_review"))
+        F.lit(85).alias("confidence"), F.lit(False).alias("human_review"), F.lit(None).cast("string").alias("note"))
     out = parts[0]
     for p in parts[1:] + [fails, warns]:
         out = out.unionByName(p)
@@ -142,7 +145,7 @@ def findings(facts: DataFrame, status: DataFrame) -> DataFrame:
     return out.select(
         "dataset", sec.cast("int").alias("section_no"), "section",
         F.row_number().over(w2).cast("int").alias("item_no"), "title", "impact",
-        F.col("confidence").cast("int").alias("confidence"), "human_review")
+        F.col("confidence").cast("int").alias("confidence"), "human_review", "note")
 
 
 def roadmap(facts: DataFrame) -> DataFrame:

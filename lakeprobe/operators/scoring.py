@@ -132,7 +132,7 @@ def features(catalog: DataFrame) -> DataFrame:
         F.when(cat == "Identifiers", cls("Low Value", 95))
         .when(cat == "Potential Leakage", cls("Potential Leakage", 85))
         .when(cov < LOW_COVERAGE, cls("Low Value", 90))
-        .when(F.col("unique_values") <= 1, cls("Low Value", 98))
+        .when(F.col("constant"), cls("Low Value", 98))
         .when(name_match(c, LEAKAGE), cls("Potential Leakage", 75))
         .when(name_match(c, SUSPICIOUS), cls("Suspicious", 70))
         .when(name_match(c, HIGH_VALUE) | cat.isin(*HIGH_VALUE_CATEGORIES), cls("High Value", high_conf))

@@ -31,8 +31,8 @@ SELECT event_id, ts AS event_date, user_id AS customer_id, event_type AS channel
   'k' AS const_txt,
   CASE WHEN event_id % 20 = 0 THEN 'not a date' ELSE substr(CAST(ts AS STRING), 1, 10) END AS renewal_date,
   value - 10 AS net_premium
-FROM {events} WHERE event_id < 5000"""
-DIRTY_FX = _DIRTY_ARM + "\nUNION ALL" + _DIRTY_ARM + " AND event_id % 50 = 0\n"
+FROM {events}"""
+DIRTY_FX = _DIRTY_ARM + "\nUNION ALL" + _DIRTY_ARM + " WHERE event_id % 50 = 0\n"
 
 LABELLED_FX = """
 SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality AS quality_label, l.toxic AS toxic_flag

@@ -43,46 +43,52 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def assess(tables: dict[str, DataFrame], as_of=None, method: str = "exact",
-           distinct: str = "exact", persist: bool = True) -> dict[str, DataFrame]:
-    """Profile, checks and claims per table; targets, features, readiness,
-    findings and roadmap over all of them."""
-    profiles, statuses, claims = [], [], []
+def _layers(tables: dict[str, DataFrame], as_of, method: str, distinct: str | None, persist: bool) -> dict[str, DataFrame]:
+    """The data layer of every table, each pass made once: profile, outliers,
+    duplicate columns, statuses and claims."""
+    keep = materialise if persist else (lambda d: d)
+    profiles, statuses, claims, outliers, details = [], [], [], [], []
     for name, df in tables.items():
-        prof = profile(df, name, distinct=distinct, as_of=as_of)
-        if persist:
-            prof = materialise(prof)
+        prof = keep(profile(df, name, distinct=distinct, as_of=as_of))
+        counts = keep(Q.outlier_counts(df, name, method))
+        pairs = Q.dup_column_pairs(df)
         profiles.append(prof)
-        statuses.append(Q.run_checks(df, prof, name, method, persist=False))
+        outliers.append(counts)
+        statuses.append(Q.run_checks(df, prof, name, method, persist=False, counts=counts, pairs=pairs))
+        details.append(Q.check_detail(df, prof, name, method, counts=counts, pairs=pairs))
         claims.append(claims_summary(df, name, method))
-    catalog = union_all(profiles)
-    status = union_all(statuses)
-    cl = union_all(claims)
-    if persist:
-        status, cl = materialise(status), materialise(cl)
+    return {"profile": union_all(profiles), "check_status": keep(union_all(statuses)), "claims": keep(union_all(claims)),
+            "outliers": union_all(outliers), "check_detail": union_all(details)}
+
+
+def assess(tables: dict[str, DataFrame], as_of=None, method: str = "exact",
+           distinct: str | None = "text", persist: bool = True) -> dict[str, DataFrame]:
+    """Profile, checks and claims per table; targets, features, readiness,
+    findings and roadmap over all of them. The rules read distinct counts of text
+    columns only, so ``distinct`` is ``text`` by default."""
+    out = _layers(tables, as_of, method, distinct, persist)
+    catalog, status, cl = out["profile"], out["check_status"], out["claims"]
     tg, ft = targets(catalog), features(catalog)
     facts = S.dataset_facts(catalog, status, cl, tg, ft)
     steps = S.roadmap(facts)
-    return {
-        "profile": catalog, "check_status": status, "claims": cl, "targets": tg,
-        "features": ft, "readiness": S.readiness(facts), "findings": S.findings(facts, status),
+    return out | {
+        "targets": tg, "features": ft, "readiness": S.readiness(facts), "findings": S.findings(facts, status),
         "roadmap": steps, "roadmap_summary": S.roadmap_summary(steps),
         "coverage": coverage_summary(catalog),
     }
 
 
 def report(df: DataFrame, dataset: str = "data", as_of=None, method: str = "exact",
-           distinct: str = "exact", persist: bool = True) -> dict[str, DataFrame]:
+           distinct: str | None = "exact", persist: bool = True, file_type: str | None = None) -> dict[str, DataFrame]:
     """The full report of one table as a dict of DataFrames."""
     out = assess({dataset: df}, as_of=as_of, method=method, distinct=distinct, persist=persist)
     prof = out["profile"]
     out.update({
-        "meta": M.meta_shape(df, dataset).join(M.unique_entities(df, dataset), "dataset")
+        "meta": M.meta_shape(df, dataset, file_type).join(M.unique_entities(df, dataset), "dataset")
         .join(M.claim_rate(df, dataset), "dataset").join(M.date_range(df, dataset), "dataset"),
         "heatmaps": D.coverage_heatmaps(df, prof, dataset),
         "claim_percentiles": D.claims_percentiles(df, dataset, method),
         "claim_histogram": D.claims_histogram(df, dataset),
-        "outliers": Q.outlier_counts(df, dataset, method),
         "date_checks": Q.date_detail(prof),
     })
     return out

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-from lakeprobe.operators.checks import CHECK_NAMES
-from lakeprobe.operators.rules import (CATEGORY_RULES, CLAIM_AMOUNT, CLAIM_COUNT, CLAIM_FLAG,
-                                       CUSTOMER_EXACT, CUSTOMER_PATTERN, LEAKAGE_OVERRIDE,
-                                       META_CLAIM, POLICY_EXACT, POLICY_PATTERN)
+import oracle_values as R
 from lakeprobe.plans.fixtures import FIXTURES, fixture_sql
+from oracle_values import (CATEGORY_RULES, CHECK_NAMES, CLAIM_AMOUNT, CLAIM_COUNT, CLAIM_FLAG,
+                           CUSTOMER_EXACT, CUSTOMER_PATTERN, HEATMAP_CATEGORIES, LEAKAGE_OVERRIDE,
+                           POLICY_EXACT, POLICY_PATTERN, ROADMAP_STEPS)
 
 AS_OF = "2024-01-10"
 
@@ -92,7 +92,8 @@ def category_sql(name: str) -> str:
 
 
 def parse_date_sql(x: str) -> str:
-    g = (f"CASE WHEN length({x}) <= 64 AND regexp_matches({x}, '^(\\s*[+-]?\\d|[A-Za-z]{{3}} \\d)') THEN "
+    x = f"trim({x})"
+    g = (f"CASE WHEN regexp_matches({x}, '^(\\s*[+-]?\\d|[A-Za-z]{{3}} \\d)') THEN "
          f"coalesce(CASE WHEN regexp_matches({x}, '^\\s*[+-]?\\d{{4}}') THEN try_cast({x} AS TIMESTAMP) END, "
          f"CASE WHEN regexp_matches({x}, '^\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}$') THEN try_strptime({x}, '%Y/%m/%d') END, "
          f"CASE WHEN regexp_matches({x}, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$') THEN coalesce(try_strptime({x}, '%m/%d/%Y'), try_strptime({x}, '%d/%m/%Y')) END, "
@@ -152,6 +153,9 @@ def status_row(no: int, status: str, value: str, inner: str) -> str:
             f"round(CAST({value} AS DOUBLE), 4) AS value, flagged, detail FROM ({inner})")
 
 
+DATE_COLUMN = "(lower(category) LIKE '%date%' OR lower(dtype) LIKE '%date%')"
+
+
 def profile_checks(p: str = "p") -> dict[int, str]:
     """Status SQL of the checks that read only the profile."""
     def pw(c: str) -> str:
@@ -160,8 +164,7 @@ def profile_checks(p: str = "p") -> dict[int, str]:
     def grouped(cond: str, extra: str = "") -> str:
         return f"SELECT dataset, {extra}{flags(cond)} FROM {p} GROUP BY dataset"
 
-    dc = (f"(SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ordinal) AS n FROM {p} "
-          f"WHERE lower(category) LIKE '%date%' OR lower(dtype) LIKE '%date%')")
+    dc = f"(SELECT * FROM {p} WHERE {DATE_COLUMN})"
     issue = "(rows - non_null + bad_dates > 0 OR future_dates > 0)"
     c4 = "kind IN ('numeric', 'string') AND unique_values <= 1"
     c8 = "category IN ('Identifiers', 'Dates', 'Exposure') AND coverage_pct < 95"
@@ -172,7 +175,7 @@ def profile_checks(p: str = "p") -> dict[int, str]:
     q6 = (f"SELECT d.dataset, coalesce(sum(rows - non_null + bad_dates), 0) AS v, "
           f"CAST(count_if({issue}) AS BIGINT) AS flagged, "
           f"coalesce(string_agg(CASE WHEN {issue} THEN \"column\" END, ',' ORDER BY \"column\"), '') AS detail "
-          f"FROM (SELECT DISTINCT dataset FROM {p}) d LEFT JOIN (SELECT * FROM {dc} WHERE n <= 5) c "
+          f"FROM (SELECT DISTINCT dataset FROM {p}) d LEFT JOIN {dc} c "
           f"ON d.dataset = c.dataset GROUP BY d.dataset")
     return {
         1: status_row(1, "CASE WHEN v < 5 THEN 'pass' WHEN v < 20 THEN 'warn' ELSE 'fail' END", "v",
@@ -215,7 +218,7 @@ def dup_cols_status(ds: str) -> str:
 
 
 def outliers_sql(ds: str) -> str:
-    num = [n for n, t in SCHEMAS[ds] if kind(t)[0] == "numeric"][:20]
+    num = [n for n, t in SCHEMAS[ds] if kind(t)[0] == "numeric"]
     arms = []
     for n in num:
         x = q(n)
@@ -241,6 +244,40 @@ def status_sql(datasets: list[str]) -> str:
     return "\nUNION ALL\n".join(arms)
 
 
+def date_detail_sql(p: str = "p") -> str:
+    return (f"SELECT dataset, ordinal, \"column\", rows - non_null AS null_dates, bad_dates, "
+            f"rows - non_null + bad_dates AS unparseable, future_dates FROM {p} WHERE {DATE_COLUMN}")
+
+
+def check_detail_sql(ds: str) -> str:
+    """One row per flagged column and number (profile CTE ``p`` in scope)."""
+    def arm(no: int, cond: str, metrics: dict[str, str], source: str = "p") -> list[str]:
+        return [f"SELECT {lit(ds)} AS dataset, {no} AS check_no, {lit(CHECK_NAMES[no - 1])} AS \"check\", \"column\", "
+                f"{lit(m)} AS metric, round(CAST({v} AS DOUBLE), 4) AS value FROM {source} WHERE {cond}" for m, v in metrics.items()]
+
+    gone = "rows - non_null"
+    arms = arm(1, f"{gone} > 0", {"missing": gone})
+    arms += arm(4, "kind IN ('numeric', 'string') AND unique_values <= 1", {"non_null": "non_null"})
+    arms += arm(5, "coverage < 0.3", {"coverage": "coverage"})
+    arms += arm(6, f"{DATE_COLUMN} AND ({gone} + bad_dates > 0 OR future_dates > 0)", {
+        "null_dates": gone, "bad_dates": "bad_dates", "unparseable": f"{gone} + bad_dates", "future_dates": "future_dates"})
+    arms += arm(7, "outliers > 0", {k: k for k in ("outliers", "q1", "q3", "lo", "hi")}, f"({outliers_sql(ds)})")
+    arms += arm(8, "category IN ('Identifiers', 'Dates', 'Exposure') AND coverage_pct < 95", {"coverage_pct": "coverage_pct"})
+    arms += arm(9, "kind = 'string' AND num_parsed > 0 AND num_parsed < non_null * 0.9", {"numeric_share": "num_parsed / non_null"})
+    arms += arm(10, "dtype = 'object' AND category <> 'Identifiers' AND unique_values > 100", {"unique_values": "unique_values"})
+    arms += arm(11, "category IN ('Claims', 'Exposure', 'Premium') AND kind = 'numeric' AND negatives > 0", {"negatives": "negatives"})
+    arms += arm(12, "coverage < 0.5", {"coverage": "coverage"})
+    cols = [n for n, _ in SCHEMAS[ds]]
+    for j, b in enumerate(cols):
+        same = [f"(SELECT count(CASE WHEN CAST({q(a)} AS VARCHAR) IS DISTINCT FROM CAST({q(b)} AS VARCHAR) THEN 1 END) FROM {src(ds)}) = 0"
+                for a in cols[:j]]
+        first = " ".join(f"WHEN {e} THEN {i}" for i, e in enumerate(same))
+        if same:
+            arms += arm(3, "place IS NOT NULL", {"equal_to_place": "place"},
+                        f"(SELECT {lit(b)} AS \"column\", CASE {first} END AS place)")
+    return "\nUNION ALL\n".join(arms)
+
+
 # --------------------------------------------------------------------------
 # claims
 
@@ -282,10 +319,6 @@ def claims_sql(ds: str) -> str | None:
 # --------------------------------------------------------------------------
 # rule layer
 
-from lakeprobe.operators import scoring as R  # noqa: E402
-from lakeprobe.operators.scorecard import ROADMAP_STEPS  # noqa: E402
-
-
 def rx(pattern: str) -> str:
     return f"regexp_matches(\"column\", {lit(pattern)}, 'i')"
 
@@ -397,17 +430,19 @@ def findings_sql(datasets: list[str]) -> str:
         ("business_observations", 1, "has_claims = 1", "'Claiming Rate: ' || coalesce(CAST(claiming_pct AS VARCHAR), '?') || '%'", "Medium", 95, "FALSE"),
         ("business_observations", 2, "has_geo = 1", "'Geographic Segmentation Available'", "Medium", 85, "FALSE"),
     ]
+    note = "CASE WHEN claiming_pct < 20 THEN 'low rate' END"
     parts = [f"SELECT dataset, '{sec}' AS section, {o} AS o, {title} AS title, '{imp}' AS impact, {conf} AS confidence, "
-             f"{rev} AS human_review FROM facts WHERE {cond}" for sec, o, cond, title, imp, conf, rev in arms]
-    parts.append("SELECT dataset, 'quality_issues', check_no, 'FAIL: ' || \"check\", 'High', 95, TRUE FROM "
+             f"{rev} AS human_review, {note if (sec, o) == ('business_observations', 1) else 'CAST(NULL AS VARCHAR)'} AS note "
+             f"FROM facts WHERE {cond}" for sec, o, cond, title, imp, conf, rev in arms]
+    parts.append("SELECT dataset, 'quality_issues', check_no, 'FAIL: ' || \"check\", 'High', 95, TRUE, NULL FROM "
                  "(SELECT * FROM s WHERE status = 'fail' QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY check_no) <= 5)")
-    parts.append("SELECT dataset, 'quality_issues', check_no + 100, 'WARNING: ' || \"check\", 'Medium', 85, FALSE FROM "
+    parts.append("SELECT dataset, 'quality_issues', check_no + 100, 'WARNING: ' || \"check\", 'Medium', 85, FALSE, NULL FROM "
                  "(SELECT * FROM s WHERE status = 'warn' QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY check_no) <= 4)")
     secs = "CASE section WHEN 'opportunities' THEN 1 WHEN 'risks' THEN 2 WHEN 'quality_issues' THEN 3 WHEN 'analytical_risks' THEN 4 ELSE 5 END"
     return facts_sql(datasets) + (
         f"SELECT dataset, CAST({secs} AS INTEGER) AS section_no, section, "
         f"CAST(row_number() OVER (PARTITION BY dataset, section ORDER BY o) AS INTEGER) AS item_no, title, impact, "
-        f"CAST(confidence AS INTEGER) AS confidence, human_review FROM ({' UNION ALL '.join(parts)})")
+        f"CAST(confidence AS INTEGER) AS confidence, human_review, note FROM ({' UNION ALL '.join(parts)})")
 
 
 def roadmap_sql(datasets: list[str]) -> str:
@@ -496,7 +531,6 @@ def _heatmap_cols(ds: str) -> list[tuple[str, str, str]]:
             cat = "Potential Leakage"
         if t == "string":
             cats.setdefault(cat, (n, t))
-    from lakeprobe.operators.distributions import HEATMAP_CATEGORIES
     return [(c, *cats[c]) for c in HEATMAP_CATEGORIES if c in cats]
 
 
@@ -522,20 +556,41 @@ def oracle_queries() -> dict[str, str]:
     wp = lambda ds, sel: with_profile(ds, sel)
     out = {
         "src_parquet_scan": "SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem",
-        "src_csv_roundtrip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+        "src_csv_roundtrip": ("SELECT c_custkey, c_name || ', said \"' || c_mktsegment || '\"' || chr(10) || 'and left' AS c_name, "
+                              "CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 5000 AS is_rich FROM customer"),
+        "src_csv_encoding": ("SELECT c_custkey, c_name || ' é' AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+                             "c_acctbal, c_mktsegment FROM customer"),
+        "meta_shape": (f"SELECT 'lineitem' AS dataset, CAST(count(*) AS BIGINT) AS rows, CAST({len(SCHEMAS['lineitem'])} AS INTEGER) AS columns, "
+                       "'PARQUET' AS file_type, TRUE AS has_bytes FROM lineitem"),
+        "sink_report_json": wp([d], f"SELECT * REPLACE (CAST(check_no AS BIGINT) AS check_no) FROM ({status_sql([d])})"),
+        "check_detail": wp([d], check_detail_sql(d)),
+        "outlier_counts": (f"SELECT {lit(d)} AS dataset, \"column\", round(q1, 4) AS q1, round(q3, 4) AS q3, round(lo, 4) AS lo, "
+                           f"round(hi, 4) AS hi, outliers FROM ({outliers_sql(d)})"),
+        "date_detail": wp([d], date_detail_sql()),
+        "claims_summary": "\nUNION ALL\n".join(
+            f"SELECT c.dataset, detected_fields, total_claims, round(claiming_pct, 4) AS claiming_pct, round(avg(v), 4) AS avg_claim, "
+            f"round(quantile_cont(v, 0.5), 4) AS median_claim, round(max(v), 4) AS max_claim, round(sum(v), 4) AS total_paid, "
+            f"any_value(skewness) AS skewness FROM ({claims_sql(n)}) c, ({_amount_vals(n)}) GROUP BY ALL" for n in FIXTURE_NAMES[:2]),
+        "roadmap_summary": (f"SELECT dataset, CAST(count(*) AS BIGINT) AS steps, CAST(count_if(priority = 'High') AS BIGINT) AS high_priority "
+                            f"FROM ({roadmap_sql(FIXTURE_NAMES)}) GROUP BY dataset"),
         "profile_columns": wp(["lineitem"], "SELECT ordinal, \"column\", dtype, category, non_null, coverage_pct, unique_values FROM p"),
         "profile_coverage": wp(["lineitem"], "SELECT ordinal, \"column\", rows, non_null, round(coverage, 4) AS coverage, round(coverage_pct, 4) AS coverage_pct FROM p"),
         "profile_distinct": wp([d], "SELECT ordinal, \"column\", unique_values FROM p"),
         "profile_types": wp(TABLES + FIXTURE_NAMES, "SELECT dataset, ordinal, \"column\", dtype FROM p"),
         "profile_samples": _samples(d, "event_id"),
         "coverage_summary": wp(TABLES + FIXTURE_NAMES, "SELECT dataset, round(avg(coverage_pct), 1) AS avg_coverage, CAST(count_if(coverage_pct >= 99) AS BIGINT) AS fully_populated, CAST(count_if(coverage_pct < 30) AS BIGINT) AS sparse_columns FROM p GROUP BY dataset"),
-        "rule_category": wp(TABLES + FIXTURE_NAMES, "SELECT dataset, ordinal, \"column\", category FROM p"),
+        "rule_category": wp(TABLES + FIXTURE_NAMES, "SELECT dataset, ordinal, \"column\", category, non_null, round(coverage_pct, 4) AS coverage_pct FROM p"),
         "rule_find_column": wp(TABLES + FIXTURE_NAMES,
-                               f"SELECT d.dataset, a.policy_column, b.customer_column FROM (SELECT DISTINCT dataset FROM p) d "
+                               f"SELECT d.dataset, a.policy_column, b.customer_column, x.non_null AS policy_non_null, y.non_null AS customer_non_null FROM (SELECT DISTINCT dataset FROM p) d "
                                f"LEFT JOIN ({_find(POLICY_PATTERN, POLICY_EXACT, 'policy_column')}) a USING (dataset) "
                                f"LEFT JOIN ({_find(CUSTOMER_PATTERN, CUSTOMER_EXACT, 'customer_column')}) b USING (dataset) "
-                               f"WHERE a.policy_column IS NOT NULL OR TRUE"),
-        "rule_claims_columns": wp(TABLES + FIXTURE_NAMES, _claims_cols_sql()),
+                               f"LEFT JOIN p x ON d.dataset = x.dataset AND a.policy_column = x.\"column\" "
+                               f"LEFT JOIN p y ON d.dataset = y.dataset AND b.customer_column = y.\"column\""),
+        "rule_claims_columns": wp(TABLES + FIXTURE_NAMES, (
+            f"SELECT c.dataset, amount_col, flag_col, count_col, a.non_null AS amount_non_null, f.non_null AS flag_non_null, "
+            f"n.non_null AS count_non_null FROM ({_claims_cols_sql()}) c "
+            + " ".join(f'LEFT JOIN p {t} ON c.dataset = {t}.dataset AND {k}_col = {t}."column"'
+                       for t, k in (("a", "amount"), ("f", "flag"), ("n", "count"))))),
         "claims_flag_amount": f"SELECT CAST(count_if(claim_amount IS NOT NULL AND claim_amount > 0) AS BIGINT) AS claims, CAST(count(*) AS BIGINT) AS rows FROM {src('policy_fx')}",
         "claims_flag_count": f"SELECT CAST(count_if(claim_count IS NOT NULL AND claim_count > 0) AS BIGINT) AS claims, CAST(count(*) AS BIGINT) AS rows FROM {src('policy_fx')}",
         "claims_flag_string": f"SELECT CAST(count_if(coalesce(lower(has_claim), 'nan') IN ('1', 'true', 'yes', 'y')) AS BIGINT) AS claims, CAST(count(*) AS BIGINT) AS rows FROM {src('policy_fx')}",
@@ -582,7 +637,9 @@ def oracle_queries() -> dict[str, str]:
         "check_status_all": wp([d], status_sql([d])),
         "scalar_parse_date": f"SELECT event_id, renewal_date, CAST({parse_date_sql('renewal_date')} AS VARCHAR) AS parsed FROM {src(d)}",
         "scalar_parse_number": f"SELECT event_id, mixed_txt, round({parse_number_sql('mixed_txt')}, 4) AS parsed FROM {src(d)}",
-        "rule_targets": facts_sql(FIXTURE_NAMES) + "SELECT * FROM targets",
+        "rule_targets": facts_sql(FIXTURE_NAMES) + (
+            "SELECT t.*, (SELECT min(non_null) FROM p WHERE p.dataset = t.dataset AND "
+            "list_contains(string_split(t.source_columns, ','), p.\"column\")) AS usable_rows FROM targets t"),
         "rule_features": facts_sql(FIXTURE_NAMES) + "SELECT * FROM features",
         "readiness_score": readiness_sql(FIXTURE_NAMES),
         "findings": findings_sql(FIXTURE_NAMES),
