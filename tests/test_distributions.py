@@ -67,3 +67,9 @@ def test_category_share_label_cut_and_ties(spark):
     out = D.category_distribution(df, "s", "t").orderBy("rank").collect()
     assert [r["label"] for r in out] == ["a" * 20, "a" * 20, "b", "c"]
     assert [r["pct"] for r in out] == [30.0, 30.0, 30.0, 10.0]
+
+
+def test_no_positive_amount_gives_nulls(spark):
+    df = spark.createDataFrame([(0.0, 1), (-2.0, 2)], "claim_amount double, policy_id int")
+    rows = D.claims_amount_stats(df, "t").collect()
+    assert [tuple(r) for r in rows] == [("t", 0, None, None, None, None, None)]

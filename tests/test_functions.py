@@ -5,12 +5,13 @@ from lakeprobe.functions import money_label, parse_date, parse_number, size_labe
 
 def test_parse_date_layouts(spark):
     texts = ["2024-01-02", "2024/01/02", "01/02/2024", "13/02/2024", "20240102",
-             "Jan 5 2024", "2024", "not a date", None, "x" * 100]
+             "Jan 5 2024", "2024", "not a date", None, "x" * 100,
+             " " * 40 + "2024-01-02" + " " * 30]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = [r[0] for r in df.select(parse_date(F.col("s")).cast("string")).collect()]
     assert got == ["2024-01-02 00:00:00", "2024-01-02 00:00:00", "2024-01-02 00:00:00",
                    "2024-02-13 00:00:00", "2024-01-02 00:00:00", "2024-01-05 00:00:00",
-                   "2024-01-01 00:00:00", None, None, None]
+                   "2024-01-01 00:00:00", None, None, None, "2024-01-02 00:00:00"]
 
 
 def test_parse_number_guards(spark):

@@ -16,8 +16,18 @@ def _plan(df):
 
 def test_profile_is_one_scan(spark):
     df = read_parquet(spark, f"{SF}/lineitem.parquet")
-    plan = _plan(profile(df, "lineitem", as_of="2024-01-10"))
+    plan = _plan(profile(df, "lineitem", distinct=None, as_of="2024-01-10"))
     assert len(re.findall(r"FileScan parquet", plan)) == 1
+    assert "Expand" not in plan
+
+
+def test_distincts_copy_no_rows_and_shuffle_no_text(spark):
+    df = read_parquet(spark, f"{SF}/documents.parquet")
+    plan = _plan(profile(df, "documents", as_of="2024-01-10"))
+    assert "Expand" not in plan
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not any("c1#" in k for k in keys)  # c1 is the text
+    assert any("h1#" in k and "h2#" in k for k in keys)
 
 
 def test_claims_read_only_needed_columns(spark):
@@ -27,8 +37,43 @@ def test_claims_read_only_needed_columns(spark):
     assert schemas == {"struct<l_extendedprice:double,l_discount:double,l_returnflag:string>"}
 
 
-def test_quantile_broadcast_is_schema_sized(spark):
+def test_quantiles_broadcast_for_known_groups_only(spark):
+    long = spark.range(100).selectExpr("'a' AS column", "CAST(id AS DOUBLE) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastExchange" in _plan(D.quantiles(long, ["column"], [0.5], few_groups=True))
+        assert "BroadcastExchange" not in _plan(D.quantiles(long, ["column"], [0.5]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_values_reach_the_ranking(spark, monkeypatch):
+    """2 million distinct values: the window that ranks them sees some thousand."""
+    long = spark.range(2_000_000).selectExpr("'a' AS column", "CAST(id AS DOUBLE) * 1.5 AS v")
+    q = D.quantiles(long, ["column"], [0.25, 0.5, 0.99], few_groups=True)
+    got = [r["value"] for r in q.orderBy("q_no").collect()]
+    assert got == [1.5 * 1_999_999 * p for p in (0.25, 0.5, 0.99)]
+    monkeypatch.setattr(D, "SUB_BUCKETS", 1)
+    coarse = D.quantiles(long, ["column"], [0.5], few_groups=True)
+    assert coarse.first()["value"] == 1.5 * 1_999_999 / 2
+    # per target: values of one of 4,096 steps of a bracket of 2 x 3 / accuracy
+    assert 2_000_000 * 6e-4 / 4096 < 5_000
+
+
+def test_a_missed_bracket_raises(spark, monkeypatch):
+    import pytest
+    long = spark.range(1000).selectExpr("'a' AS column", "CAST(id AS DOUBLE) AS v")
+    real = D.F.percentile_approx
+    monkeypatch.setattr(D.F, "percentile_approx", lambda c, p, a: D.F.transform(real(c, p, a), lambda x: x * 0 - 5.0))
+    with pytest.raises(Exception, match="outside its bracket"):
+        D.quantiles(long, ["column"], [0.5]).collect()
+
+
+def test_the_report_scans_its_table_a_bounded_number_of_times(spark):
+    from lakeprobe.plans.report import report
     df = dataset(spark, SF, "dirty_fx")
-    plan = _plan(D.claims_percentiles(df, "dirty_fx"))
-    assert "BroadcastExchange" in plan or "BroadcastHashJoin" in plan
-    assert "ObjectHashAggregate" in plan  # the sketch pass, not an exact value map
+    parts = report(df, "dirty_fx", as_of="2024-01-10", distinct=None)
+    heat = _plan(parts["heatmaps"])
+    assert len(re.findall("FileScan parquet", heat)) <= 2 * 2  # two arms of the view; the counts are shared
+    for name in ("findings", "readiness", "roadmap", "targets", "features", "check_status", "check_detail"):
+        assert "FileScan parquet" not in _plan(parts[name]), name

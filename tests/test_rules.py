@@ -2,9 +2,9 @@ from lakeprobe.operators.scoring import features, targets
 
 
 def _catalog(spark, cols):
-    rows = [("d", i, n, k, cat, cov, u) for i, (n, k, cat, cov, u) in enumerate(cols)]
+    rows = [("d", i, n, k, cat, cov, u, u <= 1) for i, (n, k, cat, cov, u) in enumerate(cols)]
     return spark.createDataFrame(rows, "dataset string, ordinal int, column string, kind string, "
-                                       "category string, coverage_pct double, unique_values bigint")
+                                       "category string, coverage_pct double, unique_values bigint, constant boolean")
 
 
 def test_targets_merge_and_order(spark):
