@@ -11,6 +11,7 @@ from .jaccard import op3_jaccard
 from .langid import op9_langid
 from .licenses import op4_licenses
 from .mixing import op10_mixing
+from .oracles import oracle_sql
 from .pii import op1_pii
 from .sharding import op7_sharding
 from .tokens import op2_tokens
@@ -18,6 +19,9 @@ from .toxicity import op5_toxicity
 from .vectors import op6_vectors
 
 
+__all__ = ["oracle_sql", "queries"]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,7 +43,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_langid": _over(op9_langid, "documents"),
         "op10_mixing": _over(op10_mixing, "documents"),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
