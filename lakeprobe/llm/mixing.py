@@ -25,7 +25,7 @@ BLOCK_BYTES = 1 << 16
 ALPHA = 0.7              # default target: bytes of the source to this power
 CYCLE = 1024             # slots of a cycle, at least; 16 per source at least
 MAX_SOURCES = 100_000    # more raise an error
-BUCKET_ROWS = 20_000     # rows of a source that one task orders
+BUCKET_ROWS = 2_000      # rows of a source that one task orders
 
 
 def cycle_units(weights: Mapping, least: int = CYCLE) -> tuple[int, dict]:
