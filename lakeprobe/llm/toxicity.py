@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,44 +54,56 @@ def _cues(sentence: str) -> set[str]:
 
 def _family(text: str) -> int:
     """A min-hash of five-word shingles: near copies mostly share it."""
-    w = text.lower().split()
+    w = text.split()
     return min((zlib.crc32(" ".join(w[i:i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0)
 
 
-def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Fit the rates. One text of each family of near copies is used, so that a
-    copied text does not pass for evidence. Without rows the model scores 0."""
+def _families(texts: list[str | None], toxic: list[int]) -> list[tuple[str, int]]:
+    """One text of each family of near copies and label."""
     seen: set[tuple[int, int]] = set()
-    ids: dict[str, int] = {}
-    tok, doc, y = [], [], []
+    out = []
     for t, label in zip(texts, toxic, strict=True):
-        t = t or ""
-        if (f := (_family(t), int(label))) in seen:
-            continue
-        seen.add(f)
-        for s in _SENTENCE.findall(t.lower()):
-            for w in _cues(s):
-                tok.append(ids.setdefault(w, len(ids)))
-                doc.append(len(y))
-        y.append(int(label))
-    if not y:
+        t = (t or "").lower()
+        if (f := (_family(t), int(label))) not in seen:
+            seen.add(f)
+            out.append((t, int(label)))
+    return out
+
+
+def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
+    """Fit the rates. One text of each family of near copies is used, so that a
+    copied text does not pass for evidence. Without rows the model scores 0.
+
+    Rare cues, nearly all of them, are put aside by a table of hashed counts before
+    any is remembered, so memory follows the cues that many texts share."""
+    rows = _families(texts, toxic)
+    if not rows:
         return ToxicityModel({}, 0.0)
-    n, labels = len(y), np.array(y, bool)
-    tok, doc = np.array(tok, np.int64), np.array(doc, np.int64)
-    held = np.unique(tok * n + doc) // n
-    often = np.bincount(held, minlength=len(ids)) >= MIN_DOCS if len(ids) else np.zeros(0, bool)
-    use = often[tok] if len(tok) else np.zeros(0, bool)
-    tok, doc = tok[use], doc[use]
-    per_cue = np.bincount(tok, minlength=len(ids)).astype(float)
+    seen = np.zeros(1 << 20, np.int32)
+    for t, _ in rows:
+        places = {hash(c) & 0xFFFFF for c in _cues(t)}
+        seen[np.fromiter(places, np.int64, len(places))] += 1
+    often = seen >= MIN_DOCS
+    ids: dict[str, int] = {}
+    cue, doc, times = array("i"), array("i"), array("i")
+    for d, (t, _) in enumerate(rows):
+        own = Counter(c for s in _SENTENCE.findall(t) for c in _cues(s) if often[hash(c) & 0xFFFFF])
+        cue.extend(ids.setdefault(c, len(ids)) for c in sorted(own))
+        doc.extend([d] * len(own))
+        times.extend(own[c] for c in sorted(own))
+    cue, doc, times = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (cue, doc, times))
+    use = (np.bincount(cue, minlength=len(ids)) >= MIN_DOCS)[cue] if len(cue) else np.zeros(0, bool)
+    cue, doc, times = cue[use], doc[use], times[use].astype("f4")
+    n, labels = len(rows), np.array([y for _, y in rows], bool)
+    per_cue = np.bincount(cue, times, minlength=len(ids))
     penalty = np.array([PENALTY[w.endswith("*")] for w in ids])
-    rate = np.full(len(ids), 0.01)
-    leak = 0.01
+    rate, leak = np.full(len(ids), 0.01), 0.01
     for _ in range(STEPS):
-        total = np.bincount(doc, rate[tok], minlength=n) + leak
+        total = np.bincount(doc, rate[cue] * times, minlength=n) + leak
         pull = np.where(labels, 1 / -np.expm1(-total), 0.0)
-        rate *= np.bincount(tok, pull[doc], minlength=len(ids)) / (per_cue + penalty)
+        rate *= np.bincount(cue, pull[doc] * times, minlength=len(ids)) / (per_cue + penalty)
         leak *= pull.sum() / n
-    kept = {w: float(rate[i]) for w, i in ids.items() if often[i] and rate[i] >= KEEP_RATE}
+    kept = {w: float(rate[i]) for w, i in ids.items() if per_cue[i] and rate[i] >= KEEP_RATE}
     return ToxicityModel(kept, float(-np.expm1(-leak)))
 
 
