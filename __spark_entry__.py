@@ -28,7 +28,7 @@ from lakeprobe.operators.rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, POLICY_
 from lakeprobe.functions import parse_date, parse_number
 from lakeprobe.plans.fixtures import dataset
 from lakeprobe.operators.scoring import features, targets
-from lakeprobe.plans.report import assess, claims_summary, report, union_all
+from lakeprobe.plans.report import assess, report, union_all
 from lakeprobe.session import ensure_checkpoint_dir
 from lakeprobe.sources.readers import read_csv, read_parquet, table
 from lakeprobe.sources.sinks import write_report
@@ -324,7 +324,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             dataset(spark, sf, "dirty_fx"), _profile(spark, sf, "dirty_fx", "text"), "dirty_fx")),
         "outlier_counts": lambda spark, sf: r4(Q.outlier_counts(dataset(spark, sf, "dirty_fx"), "dirty_fx")),
         "date_detail": lambda spark, sf: Q.date_detail(_profile(spark, sf, "dirty_fx")),
-        "claims_summary": lambda spark, sf: r4(union_all([claims_summary(dataset(spark, sf, n), n) for n in FX[:2]])),
+        "claims_summary": lambda spark, sf: r4(union_all([D.claims_summary(dataset(spark, sf, n), n) for n in FX[:2]])),
         "scalar_parse_date": q_scalar_parse_date,
         "scalar_parse_number": q_scalar_parse_number,
         "rule_targets": q_rule_targets,

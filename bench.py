@@ -16,7 +16,7 @@ from lakeprobe.operators import checks as Q  # noqa: E402
 from lakeprobe.operators import distributions as D  # noqa: E402
 from lakeprobe.operators.profile import profile  # noqa: E402
 from lakeprobe.plans.fixtures import TABLES, dataset  # noqa: E402
-from lakeprobe.plans.report import assess, claims_summary, report, union_all  # noqa: E402
+from lakeprobe.plans.report import assess, report, union_all  # noqa: E402
 from lakeprobe.session import get_session  # noqa: E402
 
 AS_OF = "2024-01-10"
@@ -38,7 +38,7 @@ def main():
         "checks_lineitem": lambda: Q.run_checks(ds("lineitem"), profile(ds("lineitem"), "lineitem", as_of=AS_OF),
                                                 "lineitem").collect(),
         "claims_policy": lambda: collect_all([
-            claims_summary(ds("policy_fx"), "policy_fx"), D.claims_percentiles(ds("policy_fx"), "policy_fx"),
+            D.claims_summary(ds("policy_fx"), "policy_fx"), D.claims_percentiles(ds("policy_fx"), "policy_fx"),
             D.claims_histogram(ds("policy_fx"), "policy_fx")]),
         "shares_lineitem": lambda: collect_all([
             D.category_distribution(ds("lineitem"), c, "lineitem") for c in ("l_quantity", "l_returnflag", "l_partkey")]),

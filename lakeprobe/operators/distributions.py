@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.nulls import clean
 from ..functions.text import cut_label, money_label
+from ..session import ensure_checkpoint_dir
 from .rules import CLAIM_TRUTH, claims_columns
 from .schema import by_position, columns_of, schema_frame
 
@@ -35,7 +36,9 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     side). Pass 2 counts the values below the brackets and in 4,096 equal steps of
     each bracket, which finds the step that holds the rank. Pass 3 ranks the
     grouped values of that step alone: about n / accuracy / 1,000 of them. A rank
-    outside its bracket raises an error. ``approx`` returns the sketch estimate.
+    outside its bracket raises an error. What passes 1 and 2 found is written to the
+    checkpoint folder at once, so ``long`` is read three times and no more.
+    ``approx`` returns the sketch estimate.
     """
     order = sorted(range(len(probs)), key=lambda i: probs[i])
     ps = [float(probs[i]) for i in order]
@@ -59,6 +62,8 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     brackets = long.groupBy(*keys).agg(
         F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("_b"),
     ).select(*keys, "n", F.array(*[bound(i, 0) for i in range(q)]).alias("lo"), F.array(*[bound(i, 1) for i in range(q)]).alias("hi"))
+    ensure_checkpoint_dir(long.sparkSession)
+    brackets = brackets.checkpoint()  # a row per group
 
     def step(i: Column) -> Column:
         lo, hi, v = F.get(F.col("lo"), i), F.get(F.col("hi"), i), F.col("v")
@@ -72,7 +77,7 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     # more in each bracket that holds it
     above = F.struct(F.lit(-1).alias("i"), F.size(F.filter("lo", lambda x: x > F.col("v"))).alias("b"))
     counts = placed.select(*keys, F.explode(F.concat(F.array(above), inside)).alias("x")).groupBy(
-        *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+        *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
     below = counts.where("i = -1").groupBy(*keys).agg(F.array(*[
         F.coalesce(F.sum(F.when(F.col("b") >= q - i, F.col("cnt"))), F.lit(0)) for i in range(q)]).alias("below"))
     run = Window.partitionBy(*keys, "i").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -162,18 +167,55 @@ def claim_values(df: DataFrame) -> DataFrame | None:
 _STATS = "dataset string, n bigint, avg_claim double, max_claim double, total_paid double, skewness double"
 
 
+def _moments(v: Column) -> list[Column]:
+    """Aggregates of A2 (but the median) and A3 over the non-null values of ``v``:
+    skewness only when n > 3, 0 for constant values."""
+    n = F.count(v)
+    adj = F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)
+    return [n.cast("bigint").alias("n"), F.avg(v).alias("avg_claim"), F.max(v).alias("max_claim"),
+            F.sum(v).alias("total_paid"), F.when(n > 3, F.coalesce(adj, F.lit(0.0))).alias("skewness")]
+
+
 def claims_moments(df: DataFrame, dataset: str = "data") -> DataFrame:
-    """A2 without the median, and A3: one aggregate over positive claim amounts
-    (NULLs when there are none; skewness only when n > 3, 0 for constant values)."""
+    """A2 without the median, and A3: one aggregate over positive claim amounts,
+    NULLs when there are none."""
     vals = claim_values(df)
     if vals is None:
         return df.sparkSession.createDataFrame([], _STATS)
-    n = F.count("v")
-    adj = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
-    return vals.agg(
-        n.cast("bigint").alias("n"), F.avg("v").alias("avg_claim"), F.max("v").alias("max_claim"),
-        F.sum("v").alias("total_paid"), F.when(n > 3, F.coalesce(adj, F.lit(0.0))).alias("skewness"),
-    ).select(F.lit(dataset).alias("dataset"), "*")
+    return vals.agg(*_moments(F.col("v"))).select(F.lit(dataset).alias("dataset"), "*")
+
+
+_SUMMARY = ("dataset string, detected_fields string, total_claims bigint, claiming_pct double, "
+            "avg_claim double, median_claim double, max_claim double, total_paid double, skewness double")
+
+
+def claims_summary(df: DataFrame, dataset: str = "data", method: str = "exact",
+                   percentiles: DataFrame | None = None) -> DataFrame:
+    """A1-A3 in one row; no row when the table has no claims columns. One
+    aggregate, and the median from ``percentiles`` (the table's
+    ``claims_percentiles``) where they are there already."""
+    cols = claim_columns_of(df)
+    pred = claim_predicate(df, cols)
+    names = [c.split(" ")[0] for c in _SUMMARY.split(", ")]
+    if pred is None:
+        return df.sparkSession.createDataFrame([], _SUMMARY)
+    detected = ",".join(sorted({c for c in cols.values() if c}))
+    v = F.lit(None).cast("double")
+    if cols["amount"]:
+        info = next(c for c in columns_of(df) if c.name == cols["amount"])
+        amount = F.col("`" + info.name.replace("`", "``") + "`")
+        v = F.when(pred, clean(amount, info.dtype).cast("double"))
+    out = df.select(pred.alias("claims"), v.alias("v")).agg(
+        F.count_if("claims").cast("bigint").alias("total_claims"), F.count(F.lit(1)).alias("rows"), *_moments(F.col("v")))
+    out = out.withColumn("claiming_pct", F.round(F.when(F.col("rows") > 0, F.col("total_claims") * 100.0 / F.col("rows")), 2))
+    out = out.select(F.lit(dataset).alias("dataset"), F.lit(detected).alias("detected_fields"), "*")
+    if cols["amount"]:
+        if percentiles is None:
+            percentiles = claims_percentiles(df, dataset, method)
+        out = out.join(F.broadcast(percentiles.where("p = 0.5").select("dataset", F.col("value").alias("median_claim"))), "dataset", "left")
+    else:
+        out = out.withColumns({"median_claim": F.lit(None).cast("double"), "skewness": F.lit(None).cast("double")})
+    return out.select(*names)
 
 
 def claims_amount_stats(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:

@@ -20,22 +20,10 @@ from ..operators.profile import coverage_summary, profile
 from ..operators.scoring import features, targets
 from ..session import ensure_checkpoint_dir
 
-CLAIMS_SCHEMA = ("dataset string, detected_fields string, total_claims bigint, claiming_pct double, "
-                 "avg_claim double, median_claim double, max_claim double, total_paid double, skewness double")
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def claims_summary(df: DataFrame, dataset: str = "data", method: str = "exact") -> DataFrame:
-    """A1-A3 in one row; no row when the table has no claims columns."""
-    rate = D.claims_rate(df, dataset)
-    stats = D.claims_amount_stats(df, dataset, method).drop("n")
-    out = rate.join(stats, "dataset", "left")
-    return out.select(*[c.split(" ")[0] for c in CLAIMS_SCHEMA.split(", ")])
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write a small result to the shared checkpoint folder and read it back,
     so later steps neither rescan the table nor lose it with an executor."""
@@ -47,7 +35,7 @@ def _layers(tables: dict[str, DataFrame], as_of, method: str, distinct: str | No
     """The data layer of every table, each pass made once: profile, outliers,
     duplicate columns, statuses and claims."""
     keep = materialise if persist else (lambda d: d)
-    profiles, statuses, claims, outliers, details = [], [], [], [], []
+    profiles, statuses, claims, outliers, details, percentiles = [], [], [], [], [], []
     for name, df in tables.items():
         prof = keep(profile(df, name, distinct=distinct, as_of=as_of))
         counts = keep(Q.outlier_counts(df, name, method))
@@ -56,9 +44,11 @@ def _layers(tables: dict[str, DataFrame], as_of, method: str, distinct: str | No
         outliers.append(counts)
         statuses.append(Q.run_checks(df, prof, name, method, persist=False, counts=counts, pairs=pairs))
         details.append(Q.check_detail(df, prof, name, method, counts=counts, pairs=pairs))
-        claims.append(claims_summary(df, name, method))
+        percentiles.append(keep(D.claims_percentiles(df, name, method)))
+        claims.append(D.claims_summary(df, name, method, percentiles[-1]))
     return {"profile": union_all(profiles), "check_status": keep(union_all(statuses)), "claims": keep(union_all(claims)),
-            "outliers": union_all(outliers), "check_detail": union_all(details)}
+            "outliers": union_all(outliers), "check_detail": union_all(details),
+            "claim_percentiles": union_all(percentiles)}
 
 
 def assess(tables: dict[str, DataFrame], as_of=None, method: str = "exact",
@@ -87,7 +77,6 @@ def report(df: DataFrame, dataset: str = "data", as_of=None, method: str = "exac
         "meta": M.meta_shape(df, dataset, file_type).join(M.unique_entities(df, dataset), "dataset")
         .join(M.claim_rate(df, dataset), "dataset").join(M.date_range(df, dataset), "dataset"),
         "heatmaps": D.coverage_heatmaps(df, prof, dataset),
-        "claim_percentiles": D.claims_percentiles(df, dataset, method),
         "claim_histogram": D.claims_histogram(df, dataset),
         "date_checks": Q.date_detail(prof),
     })
