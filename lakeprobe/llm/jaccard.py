@@ -199,7 +199,7 @@ def link_rows(rows: DataFrame, similarity: float = SIMILARITY, recall: float = R
         F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")))
     nodes = stored(sketch.drop("id").join(classes.select("node", "copies"), F.col("rid") == F.col("node")).select(
         "node", "copies", "size", "sig", "nodes"))
-    members = nodes.select("node", F.explode("nodes").alias("bucket")).distinct()
+    members = nodes.select("node", F.explode(F.array_distinct("nodes")).alias("bucket"))
     tiles = dealt(in_tiles(members, SKETCH_TILE).join(nodes.select("node", "size", "sig"), "node"))
     near = tiles.mapInPandas(_meet(similarity - SLACK, similarity), "a long, b long")
     groups = stored(components(near).withColumnRenamed("root", "bucket"))
