@@ -33,12 +33,12 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 def bounded_rows(df: DataFrame, rows: int, seed: int = 0) -> pd.DataFrame:
     """All of ``df``, or an even sample of about ``rows`` and never more, on the
-    driver. The rows are counted first and drawn where they lie, so that no
-    partition sends more than its share."""
+    driver. The rows are counted first and drawn one by one where they lie, so no
+    partition sends more than its share and the total is ``rows`` but for chance."""
     total = df.count()
     if total > rows:
         df = df.filter(F.rand(seed) < rows / total)
-    return df.limit(2 * rows).toPandas().head(rows)
+    return df.toPandas().head(rows)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
