@@ -77,17 +77,15 @@ def unique_entities(df: DataFrame, dataset: str = "data") -> DataFrame:
         F.lit(cus).cast("string").alias("customer_column"), "unique_policies", "unique_customers")
 
 
-def claim_rate(df: DataFrame, dataset: str = "data") -> DataFrame:
-    """First column named like a claim amount/count (any type); a row
-    claims when the value is > 0 (numbers), true (booleans) or non-empty
-    (text)."""
+def _claim_facts(df: DataFrame) -> tuple[str | None, list, list]:
+    """The first column named like a claim amount or count, and the aggregate
+    of its claiming rows: values > 0 (numbers), true (booleans), not empty (text)."""
     cols = columns_of(df)
     sf = schema_frame(df.sparkSession, df, "_")
-    r = sf.where(name_match(F.col("column"), META_CLAIM)).orderBy("ordinal").select("column").first()
-    schema = "dataset string, claim_column string, claiming_entities bigint, claim_rate double"
+    r = sf.where(name_match(F.col("column"), META_CLAIM)).orderBy("ordinal").select("ordinal").first()
     if r is None:
-        return df.sparkSession.createDataFrame([(dataset, None, None, None)], schema)
-    info = {c.name: c for c in cols}[r["column"]]
+        return None, [], [F.lit(None).cast("bigint").alias("claiming_entities"), F.lit(None).cast("double").alias("claim_rate")]
+    info = cols[r["ordinal"]]
     c = F.col(info.ref)
     if info.kind == "numeric":
         x = clean(c, info.dtype)
@@ -98,32 +96,60 @@ def claim_rate(df: DataFrame, dataset: str = "data") -> DataFrame:
         pred = c.isNotNull() & (c != "")
     else:
         pred = c.isNotNull()
-    return by_position(df).agg(F.count_if(pred).alias("k"), F.count(F.lit(1)).alias("n")).select(
-        F.lit(dataset).alias("dataset"), F.lit(info.name).alias("claim_column"),
-        F.col("k").cast("bigint").alias("claiming_entities"),
-        F.round(F.when(F.col("n") > 0, F.col("k") * 100.0 / F.col("n")), 2).alias("claim_rate"))
+    rate = F.round(F.when(F.col("n") > 0, F.col("k") * 100.0 / F.col("n")), 2)
+    return info.name, [F.count_if(pred).alias("k")], [F.col("k").cast("bigint").alias("claiming_entities"), rate.alias("claim_rate")]
 
 
-def date_range(df: DataFrame, dataset: str = "data") -> DataFrame:
-    """Earliest and latest date over columns named like dates whose
-    values parse in over 30 % of rows."""
+def _date_facts(df: DataFrame) -> tuple[list, list]:
+    """Aggregates and results of the earliest and latest date over columns named
+    like dates whose values parse in over 30 % of rows."""
     cands = []
     for ci in columns_of(df):
         if ci.kind == "nested" or not re.search(META_DATE, ci.name, re.I):
             continue
         parsed, _ = _as_date(ci, F.col(ci.ref))
         if parsed is not None:
-            cands.append((ci, parsed))
-    schema = "dataset string, date_min string, date_max string, date_range string"
+            cands.append(parsed)
     if not cands:
-        return df.sparkSession.createDataFrame([(dataset, None, None, None)], schema)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, (ci, p) in enumerate(cands):
-        aggs += [F.count(p).alias(f"k{i}"), F.min(p).alias(f"a{i}"), F.max(p).alias(f"b{i}")]
-    g = by_position(df).agg(*aggs)
-    keep = lambda i: F.col(f"k{i}") > F.col("n") * DATE_SHARE
-    lo = F.array_min(F.array(*[F.when(keep(i), F.col(f"a{i}")) for i in range(len(cands))]))
-    hi = F.array_max(F.array(*[F.when(keep(i), F.col(f"b{i}")) for i in range(len(cands))]))
-    return g.select(F.lit(dataset).alias("dataset"), ymd(lo).alias("date_min"), ymd(hi).alias("date_max")) \
-        .withColumn("date_range", F.when(F.col("date_min").isNotNull(),
-                                         F.concat_ws(" → ", "date_min", "date_max")))
+        none = F.lit(None).cast("string")
+        return [], [none.alias("date_min"), none.alias("date_max")]
+    aggs = [x for i, p in enumerate(cands)
+            for x in (F.count(p).alias(f"k{i}"), F.min(p).alias(f"a{i}"), F.max(p).alias(f"b{i}"))]
+    over = lambda v: F.array(*[F.when(F.col(f"k{i}") > F.col("n") * DATE_SHARE, F.col(f"{v}{i}")) for i in range(len(cands))])
+    return aggs, [ymd(F.array_min(over("a"))).alias("date_min"), ymd(F.array_max(over("b"))).alias("date_max")]
+
+
+def claims_and_dates(df: DataFrame, dataset: str = "data") -> DataFrame:
+    """A8 and A9 in one aggregate, with the rows (part of S5)."""
+    column, claim_aggs, claims = _claim_facts(df)
+    date_aggs, dates = _date_facts(df)
+    g = by_position(df).agg(F.count(F.lit(1)).alias("n"), *claim_aggs, *date_aggs)
+    out = g.select(F.lit(dataset).alias("dataset"), F.col("n").cast("bigint").alias("rows"),
+                   F.lit(column).cast("string").alias("claim_column"), *claims, *dates)
+    return out.withColumn("date_range", F.when(F.col("date_min").isNotNull(), F.concat_ws(" → ", "date_min", "date_max")))
+
+
+def claim_rate(df: DataFrame, dataset: str = "data") -> DataFrame:
+    """A8 alone."""
+    column, aggs, out = _claim_facts(df)
+    return by_position(df).agg(F.count(F.lit(1)).alias("n"), *aggs).select(
+        F.lit(dataset).alias("dataset"), F.lit(column).cast("string").alias("claim_column"), *out)
+
+
+def date_range(df: DataFrame, dataset: str = "data") -> DataFrame:
+    """A9 alone."""
+    aggs, out = _date_facts(df)
+    g = by_position(df).agg(F.count(F.lit(1)).alias("n"), *aggs).select(F.lit(dataset).alias("dataset"), *out)
+    return g.withColumn("date_range", F.when(F.col("date_min").isNotNull(), F.concat_ws(" → ", "date_min", "date_max")))
+
+
+def meta(df: DataFrame, dataset: str = "data", file_type: str | None = None) -> DataFrame:
+    """S5, C7, A8 and A9 in one row: one aggregate, one of distinct counts, and the
+    size of the files from their listing."""
+    from ..sources.readers import input_bytes
+    total = input_bytes(df) if df.inputFiles() else None
+    size = F.lit(total).cast("bigint")
+    facts = claims_and_dates(df, dataset).withColumns({
+        "columns": F.lit(len(df.columns)).cast("int"), "bytes": size, "file_size": size_label(size),
+        "file_type": F.lit(file_type).cast("string")})
+    return facts.join(unique_entities(df, dataset), "dataset")

@@ -74,8 +74,7 @@ def report(df: DataFrame, dataset: str = "data", as_of=None, method: str = "exac
     out = assess({dataset: df}, as_of=as_of, method=method, distinct=distinct, persist=persist)
     prof = out["profile"]
     out.update({
-        "meta": M.meta_shape(df, dataset, file_type).join(M.unique_entities(df, dataset), "dataset")
-        .join(M.claim_rate(df, dataset), "dataset").join(M.date_range(df, dataset), "dataset"),
+        "meta": M.meta(df, dataset, file_type),
         "heatmaps": D.coverage_heatmaps(df, prof, dataset),
         "claim_histogram": D.claims_histogram(df, dataset),
         "date_checks": Q.date_detail(prof),

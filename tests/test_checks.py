@@ -94,6 +94,14 @@ def test_meta_on_fixture(spark):
     assert d["date_range"] == "2024-01-01 → 2024-01-30"
 
 
+def test_meta_in_one_row(spark):
+    df = dataset(spark, SF, "policy_fx")
+    r = M.meta(df, "policy_fx", "PARQUET").first()
+    assert (r["rows"], r["columns"], r["file_type"], r["unique_policies"]) == (df.count(), 12, "PARQUET", 14743)
+    assert r["bytes"] > 0 and r["claiming_entities"] == M.claim_rate(df, "policy_fx").first()["claiming_entities"]
+    assert r["date_range"] == M.date_range(df, "policy_fx").first()["date_range"]
+
+
 def test_report_sink_roundtrip(spark):
     import os
     import tempfile
