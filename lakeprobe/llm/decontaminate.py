@@ -50,11 +50,14 @@ class WordHashes:
         self.known: dict[str, int] = {}
 
     def of(self, w: list[str]) -> np.ndarray:
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        for x in set(w).difference(self.known):
-            self.known[x] = xxhash.xxh64_intdigest(x)
-        return np.array([self.known[x] for x in w], np.uint64)
+        try:
+            return np.array([self.known[x] for x in w], np.uint64)
+        except KeyError:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            for x in set(w).difference(self.known):
+                self.known[x] = xxhash.xxh64_intdigest(x)
+            return np.array([self.known[x] for x in w], np.uint64)
 
 
 def simhashes(h: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
