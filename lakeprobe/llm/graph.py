@@ -104,25 +104,28 @@ class Forest:
         return node[own], node[self.label[own]]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, broadcast_rows: int = 200_000) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(a, b)``; the root is the
     smallest node of the component. Alternates large-star and small-star steps
     until nothing changes; each step is a grouped minimum and a join, so a hub
-    is summed before it is shuffled, and each round is written down."""
+    is summed before it is shuffled, and each round is written down. The minima
+    are broadcast while there are at most ``broadcast_rows`` edges, as counted."""
     cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    state = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    sign = state(cur)
     for _ in range(most_rounds):
+        hint = F.broadcast if sign[0] <= broadcast_rows else (lambda d: d)
         # large star: of each node, the larger neighbours go to its least neighbour
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.filter("b > a").join(hint(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.filter("a <> b").distinct())
         # small star: the node and its smaller neighbours go to the least of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a")
+        star = large.join(hint(least), "a")
         cur = stored(star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             star.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = state(cur)
         if now == sign:
             break
         sign = now
