@@ -21,7 +21,7 @@ def stored(df: DataFrame) -> DataFrame:
     what follows survives lost executors and never repeats the work before."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
