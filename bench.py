@@ -30,7 +30,8 @@ def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
-    ds = lambda n: dataset(spark, sf, n)
+    # each test table is one row group, so one task; deal it to all cores, as a user would
+    ds = lambda n: dataset(spark, sf, n).repartition(int(cpus))
 
     jobs = {
         "profile_lineitem": lambda: profile(ds("lineitem"), "lineitem", as_of=AS_OF).collect(),

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,18 +68,22 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     ensure_checkpoint_dir(long.sparkSession)
     brackets = brackets.checkpoint()  # a row per group
 
-    def step(i: Column) -> Column:
-        lo, hi, v = F.get(F.col("lo"), i), F.get(F.col("hi"), i), F.col("v")
+    v = F.col("v")
+    edge = lambda side, i: F.get(F.col(side), F.lit(i))
+
+    def step(i: int) -> Column:
+        lo, hi = edge("lo", i), edge("hi", i)
         part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * SUB_BUCKETS), F.lit(SUB_BUCKETS - 1))).otherwise(0)
-        return F.struct(i.alias("i"), F.when((v >= lo) & (v <= hi), part).cast("int").alias("b"))
+        return F.struct(F.lit(i).alias("i"), F.when((v >= lo) & (v <= hi), part).cast("int").alias("b"))
 
-    each = F.sequence(F.lit(0), F.lit(q - 1))
-    inside = F.filter(F.transform(each, step), lambda x: x["b"].isNotNull())
-    placed = long.join(hint(brackets), list(keys))
     # every value once, with the number of brackets that start above it, and once
     # more in each bracket that holds it
-    above = F.struct(F.lit(-1).alias("i"), F.size(F.filter("lo", lambda x: x > F.col("v"))).alias("b"))
-    counts = placed.select(*keys, F.explode(F.concat(F.array(above), inside)).alias("x")).groupBy(
+    each = F.sequence(F.lit(0), F.lit(q - 1))
+    inside = [step(i) for i in range(q)]
+    starts_above = reduce(add, [(edge("lo", i) > v).cast("int") for i in range(q)])
+    above = F.struct(F.lit(-1).alias("i"), starts_above.alias("b"))
+    placed = long.join(hint(brackets), list(keys))
+    counts = placed.select(*keys, F.explode(F.array(above, *inside)).alias("x")).where("x.b IS NOT NULL").groupBy(
         *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
     below = counts.where("i = -1").groupBy(*keys).agg(F.array(*[
         F.coalesce(F.sum(F.when(F.col("b") >= q - i, F.col("cnt"))), F.lit(0)) for i in range(q)]).alias("below"))
@@ -89,7 +96,9 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
              .withColumn("frac", h - F.floor(h)))
     holds = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("start") + F.col("cnt"))
     hits = ranks.where(holds("r_lo") | holds("r_hi")).select(*keys, "i", "b", "start", "r_lo", "r_hi", "frac")
-    near = placed.select(*keys, "v", F.explode(inside).alias("x")).select(*keys, "v", "x.*")
+    held = reduce(or_, [v.between(edge("lo", i), edge("hi", i)) for i in range(q)])
+    near = placed.where(held).select(*keys, "v", F.explode(F.array(*inside)).alias("x")).where(
+        "x.b IS NOT NULL").select(*keys, "v", "x.*")
     values = near.join(hint(hits), [*keys, "i", "b"]).groupBy(
         *keys, "i", "b", "start", "r_lo", "r_hi", "frac", "v").agg(F.count(F.lit(1)).alias("cnt"))
     run = Window.partitionBy(*keys, "i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
