@@ -4,33 +4,41 @@ Each source's bytes are cut into blocks in a shuffled order. With a weight of
 n / Q, block j of a source (from 0) may start at slot floor(j Q / n) and must be
 done by slot ceil((j + 1) Q / n); one block runs per slot and the earliest
 deadline goes first. At any slot every source is then less than one block away
-from its share. The windows repeat every Q slots, so one cycle of the schedule
-is made on the driver (Q numbers, whatever the data) and every row finds its slot
-by a lookup; only byte counts of the sources are gathered.
+from its share. n and Q are the target weights as whole numbers, without rounding.
+
+The driver makes the schedule of all blocks from the byte counts of the sources
+(one step a block, written in pieces of ``PIECE``; nothing else is gathered) and
+every row finds its slot by a join on its block.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, small, stored
+from .common import fresh, scratch, small, stored
 from .sharding import text_size
 
 BLOCK_BYTES = 1 << 16
 ALPHA = 0.7              # default target: bytes of the source to this power
-CYCLE = 1024             # slots of a cycle, at least; 16 per source at least
+CYCLE = 1024             # slots of a short cycle, at least; 16 per source at least
 MAX_SOURCES = 100_000    # more raise an error
 BUCKET_ROWS = 2_000      # rows of a source that one task orders
+PIECE = 500_000          # blocks of the schedule that the driver holds at once
+BROADCAST = 2_000_000    # blocks that are joined by broadcast (16 bytes each)
 
 
 def cycle_units(weights: Mapping, least: int = CYCLE) -> tuple[int, dict]:
-    """Whole slots per cycle of each source with a positive weight (largest
-    remainders, one slot at least), and the length of the cycle."""
+    """Whole slots of each source with a positive weight in a cycle short enough
+    to repeat (largest remainders, one slot at least), and the length of the cycle.
+    These are rounded weights; ``mix`` keeps to those of ``exact_units``."""
     pos = {s: w for s, w in weights.items() if w > 0}
     if not pos:
         return 0, {}
@@ -47,24 +55,77 @@ def cycle_units(weights: Mapping, least: int = CYCLE) -> tuple[int, dict]:
     return q, units
 
 
-def pfair_cycle(q: int, units: Mapping) -> dict:
-    """The slots of each source in one cycle, by earliest deadline first."""
-    release: list[list] = [[] for _ in range(q)]
-    for s in sorted(units, key=str):
-        n = units[s]
-        for j in range(n):
-            release[j * q // n].append((-(-(j + 1) * q // n), str(s), j, s))
-    ready, slots = [], {s: [0] * n for s, n in units.items()}
-    for t in range(q):
-        for job in release[t]:
-            heapq.heappush(ready, job)
-        deadline, _, j, s = heapq.heappop(ready)
+def exact_units(weights: Mapping) -> dict:
+    """The positive weights as whole numbers in the same proportions."""
+    pos = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    common = math.lcm(*(w.denominator for w in pos.values()))
+    return {s: int(w * common) for s, w in pos.items()}
+
+
+def pfair(units: Mapping, blocks: Mapping) -> Iterator[tuple]:
+    """``(slot, source, block)`` by earliest deadline first, in the order of slots.
+    The first slot whose source has no block left comes with the block number
+    ``blocks[source]``; from there on the sources that have run out are left out
+    and the blocks of the others stay inside their windows."""
+    names = sorted(units, key=str)
+    q, n, last = sum(units.values()), [units[s] for s in names], [blocks[s] for s in names]
+    waiting, ready = [(0, i, 0) for i in range(len(names))], []
+    t, short = 0, False
+    while waiting or ready:
+        while waiting and waiting[0][0] <= t:
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * q // n[i]), i, j))
+        if not ready:
+            t = waiting[0][0]
+            continue
+        deadline, i, j = heapq.heappop(ready)
+        if j == last[i]:
+            if short:
+                continue
+            short = True
         if deadline <= t:
             raise AssertionError("a deadline is missed")
-        slots[s][j] = t
+        yield t, names[i], j
+        if j < last[i]:
+            heapq.heappush(waiting, ((j + 1) * q // n[i], i, j + 1))
+        t += 1
+
+
+def pfair_cycle(q: int, units: Mapping) -> dict:
+    """The slots of each source in one cycle."""
+    slots = {s: [0] * n for s, n in units.items()}
+    for t, s, j in pfair(units, units):
+        if t < q:
+            slots[s][j] = t
     return slots
 
 
+def _schedule(spark, units: Mapping, blocks: Mapping, place: Mapping) -> tuple[DataFrame, int, int]:
+    """The stored schedule ``(block_key, slot)``, its number of rows, and the first
+    slot that a source cannot fill. The key is ``place`` of the source * 2^40 + block."""
+    path, rows, horizon = scratch(spark), 0, None
+    keys, slots = [], []
+
+    def write():
+        table = pa.table({"block_key": pa.array(keys, pa.int64()), "slot": pa.array(slots, pa.int64())})
+        spark.createDataFrame(table).write.mode("append").option("compression", "zstd").parquet(path)
+        keys.clear()
+        slots.clear()
+
+    for t, s, j in pfair(units, {s: max(1, n) for s, n in blocks.items()}):
+        if horizon is None and j == blocks[s]:
+            horizon = t
+        if j < max(1, blocks[s]):
+            keys.append((place[s] << 40) + j)
+            slots.append(t)
+            rows += 1
+        if len(keys) == PIECE:
+            write()
+    if keys or not rows:
+        write()
+    return spark.read.schema("block_key long, slot long").parquet(path), rows, horizon or 0
+
+
 def mix(df: DataFrame, source: str = "source", size: Column | None = None,
         weights: Mapping | None = None, block_bytes: int = BLOCK_BYTES, seed: int = 0) -> DataFrame:
     """Add ``mix_slot`` (the slot of the row's block), ``mix_offset`` (first byte
@@ -73,8 +134,10 @@ def mix(df: DataFrame, source: str = "source", size: Column | None = None,
     ``weights`` maps sources to target weights, by default the bytes of each
     source to the power 0.7. All rows stay. ``in_mix`` is true up to the slot that
     some source can no longer fill; before it, each source is less than one block
-    away from its weight at every slot. Rows of sources without a positive weight
-    have a null slot and are not in the mix.
+    away from its exact weight at every slot, however long the mix. Later blocks
+    keep to the windows of their weights, and the slots of sources that have run
+    out are left empty or go to blocks that may start. Rows of sources without a
+    positive weight have a null slot and are not in the mix.
 
     The order within a source is a hash of the row's columns and ``seed``. A null
     source is a source of its own; repeated rows are rows of their own; a row over
@@ -85,8 +148,8 @@ def mix(df: DataFrame, source: str = "source", size: Column | None = None,
     new = ("mix_slot", "mix_offset", "in_mix")
     if clash := {c.lower() for c in df.columns} & set(new):
         raise ValueError(f"columns {sorted(clash)} exist")
-    b, k, no, bucket, before, src, slots, n = fresh(
-        df, "size_", "key_", "no_", "bucket_", "before_", "src_", "slots_", "n_")
+    b, k, no, bucket, before, src, base, slot_key, n = fresh(
+        df, "size_", "key_", "no_", "bucket_", "before_", "src_", "base_", "slot_key_", "n_")
     size = text_size(F.col("text")) if size is None else size
     named = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n"))
     cur = df.withColumns({b: size.cast("long"), src: named, no: F.monotonically_increasing_id()})
@@ -101,25 +164,25 @@ def mix(df: DataFrame, source: str = "source", size: Column | None = None,
     else:
         named_w = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
         target = {s: named_w.get(s, 0) for s in bytes_of}
-    q, units = cycle_units(target)
-    table = pfair_cycle(q, units)
-    ends = []
-    for s, places in table.items():
-        cycle, j = divmod((bytes_of[s] - 1) // block_bytes + 1, len(places))
-        ends.append(cycle * q + places[j])
-    spark, horizon = df.sparkSession, min(ends, default=0)
+    units = exact_units(target)
+    blocks = {s: (bytes_of[s] - 1) // block_bytes + 1 for s in units}
+    place = {s: i for i, s in enumerate(sorted(units))}
+    spark = df.sparkSession
+    table, n_blocks, horizon = _schedule(spark, units, blocks, place)
     bits = max(0, (max((r["rows"] for r in totals), default=0) // BUCKET_ROWS).bit_length())
     cur = cur.withColumn(bucket, F.shiftright(k, 63 - bits).cast("int"))
     sums = stored(cur.groupBy(src, bucket).agg(F.sum(b).alias(before)))
     run = W.partitionBy(src).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     sums = stored(sums.withColumn(before, F.coalesce(F.sum(before).over(run), F.lit(0))))
-    plan = spark.createDataFrame([(s, table[s], len(table[s])) for s in table], f"{src} string, {slots} array<int>, {n} int")
+    plan = spark.createDataFrame([(s, place[s] << 40, max(0, blocks[s] - 1)) for s in units], f"{src} string, {base} long, {n} long")
     starts = small(sums.join(F.broadcast(plan), src, "left"), 100_000)  # a row for each source, at most MAX_SOURCES
     cur = cur.join(starts, [src, bucket])
     inside = W.partitionBy(src, bucket).orderBy(k).rowsBetween(W.unboundedPreceding, -1)
     cur = cur.withColumn("mix_offset", F.col(before) + F.coalesce(F.sum(b).over(inside), F.lit(0)))
-    block = F.floor(F.col("mix_offset") / block_bytes)
-    cur = cur.withColumn("mix_slot", F.floor(block / F.col(n)) * q + F.get(F.col(slots), (block % F.col(n)).cast("int")))
+    block = F.least(F.floor(F.col("mix_offset") / block_bytes), F.col(n))  # rows without bytes may stand at the very end
+    table = table.select(F.col("block_key").alias(slot_key), F.col("slot").alias("mix_slot"))
+    table = F.broadcast(table) if n_blocks <= BROADCAST else table
+    cur = cur.withColumn(slot_key, F.when(F.col(n).isNotNull(), F.col(base) + block)).join(table, slot_key, "left")
     cur = cur.withColumn("in_mix", F.coalesce(F.col("mix_slot") < horizon, F.lit(False)))
     return cur.select(*[f"`{c}`" for c in df.columns], *new)
 

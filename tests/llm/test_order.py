@@ -126,6 +126,42 @@ def test_mix_hot_source_and_edges(spark, monkeypatch):
         M.mix(df.withColumn("in_mix", F.lit(1)))
 
 
+def test_exact_weights_hold_over_many_cycles():
+    weights = {"big": 0.9999 - 1 / 7, "odd": 1 / 7, "rare": 1e-4}
+    total, units = sum(map(M.Fraction, weights.values())), M.exact_units(weights)
+    share = {s: M.Fraction(w) / total for s, w in weights.items()}
+    assert {s: M.Fraction(n, sum(units.values())) for s, n in units.items()} == share
+    got, n = defaultdict(int), 200_000
+    for t, s, j in M.pfair(units, dict.fromkeys(units, 10 ** 9)):
+        if t == n:
+            break
+        assert j == got[s]
+        got[s] += 1
+        assert abs(got[s] - share[s] * (t + 1)) < 1
+        if t % 97 == 0:
+            assert all(abs(got[x] - share[x] * (t + 1)) < 1 for x in units)
+    assert got["rare"] in (19, 20, 21)
+
+
+def test_a_rare_source_does_not_end_the_mix_early(spark, monkeypatch):
+    monkeypatch.setattr(M, "PIECE", 700)
+    df = spark.range(6000).select(F.when(F.col("id") == 0, "rare").otherwise("big").alias("source"))
+    for limit in (M.BROADCAST, 10):
+        monkeypatch.setattr(M, "BROADCAST", limit)
+        rows = M.mix(df, size=F.lit(10), weights={"big": 0.9999, "rare": 1e-4}, block_bytes=10).collect()
+        slots = sorted(r.mix_slot for r in rows)
+        assert len(rows) == 6000 and len(set(slots)) == 6000 and slots[-1] < 6002
+        assert sum(r.in_mix for r in rows) >= 5999  # with whole slots of 1,024 some 1,024
+
+
+def test_mix_without_bytes(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 10), ("a", 0), ("b", 0), ("c", 5), (None, 10)], "source string, size long")
+    rows = M.mix(df, size=F.col("size"), weights={"a": 1, "b": 2, None: 3}, block_bytes=10).collect()
+    assert all((r.mix_slot is None) == (r.source == "c") for r in rows) and len(rows) == 6
+    end = min(r.mix_slot for r in rows if r.source == "b")
+    assert all(r.in_mix == (r.mix_slot is not None and r.mix_slot < end) for r in rows)
+
+
 def test_pipeline_equals_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 250")
     rows = {r.doc_id: r for r in docs.collect()}
