@@ -6,9 +6,11 @@ its length). Lengths are grouped into classes a third apart; an item is looked
 up by its first and by its last words of its class. The fingerprints are indexed
 in four blocks of 16 bits: two that differ in at most 7 bits agree in some block
 up to one bit, so looking up every block with its one-bit neighbours finds all
-fingerprints within that radius. Found places are verified on the words: weighted
-Jaccard similarity of five-word shingles between the item and a window of its
-length, where a shingle that several items share weighs less.
+fingerprints within that radius. Found places are verified on the words: Jaccard
+similarity of five-word shingles between the item and a window of its length,
+plain or weighted, whichever is higher. With weights, a shingle that k different
+item texts of the whole benchmark share weighs 1/k, and a shingle that only the
+window holds weighs as much as the item's own do on average.
 
 The benchmark is the fixed side: it is read in blocks of ``ITEMS`` items, each of
 which goes to all tasks; documents are never moved.
@@ -16,8 +18,10 @@ which goes to all tasks; documents are never moved.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 SIMILARITY = 0.8
 SHINGLE = 5
 RADIUS = 7             # bits, of 64
@@ -43,6 +49,16 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[i:i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
 
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the shingles of words with hashes ``h``, in order."""
+    n = max(1, len(h) - SHINGLE + 1) if len(h) else 0
+    out = np.full(n, min(len(h), SHINGLE), np.uint64)
+    for i in range(min(len(h), SHINGLE)):
+        out = (out ^ h[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class WordHashes:
     """64-bit hashes of words, kept up to a bound."""
 
@@ -85,16 +101,24 @@ def classes(lengths: set[int]) -> list[int]:
 
 
 class Index:
-    """Fingerprints of the items of a block, by window length."""
+    """Fingerprints of the items of a block, by window length. ``shared`` tells, by
+    the hash of a shingle, how many different texts of the whole benchmark hold it
+    (where more than one does); by default the items are the whole benchmark."""
 
-    def __init__(self, items: list[list[str]]):
+    def __init__(self, items: list[list[str]], shared: Mapping[int, int] | None = None):
         self.items = items
+        self.hashes = WordHashes()
         self.shingles = [shingles(w) for w in items]
         self.held: dict[tuple[str, ...], int] = {}
-        for s in self.shingles:
-            for x in s:
-                self.held[x] = self.held.get(x, 0) + 1
-        self.hashes = WordHashes()
+        if shared is None:
+            texts = {tuple(w): s for w, s in zip(items, self.shingles, strict=True)}
+            self.held = {x: k for x, k in Counter(x for s in texts.values() for x in s).items() if k > 1}
+        elif shared:
+            for w in items:
+                for i, x in enumerate(shingle_hashes(self.hashes.of(w)).tolist()):
+                    if x in shared:
+                        self.held[tuple(w[i:i + SHINGLE])] = shared[x]
+        self.own = [math.fsum(1 / self.held.get(x, 1) for x in s) for s in self.shingles]
         self.by_size: dict[int, tuple] = {}
         sizes = classes({len(w) for w in items if w})
         for k, size in enumerate(sizes):
@@ -153,10 +177,14 @@ class Index:
                         yield a + r, int(of[w]), int(at[w])
 
     def similarity(self, item: int, window: list[str]) -> float:
-        """Weighted Jaccard; a shingle of k items weighs 1/k, any other 1."""
+        """Jaccard, plain or weighted, whichever is higher. A shingle of k different
+        texts weighs 1/k; one that only the window holds, the mean of the item's."""
         mine, other = self.shingles[item], shingles(window)
-        both = sum(1 / self.held[x] for x in mine & other)
-        return both / (sum(1 / self.held[x] for x in mine) + sum(1 / self.held.get(x, 1) for x in other - mine))
+        both = mine & other
+        more = len(other) - len(both)
+        plain = len(both) / (len(mine) + more)
+        weight = math.fsum(1 / self.held.get(x, 1) for x in both)
+        return max(plain, weight / (self.own[item] * (1 + more / len(mine))))
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """Per text the items it holds: best place (in words) and similarity."""
@@ -184,10 +212,30 @@ class Index:
         return out
 
 
-def _search(text: Column, items: list[list[str]]) -> Column:
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = WordHashes()
+    for pdf in batches:
+        w = [words(t) for t in pdf["text"]]
+        yield pd.DataFrame({"uid": pdf["uid"], "text_key": [xxhash.xxh128_digest(" ".join(x)) for x in w],
+                            "hashes": [np.unique(shingle_hashes(known.of(x)).view(np.int64)) for x in w]})
+
+
+def with_shared(items: DataFrame) -> DataFrame:
+    """``items`` is a stored table ``(uid, id, text)`` with distinct ``uid``. Adds
+    ``shared``: the hashes of the item's shingles that several different texts of
+    the table hold, with the number of these texts."""
+    hashed = stored(items.select("uid", "text").mapInPandas(_hashed, "uid long, text_key binary, hashes array<long>"))
+    firsts = hashed.groupBy("text_key").agg(F.min("uid").alias("uid")).select("uid")
+    several = stored(hashed.join(firsts, "uid").select(F.explode("hashes").alias("hash")).groupBy("hash").agg(
+        F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    found = hashed.select("uid", F.explode("hashes").alias("hash")).join(small(several), "hash")
+    return items.join(found.groupBy("uid").agg(F.collect_list(F.struct("hash", "texts")).alias("shared")), "uid", "left")
+
+
+def _search(text: Column, items: list[list[str]], shared: dict[int, int]) -> Column:
     @F.pandas_udf(RESULT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items)
+        index = Index(items, shared)
         for s in batches:
             out: list = []
             for a in range(0, len(s), 500):
@@ -210,20 +258,24 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         raise ValueError(f"column {out} exists")
     ids = benchmark.schema[item_id].dataType.simpleString()
     cur, block = df.withColumn(out, F.array().cast(f"array<struct<item_id:{ids},start:int,similarity:double>>")), []
+    shared: dict[int, int] = {}
 
-    def search(cur, block):
-        got = _search(F.col(f"`{text}`"), [words(t) for _, t in block])
+    def search(cur, block, shared):
+        got = _search(F.col(f"`{text}`"), [words(t) for _, t in block], shared)
         names = F.lit([i for i, _ in block]) if all(i is not None for i, _ in block) else F.array(*[F.lit(i) for i, _ in block])
         named = F.transform(got, lambda x: F.struct(
             F.get(names, x["item"]).cast(ids).alias("item_id"), x["start"].alias("start"), x["similarity"].alias("similarity")))
         return cur.withColumn(out, F.concat(F.col(out), named))
 
-    for r in benchmark.select(item_id, item_text).toLocalIterator():
-        block.append((r[0], r[1]))
+    items = stored(benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{item_id}`").alias("id"),
+                                    F.col(f"`{item_text}`").alias("text")))
+    for r in stored(with_shared(items)).toLocalIterator():
+        block.append((r["id"], r["text"]))
+        shared |= {x["hash"] % (1 << 64): x["texts"] for x in r["shared"] or ()}
         if len(block) == ITEMS:
-            cur, block = search(cur, block), []
+            cur, block, shared = search(cur, block, shared), [], {}
     if block:
-        cur = search(cur, block)
+        cur = search(cur, block, shared)
     return cur.withColumn(out, F.array_sort(out))
 
 

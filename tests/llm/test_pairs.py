@@ -226,6 +226,29 @@ def test_leaks_in_blocks_and_edges(spark, monkeypatch):
         D.find_leaks(df, bench, out="ITEM_ID")
 
 
+def test_shared_shingles_lose_no_near_copy(spark, monkeypatch):
+    rng = random.Random(4)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    changed = lambda w: w[:len(w) // 2] + ["changed"] + w[len(w) // 2 + 1:]
+    twice, often, passage = some(59), some(100), some(70)
+    asked = [passage + some(20) for _ in range(4)]
+    items = [twice, asked[0], often, often, asked[1], often, twice, often, asked[2], often, asked[3]]
+    docs = [changed(twice), some(50) + changed(often) + some(30), changed(asked[2]), some(400),
+            passage[:20] + ["changed"] + passage[21:] + asked[1][70:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").coalesce(1)
+    index = D.Index(items)
+    assert index.similarity(0, docs[0]) == pytest.approx(50 / 60) and index.own[2] == 96
+    seen = []
+    for block in (D.ITEMS, 3, 1):
+        monkeypatch.setattr(D, "ITEMS", block)
+        seen.append({r.doc_id: [(x.item_id, x.start, round(x.similarity, 9)) for x in r.leaks]
+                     for r in D.find_leaks(df, bench).collect()})
+    assert seen[0] == seen[1] == seen[2]  # the blocks change no score
+    got = {k: {x[0] for x in v} for k, v in seen[0].items()}
+    assert (got[0], got[1], got[3]) == ({0, 6}, {2, 3, 5, 7, 9}, set()) and 8 in got[2] and 4 in got[4]
+
+
 def test_no_leak_in_the_test_documents_is_missed(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
