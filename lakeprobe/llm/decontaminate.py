@@ -1,12 +1,18 @@
 """Operator 8, benchmark decontamination by SimHash windows.
 
-Every window of a document that is as long as a benchmark item gets a 64-bit
-SimHash of its words (a running sum per bit, so a window costs the same whatever
-its length). Lengths are grouped into classes a third apart; an item is looked
-up by its first and by its last words of its class. The fingerprints are indexed
+Every window of a document gets a 64-bit SimHash of its words (a running sum per
+bit, so a window costs the same whatever its length), for some window lengths:
+those of the items in classes a third apart. An item is looked up by its first and
+by its last words of its class. The fingerprints are indexed
 in four blocks of 16 bits: two that differ in at most 7 bits agree in some block
 up to one bit, so looking up every block with its one-bit neighbours finds all
-fingerprints within that radius. Found places are verified on the words: Jaccard
+fingerprints within that radius.
+
+Fingerprints alone miss rewritten phrases, and documents shorter than a class have
+none. So each item has anchors besides: its rarest shingles, more than a fifth of
+them. A window that reaches 0.8 lacks at most a fifth of the item, by number or by
+weight, so it holds an anchor, whatever the lengths; where one is met, all windows
+around it are measured. Found places are verified on the words: Jaccard
 similarity of five-word shingles between the item and a window of its length,
 plain or weighted, whichever is higher. With weights, a shingle that k different
 item texts of the whole benchmark share weighs 1/k, and a shingle that only the
@@ -37,6 +43,7 @@ RADIUS = 7             # bits, of 64
 ITEMS = 20_000         # items per pass over the documents
 SLICE = 8_192          # words whose windows are hashed at once
 CACHE = 500_000        # words; the cache is emptied when it is full
+PART = 1 << 18         # words whose shingles are looked up at once
 _WORD = re.compile(r"\w+")
 RESULT = "array<struct<item:int,start:int,similarity:double>>"
 
@@ -119,6 +126,7 @@ class Index:
                     if x in shared:
                         self.held[tuple(w[i:i + SHINGLE])] = shared[x]
         self.own = [math.fsum(1 / self.held.get(x, 1) for x in s) for s in self.shingles]
+        self._set_anchors()
         self.by_size: dict[int, tuple] = {}
         sizes = classes({len(w) for w in items if w})
         for k, size in enumerate(sizes):
@@ -133,6 +141,81 @@ class Index:
                         prints.append(p[a])
             self.by_size[size] = (np.array(of), np.array(at), *self._tables(np.array(prints)))
 
+    def _set_anchors(self):
+        self.parts, keys, of = [], [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+        for i, w in enumerate(self.items):
+            own, first = np.unique(shingle_hashes(self.hashes.of(w)), return_index=True)
+            weight = np.array([1 / self.held.get(tuple(w[a:a + SHINGLE]), 1) for a in first.tolist()])
+            self.parts.append((own, weight))
+            if len(w) >= SHINGLE:  # shorter ones are found as they are or not at all
+                rare = np.argsort(-weight, kind="stable")[:len(own) - math.ceil(SIMILARITY * len(own) - 1e-9) + 1]
+                keys.append(own[rare])
+                of.append(np.full(len(rare), i))
+        keys, of = np.concatenate(keys), np.concatenate(of)
+        order = np.argsort(keys, kind="stable")
+        self.anchors, self.anchor_of = keys[order], of[order]
+        self.maybe = np.zeros(1 << 22, bool)  # by the first bits of an anchor
+        self.maybe[keys >> np.uint64(42)] = True
+
+    def anchored(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(document, item, first word, last word)`` of the anchors met, over the
+        words of many documents laid end to end; a pair may come twice."""
+        for a in range(0, len(h) - SHINGLE + 1, PART):
+            s = shingle_hashes(h[a:a + PART + SHINGLE - 1])
+            at = np.flatnonzero(self.maybe[s >> np.uint64(42)])
+            at = at[doc[a + at] == doc[a + at + SHINGLE - 1]]
+            low, high = (np.searchsorted(self.anchors, s[at], side) for side in ("left", "right"))
+            count = high - low
+            row = np.repeat(at, count)
+            which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(row))
+            pair = doc[a + row] * len(self.items) + self.anchor_of[which]
+            both, first = np.unique(pair, return_index=True)
+            last = len(pair) - 1 - np.unique(pair[::-1], return_index=True)[1]
+            for p, f, g in zip(both.tolist(), row[first].tolist(), row[last].tolist(), strict=True):
+                yield *divmod(p, len(self.items)), a + f, a + g
+
+    def best_start(self, item: int, s: np.ndarray, first: int, last: int) -> int | None:
+        """The start of the nearest of the windows that hold a shingle from ``first``
+        to ``last``, where one can be similar enough; ``s`` are the shingles of the text."""
+        own, weight = self.parts[item]
+        m, all_, width = len(own), self.own[item], len(self.items[item]) - SHINGLE + 1
+        least, heavy = SIMILARITY * m - 1e-9, SIMILARITY * all_ - 1e-9
+        low = max(0, first - width + 1)
+        region = s[low:last + width]
+        place = np.minimum(np.searchsorted(own, region), m - 1)
+        hit = own[place] == region
+        held = np.unique(place[hit])
+        if len(held) < least and weight[held].sum() < heavy:
+            return None
+        worth = np.where(hit, weight[place], 0.0)
+        begin = np.arange(last - low + 1)
+        end = np.minimum(begin + width, len(region))
+        count, load = np.r_[0, np.cumsum(hit)], np.r_[0.0, np.cumsum(worth)]
+        can = (count[end] - count[begin] >= least) | (load[end] - load[begin] >= heavy - 1e-9)
+        code = np.unique(region, return_inverse=True)[1].tolist()
+        hit, worth = hit.tolist(), worth.tolist()
+        times, i, j, both, total, got = [0] * len(code), 0, 0, 0, 0, 0.0
+        top, start = 0.0, None
+        for b, e in zip(begin[can].tolist(), end[can].tolist(), strict=True):
+            for x in range(i, min(b, j)):
+                times[code[x]] -= 1
+                if not times[code[x]]:
+                    total -= 1
+                    both -= hit[x]
+                    got -= worth[x]
+            i, j = b, max(b, j)
+            for x in range(j, e):
+                if not times[code[x]]:
+                    total += 1
+                    both += hit[x]
+                    got += worth[x]
+                times[code[x]] += 1
+            j = e
+            value = max(both / (m + total - both), got / (all_ * (1 + (total - both) / m)))
+            if value > top + 1e-9:
+                top, start = value, low + b
+        return start
+
     @staticmethod
     def _tables(prints: np.ndarray):
         """Per block: for each of its 65,536 values, the fingerprints that hold it
@@ -201,6 +284,13 @@ class Index:
         for at, item, offset in self.places(h, doc):
             d = int(doc[at])
             wanted.setdefault((d, item), set()).add(max(0, at - int(begin[d]) - offset))
+        last, s = -1, h
+        for d, item, a, b in self.anchored(h, doc):
+            if d != last:
+                last, s = d, shingle_hashes(h[begin[d]:begin[d + 1]])
+            start = self.best_start(item, s, a - int(begin[d]), b - int(begin[d]))
+            if start is not None:
+                wanted.setdefault((d, item), set()).add(start)
         last, w = -1, []
         for d, item in sorted(wanted):
             if d != last:

@@ -249,6 +249,17 @@ def test_shared_shingles_lose_no_near_copy(spark, monkeypatch):
     assert (got[0], got[1], got[3]) == ({0, 6}, {2, 3, 5, 7, 9}, set()) and 8 in got[2] and 4 in got[4]
 
 
+def test_documents_shorter_than_an_item():
+    rng = random.Random(6)
+    items = [[rng.choice(VOCAB) for _ in range(n)] for n in (15, 27, 48, 57, 59, 5, 4)]
+    index = D.Index(items)
+    docs = [w[a:len(w) - b] for w in items for a in range(9) for b in range(9) if len(w) > a + b]
+    found = [{x["item"] for x in got} for got in index.search([" ".join(w) for w in docs])]
+    want = [_leaks(" ".join(w), index) for w in docs]
+    assert found == want and sum(map(len, want)) > 100
+    assert {x["item"] for x in index.search([" ".join(items[3][:47])])[0]} == {3}  # 0.81, and no window of 48
+
+
 def test_no_leak_in_the_test_documents_is_missed(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
