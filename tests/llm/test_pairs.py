@@ -260,6 +260,40 @@ def test_documents_shorter_than_an_item():
     assert {x["item"] for x in index.search([" ".join(items[3][:47])])[0]} == {3}  # 0.81, and no window of 48
 
 
+def _edited(rng, w, kind, size):
+    """A copy of an item with ``size`` of its words edited."""
+    a = (len(w) - size) // 2
+    new = [f"new{rng.randint(0, 10 ** 6)}" for _ in range(size)]
+    if kind == "replaced":
+        return w[:a] + new + w[a + size:]
+    if kind == "inserted":
+        return w[:a] + new + w[a:]
+    if kind == "removed":
+        return w[:a] + w[a + size:]
+    if kind == "moved":
+        return w[size:] + w[:size]
+    places = set(range(a % 7, len(w), max(1, len(w) // max(1, size // 5))))  # scattered
+    return [new[0] if i in places else x for i, x in enumerate(w)]
+
+
+@pytest.mark.parametrize("length", [60, 79, 100, 200, 400])
+def test_edited_phrases_are_found_as_by_all_windows(length):
+    rng = random.Random(length)
+    items = [[rng.choice(VOCAB) for _ in range(length - k % 3)] for k in range(25)]
+    index = D.Index(items)
+    texts, want = [], []
+    for k, w in enumerate(items):
+        kind = ("replaced", "inserted", "removed", "moved", "scattered")[k % 5]
+        pad = [rng.choice(VOCAB) for _ in range(rng.randint(0, 40))]
+        for size in (length // 25, length // 17, length // 12, length // 8):
+            text = pad + _edited(rng, w, kind, size) + pad[:7]
+            near = [index.similarity(k, text[s:s + len(w)]) for s in range(len(text))]
+            texts.append(" ".join(text))
+            want.append([(k, near.index(max(near)), max(near))] if max(near) >= D.SIMILARITY else [])
+    got = [[(x["item"], x["start"], x["similarity"]) for x in found] for found in index.search(texts)]
+    assert got == want and sum(map(len, want)) >= 30
+
+
 def test_no_leak_in_the_test_documents_is_missed(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
