@@ -27,6 +27,7 @@ HIDDEN = 8
 WINDOW = 128           # bytes; longer texts are several windows
 TRAIN_WINDOW = 48
 TRAIN_ROWS = 4_000     # labelled rows that the driver fits on, at most
+TRAIN_WINDOWS = 8      # windows of a text that it fits on, at most, drawn at random
 STEPS, BATCH, RATE = 220, 384, 0.02
 PAD = 256              # input that leaves the state as it is
 CHUNK = 2048           # windows run at once
@@ -150,15 +151,16 @@ def _windows(data: bytes, size: int) -> np.ndarray:
     return out.reshape(n, size)
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
-    """Train on windows from all over the texts, the languages weighted alike."""
+def fit(texts: list[str], langs: list[str], seed: int = 7, windows: int = TRAIN_WINDOWS) -> LanguageModel:
+    """Train on at most ``windows`` windows of ``TRAIN_WINDOW`` bytes of each text, drawn
+    from all over it, the languages weighted alike."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for t, lang in zip(texts, langs, strict=True):
         if t and _LETTER.search(t):
             w = _windows(t.encode("utf-8", "replace"), TRAIN_WINDOW)
-            w = w[rng.permutation(len(w))[:8]]
+            w = w[rng.permutation(len(w))[:windows]]
             xs.append(w)
             ys += [names.index(lang)] * len(w)
     if not xs:
@@ -255,12 +257,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> LanguageModel:
     """Fit on rows with a language that are not held out, on an even sample of
     ``rows`` if there are more."""
     own = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     got = bounded_rows(own.filter(~held_out(F.col("doc_id"))).select("text", "lang"), rows)
-    return fit(list(got["text"]), list(got["lang"]))
+    return fit(list(got["text"]), list(got["lang"]), windows=windows)
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:

@@ -169,3 +169,13 @@ def test_language_pools_all_windows(docs):
     together = G.predict(texts, model)
     assert [a[0] for a in alone] == [b[0] for b in together]
     assert np.allclose([a[1] for a in alone], [b[1] for b in together], atol=1e-4)
+
+
+def test_windows_of_a_text_are_a_parameter(monkeypatch):
+    monkeypatch.setattr(G, "STEPS", 1)
+    cut, sizes = G._windows, []
+    monkeypatch.setattr(G, "gradients", lambda x, y, weight, p: sizes.append(weight.max()) or (0.0, {k: np.zeros_like(v) for k, v in p.items()}))
+    text = "some words of a long text " * 200
+    for n in (G.TRAIN_WINDOWS, 20, 10 ** 6):
+        G.fit([text], ["en"], windows=n)
+    assert [round(1 / w) for w in sizes] == [8, 20, len(cut(text.encode(), G.TRAIN_WINDOW))]
