@@ -27,6 +27,7 @@ from .graph import Forest, components, dealt, in_tiles, joined_by_size, pairs, w
 COSINE = 0.93
 RECALL = 0.995
 PROBES = 4
+MAX_TABLES = 256       # more are not tried; fewer hashes a table are
 TILE = 1024
 
 
@@ -91,7 +92,9 @@ class Hashing:
 
 def hashing_for(dim: int, vectors: int, cosine: float = COSINE, recall: float = RECALL) -> Hashing:
     """``k`` keeps buckets of unrelated vectors small (2 hashes up to a million
-    vectors of one label, then more); ``tables`` is measured on 3,000 pairs."""
+    vectors of one label, then more); ``tables`` is measured on 3,000 pairs. Where
+    ``MAX_TABLES`` miss the recall, ``k`` is lowered, which makes buckets larger;
+    raises ``ValueError`` when they miss it with 2 hashes as well."""
     k = max(2, math.ceil(math.log(max(vectors, 2) / 100) / math.log(2 * max(dim, 2))))
     rng = np.random.default_rng(5)
     a = rng.normal(size=(3000, dim))
@@ -107,9 +110,13 @@ def hashing_for(dim: int, vectors: int, cosine: float = COSINE, recall: float =
         zero = np.zeros(3000, np.int64)
         p, q = h.buckets(a, zero), h.buckets(b, zero)
         met = (p[:, :, :, None] == q[:, :, None, :]).any(axis=(1, 2, 3)).mean()
-        if met >= recall or tables >= 256:
+        if met >= recall:
             return h
         tables += 4
+        if tables > MAX_TABLES:
+            if k == 2:
+                raise ValueError(f"recall {met:.4f} instead of {recall} with {MAX_TABLES} tables")
+            k, tables = k - 1, 4
 
 
 def _unit(col: pd.Series) -> np.ndarray:

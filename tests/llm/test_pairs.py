@@ -162,6 +162,17 @@ def test_vector_recall_at_the_threshold():
     assert (p[:, :, :, None] == q[:, :, None, :]).any(axis=(1, 2, 3)).mean() >= 0.98
 
 
+def test_tables_reach_the_recall_or_raise(monkeypatch):
+    few = V.hashing_for(16, 1000)
+    many = V.hashing_for(16, 10 ** 9)
+    assert many.k > few.k == 2 and many.tables > few.tables
+    monkeypatch.setattr(V, "MAX_TABLES", few.tables)  # too few for so many hashes
+    less = V.hashing_for(16, 10 ** 9)
+    assert less.k < many.k and less.tables <= few.tables
+    with pytest.raises(ValueError):
+        V.hashing_for(16, 1000, recall=1.01)
+
+
 def test_vector_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (None, None, None)],
                                "vec_id long, embedding array<float>, label int")
