@@ -1,11 +1,11 @@
-"""Operator 3, n-gram Jaccard join by a MinHash LSH forest.
+"""Operator 3, n-gram Jaccard join by MinHash bands.
 
 A document is its set of five-word shingles (lower case, split at white space).
 Documents with the same set are one node. A node's MinHash signature is cut into
-trees; in each tree it lies at the end of a path of minima, and two nodes meet in
-a tree when their paths agree up to a depth. The paths are shortened from the full
-depth until the trees together reach the target recall at the threshold
-(``depth_for``): a shorter prefix meets more, so nearer pairs are found more surely.
+trees, each a path of minima, and two nodes meet in a tree when their paths agree
+up to a depth. That depth is one number for all nodes: the longest with which the
+trees together reach the target recall at the threshold (``depth_for``). So this is
+banding, not an LSH forest: no deeper path is made, sorted or shortened.
 
 What meets is judged in two steps. First by the signatures, far below the
 threshold, which gives groups of possible neighbours; then all documents of a
