@@ -152,5 +152,57 @@ def op6_sql() -> str:
         "component IS NOT DISTINCT FROM vec_id AS kept FROM v LEFT JOIN m USING (n) LEFT JOIN k USING (n)")
 
 
+def op11_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (
+        "WITH RECURSIVE t AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: "
+        "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) x(i)), "
+        f"o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), "
+        "'[a-zA-ZÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL), "
+        "b AS (SELECT w, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: "
+        "CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(unicode(c) // 64 + 192 AS BIGINT), CAST(unicode(c) % 64 + 128 AS BIGINT)] END)) "
+        "AS b FROM o), "
+        "h(w, n, b, k, c) AS (SELECT w, n, b, CAST(1 AS BIGINT), 4294967295 FROM b UNION ALL SELECT w, n, b, k + 1, xor(c // 256, t.v) "
+        "FROM h JOIN t ON t.i = xor(c % 256, b[k]) WHERE k <= len(b)), "
+        "d AS (SELECT n, w, xor(c, 4294967295) AS h FROM h WHERE k = len(b) + 1), "
+        "e AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word FROM d), "
+        "w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3), "
+        "g AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS g FROM w, range(1, length(word) + 1) x(i)), "
+        "p AS (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.g = b.g AND a.i = b.i AND a.word <> b.word "
+        "UNION SELECT word, g FROM g WHERE g IN (SELECT word FROM w) UNION SELECT g, word FROM g WHERE g IN (SELECT word FROM w)), "
+        "q AS (SELECT p.a AS word, count(*) AS n_near, max(y.n) AS most, min({'m': -y.n, 'word': p.b}) AS f "
+        "FROM p JOIN w y ON p.b = y.word GROUP BY p.a), "
+        "f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN f.word END AS form, "
+        "CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM w LEFT JOIN q USING (word)), "
+        "r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL) "
+        "SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN r USING (word) "
+        "JOIN f z ON r.root = z.word WHERE z.form IS NULL")
+
+
+def op13_sql() -> str:
+    dist = "CAST(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS BIGINT)"
+    steps = ["b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p "
+             "WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64))"]
+    for k in range(3):
+        # the least of distance * 64 + entry is the nearest entry, ties to the lower index
+        steps.append(f"a{k} AS (SELECT n, vec_id, label, part, any_value(p.x) AS x, min({dist} * 64 + entry) AS best "
+                     f"FROM p JOIN b{k} b USING (part) GROUP BY n, vec_id, label, part)")
+        if k < 2:
+            steps.append(
+                f"m{k} AS (SELECT part, entry, list(m ORDER BY i) AS x FROM (SELECT part, best % 64 AS entry, i, "
+                f"CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{k}, range(1, len(x) + 1) y(i) GROUP BY ALL) GROUP BY part, entry)")
+            steps.append(f"b{k + 1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry))")
+    return (
+        "WITH v AS (SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x "
+        "FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "p AS (SELECT n, vec_id, label, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] AS x FROM v, range(16) y(part)), "
+        + ", ".join(steps) +
+        ", s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS sha FROM b2), "
+        "c AS (SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error "
+        "FROM a2 GROUP BY n, vec_id, label) "
+        "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM c, s")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": op1_sql(), "op3_jaccard": op3_sql(), "op4_licenses": op4_sql(), "op6_vectors": op6_sql()}
+    return {"op1_pii": op1_sql(), "op3_jaccard": op3_sql(), "op4_licenses": op4_sql(), "op6_vectors": op6_sql(),
+            "op11_spelling": op11_sql(), "op13_codes": op13_sql()}

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the test tables, and their SQL."""
+"""The queries of the operators over the test tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import op13_codes
 from .decontaminate import op8_decontamination
 from .jaccard import op3_jaccard
 from .langid import op9_langid
 from .licenses import op4_licenses
 from .mixing import op10_mixing
+from .multiindex import op12_neighbours
 from .oracles import oracle_sql
 from .pii import op1_pii
 from .sharding import op7_sharding
+from .spelling import op11_spelling
 from .tokens import op2_tokens
 from .toxicity import op5_toxicity
 from .vectors import op6_vectors
@@ -42,4 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": _over(op8_decontamination, "documents", "benchmark"),
         "op9_langid": _over(op9_langid, "documents"),
         "op10_mixing": _over(op10_mixing, "documents"),
+        "op11_spelling": _over(op11_spelling, "documents"),
+        "op12_neighbours": _over(op12_neighbours, "embeddings"),
+        "op13_codes": _over(op13_codes, "embeddings"),
     }
