@@ -6,12 +6,11 @@ So words go into length blocks, and a block and the next are compared by one Num
 product of their count matrices, which gives all squared distances at once; pairs of at
 most two are verified letter by letter.
 
-Length blocks are cut further without loss: the alphabet has three letter groups, an
-edit changes at most two of them, so near words agree in the counts of at least one.
-Words meet in a block for each letter group, by its counts, and a pair counts in the
-first group that agrees. What blocks still hold many words are worked off in
-salted tiles (``graph.py``); tasks return a count and the best form per word,
-never pairs.
+Length blocks are cut further without loss: one edit leaves the first or the last half
+of the shorter word as it is. Words meet in a block for each half, and a pair with both
+halves in common counts in the first. What blocks still hold many words are worked off
+in salted tiles (``graph.py``); tasks return a count and the best form per word, never
+pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +29,8 @@ from .graph import dealt, in_tiles, whole_runs
 RUN = "[A-Za-zÀ-ÿ]+"
 DELETE_EVERY = 97
 LEAST_LENGTH, LEAST_COUNT = 5, 3
-GROUPS = 3               # of letters, by code point; an edit changes two at most
 TILE = 1024
-BLOCK = 1024             # rows of neighbouring small blocks that share one product
+BLOCK = 256              # rows of neighbouring small blocks that share one product
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -57,8 +55,7 @@ def letter_counts(words: list[str]) -> np.ndarray:
     codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
     letters, place = np.unique(codes, return_inverse=True)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    counts = np.bincount(row * len(letters) + place, minlength=len(words) * len(letters))
-    return letters, counts.reshape(len(words), len(letters))
+    return np.bincount(row * len(letters) + place, minlength=len(words) * len(letters)).reshape(len(words), len(letters))
 
 
 def one_edit(short: list[str], long: list[str]) -> np.ndarray:
@@ -83,24 +80,28 @@ def one_edit(short: list[str], long: list[str]) -> np.ndarray:
     return out
 
 
-def gram_pairs(words: list[str], run: np.ndarray, low: np.ndarray, group: np.ndarray,
+def halves(size: int) -> tuple[int, int]:
+    """Letters of the first and the last half of a word of ``size``."""
+    return size // 2, size - size // 2
+
+
+def gram_pairs(words: list[str], run: np.ndarray, low: np.ndarray, last: np.ndarray,
                meet: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of near words of the same run, each in the first letter group that
-    agrees; ``low`` is the smaller length of the run's two."""
-    letters, counts = letter_counts(words)
+    """Pairs of near words of the same run, the shorter one first. A run's words have
+    the lengths ``low`` and ``low + 1`` and share the first half of ``low`` letters, or
+    the last one (``last``); a pair that shares both counts as sharing the first."""
+    counts = letter_counts(words)
     size = counts.sum(axis=1)
     # products of whole numbers stay exact
     x = counts.astype("f4" if int(size.max()) < 2048 else "f8")
-    square = (x ** 2).sum(axis=1)
-    i, j = np.nonzero(np.triu(square[:, None] + square[None, :] - 2 * (x @ x.T) <= 2, 1))
-    ok = (run[i] == run[j]) & (group[i] == group[j]) & (low[i] == low[j]) & (np.minimum(size[i], size[j]) == low[i])
+    square, one = (x ** 2).sum(axis=1, keepdims=True), np.ones((len(x), 1), x.dtype)
+    minus = np.hstack([2 * x, -square, -one]) @ np.hstack([x, one, square]).T   # squared distances, negative
+    i, j = np.nonzero(np.triu(minus >= -2, 1))
+    ok = (run[i] == run[j]) & (low[i] == low[j]) & (last[i] == last[j]) & (np.minimum(size[i], size[j]) == low[i])
     ok &= meet[i] | (side[i] != side[j])
     i, j = i[ok], j[ok]
-    first = np.full(len(i), GROUPS)
-    for g in reversed(range(GROUPS)):
-        own = counts[:, letters % GROUPS == g]
-        first[(own[i] == own[j]).all(axis=1)] = g
-    ok = first == group[i]
+    first = [halves(int(n))[0] for n in low[i]]
+    ok = np.array([(words[a][:n] != words[b][:n]) == bool(z) for a, b, n, z in zip(i, j, first, last[i])], bool)
     i, j = i[ok], j[ok]
     swap = size[i] > size[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -121,7 +122,7 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = last + 1
             part = pdf.iloc[rows]
             words, n = part["word"].tolist(), part["n"].to_numpy()
-            i, j = gram_pairs(words, runs[rows], part["low"].to_numpy(), part["grp"].to_numpy(),
+            i, j = gram_pairs(words, runs[rows], part["low"].to_numpy(), part["last"].to_numpy(),
                               (part["ta"] == part["tb"]).to_numpy(), part["side"].to_numpy())
             if not len(i):
                 continue
@@ -140,12 +141,12 @@ def near_words(words: DataFrame) -> DataFrame:
     how many others are one edit away, and the most frequent of them (ties: the
     first in code-point order). Words without any have no row."""
     size, text = F.length("word"), F.col("word")
-    letters = F.split(text, "")
-    member = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("grp"), size.alias("size"), letters.alias("letters"))
-    own = F.array_join(F.array_sort(F.filter("letters", lambda c: F.ascii(c) % GROUPS == F.col("grp"))), "")
-    member = member.withColumn("own", own).withColumn("low", F.explode(F.array(F.col("size") - 1, F.col("size"))))
-    member = member.select(F.xxhash64("grp", "low", "own").alias("bucket"), F.struct("word", "n", "grp", "low").alias("node"))
-    tiles = dealt(in_tiles(member, TILE)).select("bucket", "ta", "tb", "side", "node.word", "node.n", "node.grp", "node.low")
+    member = words.select("word", "n", F.explode(F.array(size - 1, size)).alias("low"))
+    first, rest = (F.col("low") / 2).cast("int"), F.col("low") - (F.col("low") / 2).cast("int")
+    half = F.array(F.substring(text, F.lit(1), first), F.substring(text, size - rest + 1, rest))
+    member = member.select("word", "n", "low", F.posexplode(half).alias("last", "half"))
+    member = member.select(F.xxhash64("last", "low", "half").alias("bucket"), F.struct("word", "n", "last", "low").alias("node"))
+    tiles = dealt(in_tiles(member, TILE)).select("bucket", "ta", "tb", "side", "node.word", "node.n", "node.last", "node.low")
     found = tiles.mapInPandas(_near, "word string, near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("b")).select(
