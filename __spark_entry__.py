@@ -22,6 +22,7 @@ import oracles as O
 from lakeprobe.operators import checks as Q
 from lakeprobe.operators import distributions as D
 from lakeprobe.operators import meta as M
+from lakeprobe.operators.layouts import layout_votes, read_dates
 from lakeprobe.operators.profile import coverage_summary, profile, samples
 from lakeprobe.operators.rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, POLICY_EXACT,
                                        POLICY_PATTERN, claims_columns, find_column)
@@ -261,6 +262,13 @@ def q_scalar_parse_number(spark, sf):
     return r4(df.select("event_id", "mixed_txt", parse_number(F.col("mixed_txt")).alias("parsed")))
 
 
+def q_date_layout_read(spark, sf):
+    """The text dates of orders, each column read by the layout of its vote."""
+    cols = list(O.LAYOUT_COLUMNS[:4])
+    df = read_dates(dataset(spark, sf, "layout_fx"), cols)
+    return df.select("order_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in cols])
+
+
 # ---------------------------------------------------------------------------
 # rule layer over the three fixtures
 
@@ -333,6 +341,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "findings": _rule("findings"),
         "roadmap_steps": _rule("roadmap"),
         "roadmap_summary": _rule("roadmap_summary"),
+        "date_layout_votes": lambda spark, sf: layout_votes(dataset(spark, sf, "layout_fx"), dataset="layout_fx"),
+        "date_layout_profile": lambda spark, sf: _profile(spark, sf, "layout_fx").where("kind = 'string'").select(
+            "ordinal", "column", "dtype", "date_layout", "date_parsed", "bad_dates", "layout_conflicts", "future_dates"),
+        "date_layout_read": q_date_layout_read,
     }
 
 

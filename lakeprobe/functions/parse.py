@@ -28,6 +28,19 @@ _NUM_SHAPE = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
 _ANY_DATE = r"^(\s*[+-]?\d|[A-Za-z]{3} \d)"
 
 
+# The layouts a text column can be read by: ISO forms (and a bare year), then the rest.
+ISO = "ISO"
+LAYOUTS = (ISO, *DATE_FORMATS)
+
+
+def _tries(s: Column) -> list[Column]:
+    """The trimmed text read by each of ``LAYOUTS``."""
+    out = [F.when(s.rlike(_ISO_SHAPE), s.try_cast("timestamp_ntz"))]
+    for f in DATE_FORMATS:
+        out.append(F.when(s.rlike(_SHAPES[f]), F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz")))
+    return out
+
+
 def parse_date(c: Column) -> Column:
     """Per-value parse of text to ``timestamp_ntz``; NULL when no layout fits.
 
@@ -35,11 +48,24 @@ def parse_date(c: Column) -> Column:
     tried in order with ``try_to_timestamp``. Blanks around the text do not count.
     """
     s = F.trim(c.cast("string"))
-    tries = [F.when(s.rlike(_ISO_SHAPE), s.try_cast("timestamp_ntz"))]
-    for f in DATE_FORMATS:
-        tries.append(F.when(s.rlike(_SHAPES[f]),
-                            F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz")))
-    return F.when(s.rlike(_ANY_DATE), F.coalesce(*tries))
+    return F.when(s.rlike(_ANY_DATE), F.coalesce(*_tries(s)))
+
+
+def parse_layouts(c: Column) -> Column:
+    """The text read by each of ``LAYOUTS``, as an array of ``timestamp_ntz``; NULL
+    for text that looks like no date at all."""
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(_ANY_DATE), F.array(*_tries(s)))
+
+
+def parse_date_as(c: Column, layout: Column) -> Column:
+    """The text read by the one ``layout`` (one of ``LAYOUTS``, may differ by row);
+    NULL where it does not fit or the layout is NULL."""
+    s = F.trim(c.cast("string"))
+    out = F.lit(None).cast("timestamp_ntz")
+    for name, one in zip(LAYOUTS, _tries(s)):
+        out = F.when(layout == name, one).otherwise(out)
+    return F.when(s.rlike(_ANY_DATE), out)
 
 
 def parse_number(c: Column) -> Column:

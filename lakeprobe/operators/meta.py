@@ -5,10 +5,11 @@ from __future__ import annotations
 import logging
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import clean
+from ..functions.parse import LAYOUTS, parse_layouts
 from ..functions.text import size_label, ymd
 from .profile import _as_date
 from .rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, META_CLAIM, META_DATE,
@@ -100,30 +101,43 @@ def _claim_facts(df: DataFrame) -> tuple[str | None, list, list]:
     return info.name, [F.count_if(pred).alias("k")], [F.col("k").cast("bigint").alias("claiming_entities"), rate.alias("claim_rate")]
 
 
-def _date_facts(df: DataFrame) -> tuple[list, list]:
-    """Aggregates and results of the earliest and latest date over columns named
-    like dates whose values parse in over 30 % of rows."""
-    cands = []
+def _date_facts(df: DataFrame) -> tuple[list, list, list]:
+    """The parsed columns, aggregates and results of the earliest and latest date
+    over columns named like dates whose values parse in over 30 % of rows. Text is
+    read by the layout that reads most of the column."""
+    read, aggs = [], []
+    facts = lambda d: F.struct(F.count(d).alias("k"), F.min(d).alias("a"), F.max(d).alias("b"))
     for ci in columns_of(df):
         if ci.kind == "nested" or not re.search(META_DATE, ci.name, re.I):
             continue
+        if ci.kind == "string":
+            name = f"d{ci.ordinal}"
+            read.append(parse_layouts(F.col(ci.ref)).alias(name))
+            aggs.append(F.array(*[facts(F.get(F.col(name), F.lit(i))) for i in range(len(LAYOUTS))]).alias(f"t{len(aggs)}"))
+            continue
         parsed, _ = _as_date(ci, F.col(ci.ref))
         if parsed is not None:
-            cands.append(parsed)
-    if not cands:
+            aggs.append(F.array(facts(parsed)).alias(f"t{len(aggs)}"))
+    if not aggs:
         none = F.lit(None).cast("string")
-        return [], [none.alias("date_min"), none.alias("date_max")]
-    aggs = [x for i, p in enumerate(cands)
-            for x in (F.count(p).alias(f"k{i}"), F.min(p).alias(f"a{i}"), F.max(p).alias(f"b{i}"))]
-    over = lambda v: F.array(*[F.when(F.col(f"k{i}") > F.col("n") * DATE_SHARE, F.col(f"{v}{i}")) for i in range(len(cands))])
-    return aggs, [ymd(F.array_min(over("a"))).alias("date_min"), ymd(F.array_max(over("b"))).alias("date_max")]
+        return [], [], [none.alias("date_min"), none.alias("date_max")]
+
+    def over(field: str) -> Column:
+        each = []
+        for i in range(len(aggs)):
+            k = F.transform(f"t{i}", lambda x: x["k"])
+            best = F.element_at(f"t{i}", F.array_position(k, F.array_max(k)).cast("int"))
+            each.append(F.when(best["k"] > F.col("n") * DATE_SHARE, best[field]))
+        return F.array(*each)
+
+    return read, aggs, [ymd(F.array_min(over("a"))).alias("date_min"), ymd(F.array_max(over("b"))).alias("date_max")]
 
 
 def claims_and_dates(df: DataFrame, dataset: str = "data") -> DataFrame:
     """A8 and A9 in one aggregate, with the rows (part of S5)."""
     column, claim_aggs, claims = _claim_facts(df)
-    date_aggs, dates = _date_facts(df)
-    g = by_position(df).agg(F.count(F.lit(1)).alias("n"), *claim_aggs, *date_aggs)
+    read, date_aggs, dates = _date_facts(df)
+    g = by_position(df).select("*", *read).agg(F.count(F.lit(1)).alias("n"), *claim_aggs, *date_aggs)
     out = g.select(F.lit(dataset).alias("dataset"), F.col("n").cast("bigint").alias("rows"),
                    F.lit(column).cast("string").alias("claim_column"), *claims, *dates)
     return out.withColumn("date_range", F.when(F.col("date_min").isNotNull(), F.concat_ws(" → ", "date_min", "date_max")))
@@ -138,8 +152,8 @@ def claim_rate(df: DataFrame, dataset: str = "data") -> DataFrame:
 
 def date_range(df: DataFrame, dataset: str = "data") -> DataFrame:
     """A9 alone."""
-    aggs, out = _date_facts(df)
-    g = by_position(df).agg(F.count(F.lit(1)).alias("n"), *aggs).select(F.lit(dataset).alias("dataset"), *out)
+    read, aggs, out = _date_facts(df)
+    g = by_position(df).select("*", *read).agg(F.count(F.lit(1)).alias("n"), *aggs).select(F.lit(dataset).alias("dataset"), *out)
     return g.withColumn("date_range", F.when(F.col("date_min").isNotNull(), F.concat_ws(" → ", "date_min", "date_max")))
 
 

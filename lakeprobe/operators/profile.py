@@ -3,19 +3,28 @@
 ``profile(df, dataset)`` runs one aggregate of fixed-width counts over the table,
 without a shuffle of values, and returns one row per column. Distinct counts are
 taken apart from it, one pruned column at a time, and only where they are read.
+
+The aggregate's rows (``partials``) merge: sums, least and largest values and
+sketches of parts of a table give those of the whole (``merged``). A stored catalog
+keeps them per file (``plans/catalog.py``).
+
+Dates in text are read by one layout a column, the one that reads most of its values
+(ties: in the order of ``LAYOUTS``), so an ambiguous day and month is decided for the
+whole column. Values that only other layouts read are bad dates.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.nulls import clean
-from ..functions.parse import parse_date, parse_number
+from ..functions.parse import LAYOUTS, parse_layouts, parse_number
 from .rules import category_expr
 from .schema import ColumnInfo, by_position, columns_of
 
@@ -24,6 +33,7 @@ PROFILE_COLUMNS = (
     "dataset", "ordinal", "column", "spark_type", "kind", "dtype", "category",
     "rows", "non_null", "coverage", "coverage_pct", "unique_values",
     "date_parsed", "num_parsed", "negatives", "bad_dates", "future_dates", "constant",
+    "date_layout", "layout_conflicts",
 )
 
 _YEAR = "year"
@@ -41,12 +51,9 @@ def as_of_lit(as_of) -> Column:
 
 
 def _as_date(ci: ColumnInfo, c: Column) -> tuple[Column | None, Column | None]:
-    """(parsed timestamp, bad-value flag) for the date checks, or Nones when
-    the column is not read as dates. Integer ``year`` columns in 1900..2100
-    become 1 January; other numbers are not dates."""
-    if ci.kind == "string":
-        p = parse_date(c)
-        return p, c.isNotNull() & p.isNull()
+    """(timestamp, bad-value flag) of columns that are dates by type, or Nones.
+    Integer ``year`` columns in 1900..2100 become 1 January; other numbers are not
+    dates."""
     if ci.kind == "temporal":
         return c.cast("timestamp_ntz"), F.lit(False)
     if ci.is_integer and re.search(_YEAR, ci.name, re.I):
@@ -57,29 +64,94 @@ def _as_date(ci: ColumnInfo, c: Column) -> tuple[Column | None, Column | None]:
     return None, None
 
 
-def _column_metrics(ci: ColumnInfo, as_of: Column) -> Column:
+_LAYOUT = "array<struct<n:bigint,future:bigint,last:timestamp_ntz>>"
+
+
+def _column_metrics(ci: ColumnInfo, as_of: Column, sketches: Sketches | None) -> Column:
     c = F.col(ci.ref)
     x = clean(c, ci.dtype)
     none = F.lit(None).cast("bigint")
     parsed, bad = _as_date(ci, c)
     text = ci.kind == "string"
-    constant = F.lit(None).cast("boolean")
+    low = high = none
     if ci.kind != "nested":  # at most one value: one hash
         h = F.when(x.isNotNull(), F.xxhash64(x))
-        constant = F.coalesce(F.min(h) == F.max(h), F.lit(True))
+        low, high = F.min(h), F.max(h)
     counts = {
         "non_null": F.count(x),
-        "date_parsed": F.count(parsed) if text else none,
         "num_parsed": F.count(parse_number(c)) if text else none,
         "negatives": F.count_if(x < 0) if ci.kind == "numeric" else none,
-        "bad_dates": F.lit(0) if parsed is None else F.count_if(bad),
-        "future_dates": F.lit(0) if parsed is None else F.count_if(parsed > as_of),
+        "bad": F.lit(0) if parsed is None else F.count_if(bad),
+        "future": F.lit(0) if parsed is None else F.count_if(parsed > as_of),
     }
+    layouts, any_date = F.lit(None).cast(_LAYOUT), none
+    if text:
+        each = [F.get(F.col(f"d{ci.ordinal}"), F.lit(i)) for i in range(len(LAYOUTS))]
+        layouts = F.array(*[F.struct(F.count(d).alias("n"), F.count_if(d > as_of).alias("future"), F.max(d).alias("last")) for d in each])
+        any_date = F.count(F.coalesce(*each))
+    last = F.lit(None).cast("timestamp_ntz") if parsed is None else F.max(parsed)
+    distinct, quantile = (F.lit(None).cast("binary"),) * 2
+    if sketches and ci.kind != "nested":
+        distinct = F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), F.lit(sketches.lg_k))
+        if ci.kind == "numeric":
+            quantile = F.kll_sketch_agg_double(x.cast("double"), F.lit(sketches.quantile_k))
     return F.struct(
         F.lit(ci.ordinal).alias("ordinal"), F.lit(ci.name).alias("column"),
         F.lit(ci.dtype.simpleString()).alias("spark_type"), F.lit(ci.kind).alias("kind"),
         F.lit(ci.label).alias("type_label"),
-        *[v.cast("bigint").alias(k) for k, v in counts.items()], constant.alias("constant"))
+        *[v.cast("bigint").alias(k) for k, v in counts.items()], last.alias("last"),
+        any_date.alias("any_date"), layouts.cast(_LAYOUT).alias("layouts"),
+        low.alias("low"), high.alias("high"), distinct.alias("distinct_sketch"), quantile.alias("quantile_sketch"))
+
+
+@dataclass(frozen=True)
+class Sketches:
+    """What a catalog's sketches keep: ``2 ** lg_k`` registers for distinct values
+    (standard error about 1.04 / sqrt of that), and KLL's ``k`` for quantiles."""
+    lg_k: int = 12
+    quantile_k: int = 1024
+
+
+def partials(df: DataFrame, as_of=None, by: Column | None = None, sketches: Sketches | None = None,
+             batch: int = 200) -> DataFrame:
+    """One row per column of what merges over parts of a table, or, with ``by`` (a
+    column of ``df``, such as the file's path), one per column and its value ``part``.
+
+    ``batch`` columns go into one aggregate (a text column counts as five); a wider
+    table is scanned once per batch, so generated code stays small.
+    """
+    cols, clock = columns_of(df), as_of_lit(as_of)
+    part = [] if by is None else [by.alias("part")]
+    named = df.select(*part, *[F.col("`" + f.name.replace("`", "``") + "`").alias(ci.ref)
+                               for f, ci in zip(df.schema.fields, cols)]) if part else by_position(df)
+    batches, size = [[]], 0
+    for ci in cols:
+        size += 5 if ci.kind == "string" else 1
+        if size > batch and batches[-1]:
+            batches.append([])
+            size = 5 if ci.kind == "string" else 1
+        batches[-1].append(ci)
+    out = None
+    for some in batches:
+        # each text is read by all layouts once, before the aggregates use it
+        dates = [parse_layouts(F.col(ci.ref)).alias(f"d{ci.ordinal}") for ci in some if ci.kind == "string"]
+        p = named.select(*(["part"] if part else []), *[ci.ref for ci in some], *dates)
+        structs = [_column_metrics(ci, clock, sketches) for ci in some]
+        keys = ["part"] if part else []
+        got = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("m")).select(*keys, "rows", F.inline("m"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``partials`` of parts of tables, merged to one row per ``keys`` and column."""
+    names = ["ordinal", "column", "spark_type", "kind", "type_label"]
+    layout = lambda i, f: F.get(F.col("layouts"), F.lit(i)).getField(f)
+    layouts = F.array(*[F.struct(F.sum(layout(i, "n")).alias("n"), F.sum(layout(i, "future")).alias("future"),
+                                 F.max(layout(i, "last")).alias("last")) for i in range(len(LAYOUTS))])
+    return parts.groupBy(*keys, *names).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "non_null", "num_parsed", "negatives", "bad", "future", "any_date")],
+        F.max("last").alias("last"), layouts.cast(_LAYOUT).alias("layouts"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def distinct_counts(df: DataFrame, cols: list[ColumnInfo] | None = None, method: str = "exact") -> DataFrame:
@@ -118,37 +190,40 @@ def profile(df: DataFrame, dataset: str = "data", distinct: str | None = "exact"
 
     ``distinct``: ``exact`` or ``approx`` counts the distinct values of all
     columns, ``text`` those of text columns exactly, None of none
-    (``unique_values`` is then NULL). ``batch`` columns go into one aggregate;
-    a wider table is scanned once per batch, so generated code stays small.
+    (``unique_values`` is then NULL).
     """
-    cols = columns_of(df)
-    p = by_position(df)
-    clock = as_of_lit(as_of)
-    out = None
-    for start in range(0, max(len(cols), 1), batch):
-        structs = [_column_metrics(ci, clock) for ci in cols[start:start + batch]]
-        part = p.agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("m")).select("rows", F.inline("m"))
-        out = part if out is None else out.unionByName(part)
+    out = partials(df, as_of, batch=batch)
     if distinct is None:
         out = out.withColumn("unique_values", F.lit(None).cast("bigint"))
     else:
-        wanted = [ci for ci in cols if distinct != "text" or ci.kind == "string"]
+        wanted = [ci for ci in columns_of(df) if distinct != "text" or ci.kind == "string"]
         counts = distinct_counts(df, wanted, "approx" if distinct == "approx" else "exact")
         out = out.join(counts, "ordinal", "left")
-    return finish_profile(out, dataset)
+    return finish_profile(out.withColumn("dataset", F.lit(dataset)))
 
 
-def finish_profile(stats: DataFrame, dataset: str) -> DataFrame:
-    """Derived fields from the raw counts: type label, coverage, category."""
+def finish_profile(stats: DataFrame) -> DataFrame:
+    """Derived fields from the raw counts of whole tables: the date layout that wins,
+    type label, coverage, category."""
     non_null, rows = F.col("non_null"), F.col("rows")
-    dtype = F.when(
-        (F.col("kind") == "string") & (F.col("date_parsed") > F.col("non_null") * 0.7),
-        F.lit("datetime (string)")).otherwise(F.col("type_label"))
+    text = F.col("kind") == "string"
+    most = F.array_max(F.transform("layouts", lambda s: s["n"]))
+    # the first layout of the largest count
+    place = F.array_position(F.transform("layouts", lambda s: s["n"]), most).cast("int")
+    win = lambda f: F.element_at("layouts", place).getField(f)
+    parsed = F.when(text, F.coalesce(most, F.lit(0)))
+    stats = stats.withColumn("date_parsed", parsed).withColumns({
+        "bad_dates": F.when(text, non_null - F.col("date_parsed")).otherwise(F.col("bad")),
+        "future_dates": F.when(text, F.coalesce(win("future"), F.lit(0))).otherwise(F.col("future")),
+        "date_layout": F.when(F.col("date_parsed") > 0, F.element_at(F.array(*map(F.lit, LAYOUTS)), place)),
+        "layout_conflicts": F.when(text, F.coalesce("any_date", F.lit(0)) - F.col("date_parsed")),
+        "constant": F.when(F.col("kind") != "nested", F.coalesce(F.col("low") == F.col("high"), F.lit(True))),
+    })
+    dtype = F.when(text & (F.col("date_parsed") > non_null * 0.7), F.lit("datetime (string)")).otherwise(F.col("type_label"))
     # Empty table: coverage is undefined (NULL), not an error.
     coverage = F.when(rows > 0, non_null / rows)
     return stats.select(
-        F.lit(dataset).alias("dataset"),
-        F.col("ordinal").cast("int").alias("ordinal"),
+        "dataset", F.col("ordinal").cast("int").alias("ordinal"),
         "column", "spark_type", "kind",
         dtype.alias("dtype"),
         category_expr(F.col("column")).alias("category"),
@@ -156,8 +231,7 @@ def finish_profile(stats: DataFrame, dataset: str) -> DataFrame:
         non_null,
         coverage.alias("coverage"),
         F.round(coverage * 100, 1).alias("coverage_pct"),
-        "unique_values", "date_parsed", "num_parsed", "negatives",
-        "bad_dates", "future_dates", "constant",
+        *PROFILE_COLUMNS[PROFILE_COLUMNS.index("unique_values"):],
     )
 
 

@@ -39,28 +39,45 @@ SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality AS quality_label, l.toxi
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
+# Dates as text: nine in ten day first, or month first, each with the other as minority;
+# one column where only a few values decide; one of two other layouts.
+_Y, _M, _D = (f"substr(CAST(o_orderdate AS STRING), {a}, {n})" for a, n in ((1, 4), (6, 2), (9, 2)))
+_DMY, _MDY = f"concat({_D}, '/', {_M}, '/', {_Y})", f"concat({_M}, '/', {_D}, '/', {_Y})"
+LAYOUT_FX = f"""
+SELECT o_orderkey AS order_id,
+  CASE WHEN o_orderkey % 10 = 0 THEN {_MDY} ELSE {_DMY} END AS booked_date,
+  CASE WHEN o_orderkey % 10 = 0 THEN {_DMY} ELSE {_MDY} END AS paid_date,
+  CASE WHEN CAST({_D} AS INT) <= 12 OR o_orderkey % 5 = 0 THEN {_DMY} ELSE 'unknown' END AS due_date,
+  CASE WHEN o_orderkey % 7 = 0 THEN concat({_Y}, {_M}, {_D}) WHEN o_orderkey % 7 = 1 THEN concat({_Y}, '/', {_M}, '/', {_D})
+    ELSE concat(' ', {_Y}, '-', {_M}, '-', {_D}) END AS sent_date,
+  o_orderpriority AS priority
+FROM {{orders}}
+"""
+
 FIXTURES = {
     "policy_fx": (POLICY_FX, ("lineitem",)),
     "dirty_fx": (DIRTY_FX, ("events",)),
     "labelled_fx": (LABELLED_FX, ("documents", "labels")),
 }
+# Every view by name; the rule keys run over FIXTURES only.
+VIEWS = FIXTURES | {"layout_fx": (LAYOUT_FX, ("orders",))}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql, deps = FIXTURES[name]
+    sql, deps = VIEWS[name]
     return spark.sql(sql, **{d: table(spark, sf_dir, d) for d in deps})
 
 
 def fixture_sql(name: str) -> str:
     """The same view as SQL over plain table names."""
-    sql, deps = FIXTURES[name]
+    sql, deps = VIEWS[name]
     return sql.format(**{d: d for d in deps})
 
 
 def dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table or a fixture by name."""
-    if name in FIXTURES:
+    if name in VIEWS:
         return fixture(spark, sf_dir, name)
     return table(spark, sf_dir, name)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import oracle_values as R
-from lakeprobe.plans.fixtures import FIXTURES, fixture_sql
+from lakeprobe.plans.fixtures import FIXTURES, VIEWS, fixture_sql
 from oracle_values import (CATEGORY_RULES, CHECK_NAMES, CLAIM_AMOUNT, CLAIM_COUNT, CLAIM_FLAG,
                            CUSTOMER_EXACT, CUSTOMER_PATTERN, HEATMAP_CATEGORIES, LEAKAGE_OVERRIDE,
                            POLICY_EXACT, POLICY_PATTERN, ROADMAP_STEPS)
@@ -61,7 +61,7 @@ FIXTURE_NAMES = list(FIXTURES)
 
 
 def src(name: str) -> str:
-    return f"({fixture_sql(name)})" if name in FIXTURES else name
+    return f"({fixture_sql(name)})" if name in VIEWS else name
 
 
 def q(name: str) -> str:
@@ -102,6 +102,50 @@ def parse_date_sql(x: str) -> str:
     return g
 
 
+# The layouts a text column can be read by, in order, as (shape, read by).
+LAYOUT_SQL = (
+    ("ISO", "^\\s*[+-]?\\d{4}($|-)", "try_cast({x} AS TIMESTAMP)"),
+    ("yyyy/MM/dd", "^\\d{4}/\\d{1,2}/\\d{1,2}$", "try_strptime({x}, '%Y/%m/%d')"),
+    ("MM/dd/yyyy", "^\\d{1,2}/\\d{1,2}/\\d{4}$", "try_strptime({x}, '%m/%d/%Y')"),
+    ("dd/MM/yyyy", "^\\d{1,2}/\\d{1,2}/\\d{4}$", "try_strptime({x}, '%d/%m/%Y')"),
+    ("yyyyMMdd", "^\\d{8}$", "try_strptime({x}, '%Y%m%d')"),
+    ("MMM d yyyy", "^[A-Za-z]{3} \\d{1,2} \\d{4}$", "try_strptime({x}, '%b %d %Y')"),
+)
+LAYOUT_COLUMNS = ("booked_date", "paid_date", "due_date", "sent_date", "priority")
+
+
+def layouts_sql() -> str:
+    """CTEs: l (row, column, layout, its place, value as read), w (votes per column and
+    layout), b (the layout that reads a column)."""
+    arms = []
+    for i, c in enumerate(LAYOUT_COLUMNS, 1):
+        x = f"trim({q(c)})"
+        for k, (name, shape, read) in enumerate(LAYOUT_SQL):
+            one = f"CASE WHEN regexp_matches({x}, {lit(shape)}) THEN {read.format(x=x)} END"
+            arms.append(f"SELECT order_id, {i} AS ordinal, {lit(c)} AS \"column\", {lit(name)} AS layout, {k} AS k, {one} AS v FROM {src('layout_fx')}")
+    return (f"WITH l AS ({' UNION ALL '.join(arms)}), "
+            f"w AS (SELECT ordinal, \"column\", layout, k, CAST(count(v) AS BIGINT) AS votes FROM l GROUP BY ALL HAVING count(v) > 0), "
+            f"b AS (SELECT ordinal, arg_min(layout, -votes * 10 + k) AS best FROM w GROUP BY ordinal)\n")
+
+
+def layout_profile_sql() -> str:
+    cols = " UNION ALL ".join(f"SELECT {i} AS ordinal, {lit(c)} AS \"column\", count({q(c)}) AS non_null FROM {src('layout_fx')}"
+                              for i, c in enumerate(LAYOUT_COLUMNS, 1))
+    return layouts_sql() + (
+        f"SELECT c.ordinal, c.\"column\", CASE WHEN coalesce(r.n, 0) > c.non_null * 0.7 THEN 'datetime (string)' ELSE 'object' END AS dtype, "
+        f"b.best AS date_layout, CAST(coalesce(r.n, 0) AS BIGINT) AS date_parsed, CAST(c.non_null - coalesce(r.n, 0) AS BIGINT) AS bad_dates, "
+        f"CAST(coalesce(a.n, 0) - coalesce(r.n, 0) AS BIGINT) AS layout_conflicts, CAST(coalesce(r.f, 0) AS BIGINT) AS future_dates "
+        f"FROM ({cols}) c LEFT JOIN b USING (ordinal) "
+        f"LEFT JOIN (SELECT l.ordinal, count(v) AS n, count(CASE WHEN v > TIMESTAMP '{AS_OF}' THEN 1 END) AS f FROM l JOIN b ON l.ordinal = b.ordinal AND l.layout = b.best GROUP BY l.ordinal) r USING (ordinal) "
+        f"LEFT JOIN (SELECT ordinal, count(DISTINCT order_id) AS n FROM l WHERE v IS NOT NULL GROUP BY ordinal) a USING (ordinal)")
+
+
+def layout_read_sql() -> str:
+    return layouts_sql() + (
+        "SELECT order_id, " + ", ".join(f"strftime(any_value(CASE WHEN l.\"column\" = {lit(c)} THEN v END), '%Y-%m-%d') AS {q(c)}" for c in LAYOUT_COLUMNS[:4])
+        + " FROM l LEFT JOIN b ON l.ordinal = b.ordinal AND l.layout = b.best WHERE b.best IS NOT NULL OR l.ordinal = 5 GROUP BY order_id")
+
+
 def parse_number_sql(x: str) -> str:
     return (f"CASE WHEN regexp_matches({x}, '(?i)^\\s*[+-]?(\\d|\\.\\d|inf|nan)') "
             f"AND NOT regexp_matches({x}, '[0-9.][dDfF]\\s*$') AND NOT isnan(try_cast({x} AS DOUBLE)) "
@@ -644,6 +688,10 @@ def oracle_queries() -> dict[str, str]:
         "readiness_score": readiness_sql(FIXTURE_NAMES),
         "findings": findings_sql(FIXTURE_NAMES),
         "roadmap_steps": roadmap_sql(FIXTURE_NAMES),
+        "date_layout_votes": layouts_sql() + ("SELECT 'layout_fx' AS dataset, ordinal, \"column\", layout, votes, layout = best AS chosen "
+                                              "FROM w JOIN b USING (ordinal)"),
+        "date_layout_profile": layout_profile_sql(),
+        "date_layout_read": layout_read_sql(),
     }
     return {k: no_count_if(v) for k, v in out.items()}
 
