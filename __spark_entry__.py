@@ -27,6 +27,7 @@ from lakeprobe.operators.profile import coverage_summary, profile, samples
 from lakeprobe.operators.rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, POLICY_EXACT,
                                        POLICY_PATTERN, claims_columns, find_column)
 from lakeprobe.functions import parse_date, parse_number
+from lakeprobe.plans.catalog import ProfileCatalog
 from lakeprobe.plans.fixtures import dataset
 from lakeprobe.operators.scoring import features, targets
 from lakeprobe.plans.report import assess, report, union_all
@@ -269,6 +270,55 @@ def q_date_layout_read(spark, sf):
     return df.select("order_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in cols])
 
 
+# ---------------------------------------------------------------------------
+# the stored catalog
+
+def _stored(spark, sf, names) -> ProfileCatalog:
+    """A catalog of whole test tables, read from their files."""
+    catalog = ProfileCatalog(spark, _scratch(spark))
+    catalog.refresh_all({n: f"{sf.rstrip('/')}/{n}.parquet" for n in names}, as_of=AS_OF)
+    return catalog
+
+
+_STORED = ("dataset", "ordinal", "column", "dtype", "category", "rows", "non_null", "coverage_pct", "date_parsed",
+           "num_parsed", "negatives", "bad_dates", "future_dates")
+
+
+def q_catalog_refresh(spark, sf):
+    """lineitem arrives in three appends; the catalog reads each file once."""
+    path, catalog = _scratch(spark), ProfileCatalog(spark, _scratch(spark))
+    li = table(spark, sf, "lineitem")
+    for arrived in ("l_linenumber <= 2", "l_linenumber BETWEEN 3 AND 4", "l_linenumber > 4"):
+        li.where(arrived).write.mode("append").parquet(path)
+        catalog.refresh("lineitem", path, as_of=AS_OF)
+    return r4(catalog.profile().select(*_STORED))
+
+
+def q_catalog_lake(spark, sf):
+    return r4(_stored(spark, sf, O.TABLES).profile().select(*_STORED))
+
+
+def q_catalog_features(spark, sf):
+    """Feature classes of every table from the stored profiles: no scan of data."""
+    return features(_stored(spark, sf, O.TABLES).profile(distinct="sketch"))
+
+
+def q_catalog_distinct(spark, sf):
+    """Distinct values of unions of columns, from sketches, beside the exact counts."""
+    groups = {g: list(pairs) for g, pairs in O.DISTINCT_GROUPS.items()}
+    found = _stored(spark, sf, sorted({d for p in groups.values() for d, _ in p})).distinct(groups)
+    exact = union_all([union_all([table(spark, sf, d).select(F.col(c).cast("string").alias("v")) for d, c in pairs]).agg(
+        F.count_distinct("v").alias("exact")).select(F.lit(g).alias("name"), "exact") for g, pairs in groups.items()])
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))
+    return found.join(exact, "name").select("name", "exact", near.alias("within_5_percent"))
+
+
+def q_catalog_outliers(spark, sf):
+    """Exact quartiles and outliers whose brackets come from stored sketches."""
+    kll = _stored(spark, sf, ["lineitem"]).quantile_sketches().drop("dataset")
+    return r4(Q.outlier_counts(table(spark, sf, "lineitem"), "lineitem", sketches=kll))
+
+
 # ---------------------------------------------------------------------------
 # rule layer over the three fixtures
 
@@ -345,6 +395,11 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "date_layout_profile": lambda spark, sf: _profile(spark, sf, "layout_fx").where("kind = 'string'").select(
             "ordinal", "column", "dtype", "date_layout", "date_parsed", "bad_dates", "layout_conflicts", "future_dates"),
         "date_layout_read": q_date_layout_read,
+        "catalog_refresh": q_catalog_refresh,
+        "catalog_lake": q_catalog_lake,
+        "catalog_features": q_catalog_features,
+        "catalog_distinct": q_catalog_distinct,
+        "catalog_outliers": q_catalog_outliers,
     }
 
 

@@ -303,15 +303,16 @@ OUTLIER_SCHEMA = "dataset string, column string, q1 double, q3 double, lo double
 
 
 def outlier_counts(df: DataFrame, dataset: str = "data", method: str = "exact",
-                   limit: int | None = None) -> DataFrame:
+                   limit: int | None = None, sketches: DataFrame | None = None, sketch_k: int = 1024) -> DataFrame:
     """Q7 per column: quartiles, fences at 3 x IQR (exclusive) and the count
     outside them, for all numeric columns or the first ``limit``; IQR 0 is
-    skipped."""
+    skipped. ``sketches`` (``column, sketch``, as a catalog stores them) save one
+    of the reads that exact quartiles take."""
     num = [c.name for c in columns_of(df) if c.kind == "numeric"][:limit]
     if not num:
         return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
     long = numeric_long(df, num)
-    q = quantiles(long, ["column"], [0.25, 0.75], method, few_groups=True)
+    q = quantiles(long, ["column"], [0.25, 0.75], method, few_groups=True, sketches=sketches, sketch_k=sketch_k)
     b = q.groupBy("column").agg(
         F.max(F.when(F.col("q_no") == 0, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("q_no") == 1, F.col("value"))).alias("q3"))

@@ -26,8 +26,30 @@ TOP_CATEGORIES = 20
 SUB_BUCKETS = 4096
 
 
+def rank_error(k: int) -> float:
+    """Rank error that a KLL sketch of size ``k`` keeps in 99 of 100 queries, as a share
+    of its values."""
+    return 2.296 / k ** 0.9723
+
+
+def sketch_brackets(sketches: DataFrame, keys: list[str], probs: list[float], k: int) -> DataFrame:
+    """``keys + [n, lo, hi]``: values that enclose each target rank, from stored KLL
+    sketches (``sketch``) of size ``k``: three times their rank error to either side."""
+    err = rank_error(k)
+    widths = [4 * err, 3 * err + 0.1, 1.0]       # the function takes constant ranks only
+    need = F.lit(3 * err) + F.lit(3.0) / F.col("n")
+    inside = lambda x: min(1.0, max(0.0, x))
+
+    def edge(sign: int) -> Column:
+        each = [F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(inside(p + sign * w)) for p in probs])) for w in widths]
+        return F.when(need <= widths[0], each[0]).when(need <= widths[1], each[1]).otherwise(each[2])
+
+    return sketches.withColumn("n", F.kll_sketch_get_n_double("sketch")).select(*keys, "n", edge(-1).alias("lo"), edge(1).alias("hi"))
+
+
 def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str = "exact",
-              accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
+              accuracy: int = 10_000, few_groups: bool = False, sketches: DataFrame | None = None,
+              sketch_k: int = 1024) -> DataFrame:
     """Linear-interpolated quantiles of ``v`` per ``keys`` group.
 
     ``long`` holds ``keys + [v]`` with ``v`` a non-null double. Returns
@@ -40,7 +62,10 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     each bracket, which finds the step that holds the rank. Pass 3 ranks the
     grouped values of that step alone: about n / accuracy / 1,000 of them. A rank
     outside its bracket raises an error. What passes 1 and 2 found is written to the
-    checkpoint folder at once, so ``long`` is read three times and no more.
+    checkpoint folder at once, so ``long`` is read three times and no more. With
+    ``sketches``, a stored table ``keys + [sketch]`` of the same values' KLL sketches
+    (size ``sketch_k``), the brackets come from these and it is read twice; values
+    other in number than the sketches' raise an error.
     ``approx`` returns the sketch estimate.
     """
     order = sorted(range(len(probs)), key=lambda i: probs[i])
@@ -62,9 +87,12 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
         return expr
 
     q = len(ps)
-    brackets = long.groupBy(*keys).agg(
-        F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("_b"),
-    ).select(*keys, "n", F.array(*[bound(i, 0) for i in range(q)]).alias("lo"), F.array(*[bound(i, 1) for i in range(q)]).alias("hi"))
+    if sketches is None:
+        brackets = long.groupBy(*keys).agg(
+            F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("_b"),
+        ).select(*keys, "n", F.array(*[bound(i, 0) for i in range(q)]).alias("lo"), F.array(*[bound(i, 1) for i in range(q)]).alias("hi"))
+    else:
+        brackets = sketch_brackets(sketches, keys, ps, sketch_k)
     ensure_checkpoint_dir(long.sparkSession)
     brackets = brackets.checkpoint()  # a row per group
 
@@ -86,12 +114,14 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     counts = placed.select(*keys, F.explode(F.array(above, *inside)).alias("x")).where("x.b IS NOT NULL").groupBy(
         *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
     below = counts.where("i = -1").groupBy(*keys).agg(F.array(*[
-        F.coalesce(F.sum(F.when(F.col("b") >= q - i, F.col("cnt"))), F.lit(0)) for i in range(q)]).alias("below"))
+        F.coalesce(F.sum(F.when(F.col("b") >= q - i, F.col("cnt"))), F.lit(0)) for i in range(q)]).alias("below"),
+        F.sum("cnt").alias("seen"))
     run = Window.partitionBy(*keys, "i").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = (F.col("n") - 1) * at(ps, F.col("i"))
     steps = counts.where("i >= 0").withColumn("upto", F.sum("cnt").over(run)).join(hint(below), list(keys)).join(
         hint(brackets.select(*keys, "n")), list(keys))
-    start = F.get("below", F.col("i")) + F.col("upto") - F.col("cnt")
+    other = F.raise_error(F.lit("the values are not those of the sketches")).cast("bigint")
+    start = F.when(F.col("seen") == F.col("n"), F.get("below", F.col("i")) + F.col("upto") - F.col("cnt")).otherwise(other)
     ranks = (steps.withColumn("start", start).withColumn("r_lo", F.floor(h)).withColumn("r_hi", F.ceil(h))
              .withColumn("frac", h - F.floor(h)))
     holds = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("start") + F.col("cnt"))

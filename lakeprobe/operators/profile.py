@@ -43,6 +43,8 @@ def as_of_lit(as_of) -> Column:
     """Clock for future-date tests; pass a value so results repeat."""
     if as_of is None:
         return F.current_timestamp().cast("timestamp_ntz")
+    if isinstance(as_of, Column):
+        return as_of
     if isinstance(as_of, str):
         return F.lit(as_of).cast("timestamp_ntz")
     if isinstance(as_of, _dt.datetime):
@@ -92,7 +94,11 @@ def _column_metrics(ci: ColumnInfo, as_of: Column, sketches: Sketches | None) ->
     last = F.lit(None).cast("timestamp_ntz") if parsed is None else F.max(parsed)
     distinct, quantile = (F.lit(None).cast("binary"),) * 2
     if sketches and ci.kind != "nested":
-        distinct = F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), F.lit(sketches.lg_k))
+        # equal values of any width have equal hashes
+        wide = {"numeric": "bigint" if ci.is_integer else "double" if ci.is_float else None, "temporal": "timestamp_ntz"}.get(ci.kind)
+        value = x.cast(wide) if wide else x
+        value = F.when(value == 0, F.lit(0.0)).otherwise(value) if ci.is_float else value
+        distinct = F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(value)), F.lit(sketches.lg_k))
         if ci.kind == "numeric":
             quantile = F.kll_sketch_agg_double(x.cast("double"), F.lit(sketches.quantile_k))
     return F.struct(

@@ -19,6 +19,8 @@ from ..operators import scorecard as S
 from ..operators.profile import coverage_summary, profile
 from ..operators.scoring import features, targets
 from ..session import ensure_checkpoint_dir
+from .catalog import ProfileCatalog
+
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -31,14 +33,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _layers(tables: dict[str, DataFrame], as_of, method: str, distinct: str | None, persist: bool) -> dict[str, DataFrame]:
+def _layers(tables: dict[str, DataFrame], as_of, method: str, distinct: str | None, persist: bool,
+            catalog: ProfileCatalog | None) -> dict[str, DataFrame]:
     """The data layer of every table, each pass made once: profile, outliers,
-    duplicate columns, statuses and claims."""
+    duplicate columns, statuses and claims. A ``catalog`` has the profiles and the
+    sketches that exact quartiles start from."""
     keep = materialise if persist else (lambda d: d)
     profiles, statuses, claims, outliers, details, percentiles = [], [], [], [], [], []
+    stored = keep(catalog.profile(list(tables), distinct="sketch")) if catalog else None
+    sketches = keep(catalog.quantile_sketches(list(tables))) if catalog else None
     for name, df in tables.items():
-        prof = keep(profile(df, name, distinct=distinct, as_of=as_of))
-        counts = keep(Q.outlier_counts(df, name, method))
+        if catalog:
+            prof, kll = stored.where(F.col("dataset") == name), sketches.where(F.col("dataset") == name).drop("dataset")
+            counts = keep(Q.outlier_counts(df, name, method, sketches=kll, sketch_k=catalog.sketches.quantile_k))
+        else:
+            prof = keep(profile(df, name, distinct=distinct, as_of=as_of))
+            counts = keep(Q.outlier_counts(df, name, method))
         pairs = Q.dup_column_pairs(df)
         profiles.append(prof)
         outliers.append(counts)
@@ -52,19 +62,25 @@ def _layers(tables: dict[str, DataFrame], as_of, method: str, distinct: str | No
 
 
 def assess(tables: dict[str, DataFrame], as_of=None, method: str = "exact",
-           distinct: str | None = "text", persist: bool = True) -> dict[str, DataFrame]:
+           distinct: str | None = "text", persist: bool = True, catalog: ProfileCatalog | None = None) -> dict[str, DataFrame]:
     """Profile, checks and claims per table; targets, features, readiness,
     findings and roadmap over all of them. The rules read distinct counts of text
-    columns only, so ``distinct`` is ``text`` by default."""
-    out = _layers(tables, as_of, method, distinct, persist)
-    catalog, status, cl = out["profile"], out["check_status"], out["claims"]
-    tg, ft = targets(catalog), features(catalog)
-    facts = S.dataset_facts(catalog, status, cl, tg, ft)
-    steps = S.roadmap(facts)
+    columns only, so ``distinct`` is ``text`` by default.
+
+    With a ``catalog`` that holds datasets of the same names and the same files, no
+    table is scanned for its profile: that comes from the catalog, by its clock and
+    with distinct counts from its sketches."""
+    keep = materialise if persist else (lambda d: d)
+    out = _layers(tables, as_of, method, distinct, persist, catalog)
+    prof, status, cl = out["profile"], out["check_status"], out["claims"]
+    # read by every rule below: schema-sized, stored once
+    tg, ft = keep(targets(prof)), keep(features(prof))
+    facts = keep(S.dataset_facts(prof, status, cl, tg, ft))
+    steps = keep(S.roadmap(facts))
     return out | {
         "targets": tg, "features": ft, "readiness": S.readiness(facts), "findings": S.findings(facts, status),
         "roadmap": steps, "roadmap_summary": S.roadmap_summary(steps),
-        "coverage": coverage_summary(catalog),
+        "coverage": coverage_summary(prof),
     }
 
 

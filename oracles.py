@@ -594,6 +594,26 @@ def _date_range(ds: str) -> str:
             f"FROM (SELECT strftime({lo}, '%Y-%m-%d') AS date_min, strftime({hi}, '%Y-%m-%d') AS date_max FROM {src(ds)})")
 
 
+# Columns whose distinct values are counted together.
+DISTINCT_GROUPS = {
+    "customers": (("customer", "c_custkey"), ("orders", "o_custkey")),
+    "parts": (("part", "p_partkey"), ("lineitem", "l_partkey")),
+    "orders": (("orders", "o_orderkey"), ("lineitem", "l_orderkey")),
+    "nations": (("nation", "n_nationkey"), ("customer", "c_nationkey"), ("supplier", "s_nationkey")),
+    "texts": (("documents", "text"), ("benchmark", "text")),
+    "prices": (("lineitem", "l_extendedprice"), ("orders", "o_totalprice")),
+}
+STORED = ("dataset, ordinal, \"column\", dtype, category, rows, non_null, round(coverage_pct, 4) AS coverage_pct, date_parsed, "
+          "num_parsed, negatives, bad_dates, future_dates")
+
+
+def distinct_groups_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT {lit(g)} AS name, CAST(count(DISTINCT v) AS BIGINT) AS exact, TRUE AS within_5_percent FROM ("
+        + " UNION ALL ".join(f"SELECT CAST({q(c)} AS VARCHAR) AS v FROM {t}" for t, c in pairs) + ")"
+        for g, pairs in DISTINCT_GROUPS.items())
+
+
 def oracle_queries() -> dict[str, str]:
     d = "dirty_fx"
     pc = profile_checks()
@@ -690,6 +710,12 @@ def oracle_queries() -> dict[str, str]:
         "roadmap_steps": roadmap_sql(FIXTURE_NAMES),
         "date_layout_votes": layouts_sql() + ("SELECT 'layout_fx' AS dataset, ordinal, \"column\", layout, votes, layout = best AS chosen "
                                               "FROM w JOIN b USING (ordinal)"),
+        "catalog_refresh": wp(["lineitem"], f"SELECT {STORED} FROM p"),
+        "catalog_lake": wp(TABLES, f"SELECT {STORED} FROM p"),
+        "catalog_features": f"WITH p AS ({profile_sql(TABLES)}), {features_sql()} SELECT * FROM features",
+        "catalog_distinct": distinct_groups_sql(),
+        "catalog_outliers": (f"SELECT 'lineitem' AS dataset, \"column\", round(q1, 4) AS q1, round(q3, 4) AS q3, round(lo, 4) AS lo, "
+                             f"round(hi, 4) AS hi, outliers FROM ({outliers_sql('lineitem')})"),
         "date_layout_profile": layout_profile_sql(),
         "date_layout_read": layout_read_sql(),
     }
