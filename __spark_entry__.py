@@ -33,7 +33,7 @@ from lakeprobe.operators.scoring import features, targets
 from lakeprobe.plans.report import assess, report, union_all
 from lakeprobe.session import ensure_checkpoint_dir
 from lakeprobe.sources.readers import read_csv, read_parquet, table
-from lakeprobe.sources.sinks import write_report
+from lakeprobe.sources.sinks import write_document, write_report
 
 try:  # the training-data operators are optional
     import corpus_pipeline
@@ -127,6 +127,27 @@ def q_sink_report_json(spark, sf):
     return r4(spark.read.json(f"{path}/check_status"))
 
 
+def _document(spark, sf):
+    """The report of dirty_fx as one JSON document, written and read back."""
+    path = _scratch(spark)
+    doc = write_document(report(dataset(spark, sf, "dirty_fx"), "dirty_fx", as_of=AS_OF, persist=True), path)
+    return spark.read.schema(doc.schema).json(path)
+
+
+def q_report_document(spark, sf):
+    return r4(_document(spark, sf).select("dataset", F.inline("quality.checks")))
+
+
+def q_report_document_columns(spark, sf):
+    doc = _document(spark, sf).select("dataset", "readiness.score", F.size("findings").alias("n_findings"), F.inline("anatomy"))
+    return r4(doc.select("dataset", "score", "n_findings", "ordinal", "column", "dtype", "category", "non_null", "coverage_pct", "unique_values"))
+
+
+def q_finding_columns(spark, sf):
+    """The columns that each finding is about, one row each."""
+    return _assess(spark, sf)["findings"].select("dataset", "section", "item_no", F.posexplode("columns").alias("place", "column"))
+
+
 # ---------------------------------------------------------------------------
 # profile
 
@@ -388,9 +409,14 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_targets": q_rule_targets,
         "rule_features": q_rule_features,
         "readiness_score": _rule("readiness"),
-        "findings": _rule("findings"),
+        "findings": lambda spark, sf: _rule("findings")(spark, sf).drop("columns"),
+        "finding_columns": q_finding_columns,
+        "report_document": q_report_document,
+        "report_document_columns": q_report_document_columns,
         "roadmap_steps": _rule("roadmap"),
         "roadmap_summary": _rule("roadmap_summary"),
+        "category_top_parts": lambda spark, sf: r4(D.category_distribution(table(spark, sf, "lineitem"), "l_partkey", "lineitem")),
+        "category_top_prices": lambda spark, sf: r4(D.category_distribution(table(spark, sf, "lineitem"), "l_extendedprice", "lineitem")),
         "date_layout_votes": lambda spark, sf: layout_votes(dataset(spark, sf, "layout_fx"), dataset="layout_fx"),
         "date_layout_profile": lambda spark, sf: _profile(spark, sf, "layout_fx").where("kind = 'string'").select(
             "ordinal", "column", "dtype", "date_layout", "date_parsed", "bad_dates", "layout_conflicts", "future_dates"),

@@ -14,7 +14,7 @@ from ..functions.nulls import clean
 from ..functions.text import cut_label, money_label
 from ..session import ensure_checkpoint_dir
 from .rules import CLAIM_TRUTH, claims_columns
-from .schema import by_position, columns_of, schema_frame
+from .schema import ColumnInfo, by_position, columns_of, schema_frame
 
 # Claim percentiles and their labels.
 CLAIM_PERCENTILES = ((0.25, "P25"), (0.50, "P50 (Median)"), (0.75, "P75"),
@@ -312,24 +312,69 @@ def claims_histogram(df: DataFrame, dataset: str = "data", bins: int = HIST_BINS
 # --------------------------------------------------------------------------
 # Category shares
 
+TOP_BUCKETS = 1 << 16
+
+
+def top_values(long: DataFrame, key: str, top: int = TOP_CATEGORIES, buckets: int = TOP_BUCKETS) -> tuple[DataFrame, int]:
+    """L2 by a bound: the ``top`` most frequent values of each ``key`` (ties by value),
+    exactly, without shuffling all distinct values.
+
+    ``long`` holds ``key`` and a non-null ``value``; the number of keys is bounded by a
+    schema. Returns ``(key, value, count, total, rank)`` and how many buckets had to be
+    counted by value after the first ones.
+
+    Pass 1 counts rows in ``buckets`` hash buckets a key. A bucket's rows are an upper
+    bound for each of its values. Pass 2 counts the values of the ``2 * top`` fullest
+    buckets, which gives a lower bound for the last place. Only buckets with at least so
+    many rows can hold a better value: mostly none, and the bound has decided; else pass
+    3 counts the values of those. In the worst case, values of much the same frequency,
+    these are all, and it is a plain group-by.
+    """
+    spark = long.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = long.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    full = Window.partitionBy(key).orderBy(F.desc("n"), "_b")
+    place = Window.partitionBy(key).orderBy(F.desc("count"), "value")
+
+    def best(chosen: DataFrame, others: DataFrame | None = None) -> DataFrame:
+        # a number per bucket, so the size of the broadcast follows from the parameters
+        got = rows.join(F.broadcast(chosen.select(key, "_b")), [key, "_b"]).groupBy(key, "value").agg(F.count(F.lit(1)).alias("count"))
+        got = got if others is None else got.unionByName(others.select(key, "value", "count"))
+        return got.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top).checkpoint()
+
+    heavy = counts.withColumn("r", F.row_number().over(full)).where(F.col("r") <= 2 * top)
+    found = best(heavy)
+    last = found.groupBy(key).agg(F.when(F.count(F.lit(1)) == top, F.min("count")).otherwise(0).alias("last"))
+    rest = counts.join(heavy.select(key, "_b"), [key, "_b"], "left_anti").join(F.broadcast(last), key).where(F.col("n") >= F.col("last")).checkpoint()
+    more = rest.count()
+    if more:
+        found = best(rest, found)
+    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    return found.join(F.broadcast(total), key).select(key, "value", "count", "total", F.col("rank").cast("int").alias("rank")), more
+
+
+def _plain_value(c: Column, info: ColumnInfo) -> Column:
+    """Equal values with equal hashes: -0.0 as 0.0."""
+    x = clean(c, info.dtype)
+    return F.when(x == 0, F.lit(0.0).cast(info.dtype)).otherwise(x) if info.is_float else x
+
+
+def _shares(ranked: DataFrame, dataset: str, *more: str) -> DataFrame:
+    return ranked.select(
+        F.lit(dataset).alias("dataset"), "column", "rank", cut_label(F.col("value")).alias("label"),
+        F.col("count").cast("bigint").alias("count"), F.round(F.col("count") * 100.0 / F.col("total"), 1).alias("pct"), *more)
+
+
 def category_distribution(df: DataFrame, column: str, dataset: str = "data",
-                          top: int = TOP_CATEGORIES) -> DataFrame:
+                          top: int = TOP_CATEGORIES, buckets: int = TOP_BUCKETS) -> DataFrame:
     """Share (%) of each value among non-null rows, top ``top`` by count
-    (ties by value); labels cut to 20 characters after grouping."""
+    (ties by value); labels cut to 20 characters after grouping. The shuffle is
+    bounded (``top_values``)."""
     info = {c.name: c for c in columns_of(df)}[column]
-    x = clean(F.col(info.ref), info.dtype).alias("value")
-    vals = by_position(df).select(x).where(F.col("value").isNotNull())
-    total = vals.agg(F.count(F.lit(1)).alias("total"))
-    counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
-    # Top-k is a bounded TakeOrderedAndProject; the total joins as one row.
-    topk = counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(top)
-    w = Window.orderBy(F.col("count").desc(), F.col("value").asc())
-    return topk.crossJoin(F.broadcast(total)).select(
-        F.lit(dataset).alias("dataset"), F.lit(column).alias("column"),
-        F.row_number().over(w).cast("int").alias("rank"),
-        cut_label(F.col("value")).alias("label"),
-        F.col("count").cast("bigint").alias("count"),
-        F.round(F.col("count") * 100.0 / F.col("total"), 1).alias("pct"))
+    vals = by_position(df).select(F.lit(column).alias("column"), _plain_value(F.col(info.ref), info).alias("value")).where(
+        F.col("value").isNotNull())
+    return _shares(top_values(vals, "column", top, buckets)[0], dataset)
 
 
 # Categories that get a share table, in this order.
@@ -349,24 +394,17 @@ def heatmap_columns(prof_rows: list) -> list[tuple[str, str]]:
 
 def coverage_heatmaps(df: DataFrame, prof: DataFrame, dataset: str = "data",
                       top: int = TOP_CATEGORIES) -> DataFrame:
-    """A6 for the chosen column of each heatmap category, in one pass: the
-    columns are unpivoted and grouped by (column, value), the total comes from the
-    counts. The profile is one row per column, so reading it is schema-sized."""
+    """A6 for the chosen column of each heatmap category, all in the same passes:
+    the columns are unpivoted, the shuffle is bounded (``top_values``). The profile is
+    one row per column, so reading it is schema-sized."""
     rows = prof.select("ordinal", "column", "category", "dtype").collect()
     chosen = heatmap_columns(rows)
     if not chosen:
         return df.sparkSession.createDataFrame(
             [], "dataset string, column string, rank int, label string, count bigint, pct double, category string")
     info = {c.name: c for c in columns_of(df)}
-    arr = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(col).alias("column"),
-                             F.col(info[col].ref).cast("string").alias("value")) for cat, col in chosen])
-    counts = by_position(df).select(F.explode(arr).alias("x")).select("x.*").where("value IS NOT NULL").groupBy(
-        "category", "column", "value").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.groupBy("category").agg(F.sum("count").alias("total"))
-    w = Window.partitionBy("category").orderBy(F.col("count").desc(), F.col("value").asc())
-    ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    # one total per heatmap category
-    return ranked.join(F.broadcast(total), "category").select(
-        F.lit(dataset).alias("dataset"), "column", F.col("rank").cast("int").alias("rank"),
-        cut_label(F.col("value")).alias("label"), F.col("count").cast("bigint").alias("count"),
-        F.round(F.col("count") * 100.0 / F.col("total"), 1).alias("pct"), "category")
+    arr = F.array(*[F.struct(F.lit(cat).alias("category"), F.col(info[col].ref).cast("string").alias("value")) for cat, col in chosen])
+    long = by_position(df).select(F.explode(arr).alias("x")).select("x.*").where("value IS NOT NULL")
+    names = F.create_map(*[F.lit(x) for pair in chosen for x in pair])
+    ranked = top_values(long, "category", top)[0].withColumn("column", names[F.col("category")])
+    return _shares(ranked, dataset, "category")

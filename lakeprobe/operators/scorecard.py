@@ -36,9 +36,31 @@ ROADMAP_STEPS = (
     ("targets", "Target Variable Analysis ({n} candidates)", "High", "Medium", "High"),
     ("modelling", "Modelling Readiness Assessment", "Medium", "Low", "High"),
 )
+# Titles of the findings; a count, rate or check name goes before or after.
+TITLES = {
+    "targets": " Modelling Targets Available",
+    "high": " High-Value Features Identified",
+    "large": "Large Dataset — Statistical Power Available",
+    "leak": " Potential Leakage Features Detected",
+    "sparse": " Sparse Columns — Credibility Risk",
+    "skewed": "Highly Skewed Claim Distribution",
+    "suspicious": " Suspicious Features Require Validation",
+    "no_target": "No Clear Modelling Target Detected",
+    "rate": "Claiming Rate: ",
+    "geography": "Geographic Segmentation Available",
+    "fail": "FAIL: ",
+    "warn": "WARNING: ",
+}
 # ---------------------------------------------------------------------------
 
 
+def _names(cond: Column, order: str, name: str) -> Column:
+    """The names of the rows where ``cond`` holds, in order: as many as a table has
+    columns at most."""
+    picked = F.array_sort(F.collect_list(F.when(cond, F.struct(F.col(order).alias("o"), F.col(name).alias("c")))))
+    return F.transform(picked, lambda x: x["c"])
+
+
 def dataset_facts(catalog: DataFrame, status: DataFrame, claims: DataFrame,
                   targets: DataFrame, features: DataFrame) -> DataFrame:
     """One row per dataset with every count the rules below gate on."""
@@ -48,6 +70,8 @@ def dataset_facts(catalog: DataFrame, status: DataFrame, claims: DataFrame,
         F.avg("coverage_pct").alias("avg_cov"),
         F.count_distinct("category").alias("n_categories"),
         F.count_if(F.col("coverage_pct") < 30).alias("n_sparse"),
+        _names(F.col("coverage_pct") < 30, "ordinal", "column").alias("sparse_columns"),
+        _names(cat == "Geography", "ordinal", "column").alias("geo_columns"),
         F.max((cat == "Exposure").cast("int")).alias("has_exposure"),
         F.max((cat == "Premium").cast("int")).alias("has_premium"),
         F.max((cat == "Geography").cast("int")).alias("has_geo"),
@@ -58,12 +82,14 @@ def dataset_facts(catalog: DataFrame, status: DataFrame, claims: DataFrame,
         F.count_if(F.col("status") == "pass").alias("n_pass"),
         F.count_if(F.col("status") == "warn").alias("n_warn"),
         F.count_if(F.col("status") == "fail").alias("n_fail"))
-    tg = targets.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_targets"))
+    tg = targets.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_targets"),
+                                        _names(F.lit(True), "target_rank", "name").alias("target_names"))
+    kinds = {"high": "High Value", "leak": "Potential Leakage", "susp": "Suspicious"}
     ft = features.groupBy("dataset").agg(
-        F.count_if(F.col("classification") == "High Value").alias("n_high"),
-        F.count_if(F.col("classification") == "Potential Leakage").alias("n_leak"),
-        F.count_if(F.col("classification") == "Suspicious").alias("n_susp"))
-    cl = claims.select("dataset", F.lit(1).alias("has_claims"), "claiming_pct", "skewness")
+        *[F.count_if(F.col("classification") == v).alias(f"n_{k}") for k, v in kinds.items()],
+        *[_names(F.col("classification") == v, "feature_rank", "name").alias(f"{k}_columns") for k, v in kinds.items()])
+    cl = claims.select("dataset", F.lit(1).alias("has_claims"), "claiming_pct", "skewness",
+                       F.split("detected_fields", ",").alias("claim_columns"))
     out = prof.join(st, "dataset", "left").join(tg, "dataset", "left") \
         .join(ft, "dataset", "left").join(cl, "dataset", "left")
     return out.fillna(0, subset=["n_checks", "n_pass", "n_warn", "n_fail", "n_targets",
@@ -90,53 +116,57 @@ def readiness(facts: DataFrame) -> DataFrame:
 
 
 def _finding(facts: DataFrame, section: int, order: int, cond: Column, title: Column,
-             impact: str, confidence: int, review: bool, note: Column | None = None) -> DataFrame:
+             impact: str, confidence: int, review: bool, note: Column | None = None,
+             columns: str | None = None) -> DataFrame:
+    named = F.array().cast("array<string>") if columns is None else F.coalesce(F.col(columns), F.array().cast("array<string>"))
     return facts.where(cond).select(
         "dataset", F.lit(SECTIONS[section]).alias("section"), F.lit(order).alias("_o"),
         title.alias("title"), F.lit(impact).alias("impact"),
         F.lit(confidence).alias("confidence"), F.lit(review).alias("human_review"),
-        (F.lit(None).cast("string") if note is None else note).alias("note"))
+        (F.lit(None).cast("string") if note is None else note).alias("note"), named.alias("columns"))
 
 
 def findings(facts: DataFrame, status: DataFrame, max_fails: int = 5, max_warns: int = 4) -> DataFrame:
     """Findings in five sections. The quality section is a ranking: the first
     ``max_fails`` failed and ``max_warns`` warned checks in run order (L4); all of
     them are in the status table. ``note`` is ``low rate`` beside a claiming rate
-    under 20 %."""
+    under 20 %. ``columns`` names the columns (or targets) that a finding is about, all
+    of them, in the order of the table or of their ranking."""
     n = lambda c: F.col(c).cast("string")
+    flagged = F.when(F.col("detail") != "", F.split("detail", ",")).otherwise(F.array().cast("array<string>")).alias("columns")
     parts = [
         _finding(facts, 0, 1, F.col("n_targets") >= 2,
-                 F.concat(n("n_targets"), F.lit(" Modelling Targets Available")), "High", 90, True),
+                 F.concat(n("n_targets"), F.lit(TITLES["targets"])), "High", 90, True, columns="target_names"),
         _finding(facts, 0, 2, F.col("n_high") >= 5,
-                 F.concat(n("n_high"), F.lit(" High-Value Features Identified")), "High", 80, False),
+                 F.concat(n("n_high"), F.lit(TITLES["high"])), "High", 80, False, columns="high_columns"),
         _finding(facts, 0, 3, F.col("rows") >= LARGE_ROWS,
-                 F.lit("Large Dataset — Statistical Power Available"), "Medium", 95, False),
+                 F.lit(TITLES["large"]), "Medium", 95, False),
         _finding(facts, 1, 1, F.col("n_leak") > 0,
-                 F.concat(n("n_leak"), F.lit(" Potential Leakage Features Detected")), "High", 75, True),
+                 F.concat(n("n_leak"), F.lit(TITLES["leak"])), "High", 75, True, columns="leak_columns"),
         _finding(facts, 1, 2, F.col("n_sparse") > 0,
-                 F.concat(n("n_sparse"), F.lit(" Sparse Columns — Credibility Risk")), "Medium", 90, False),
+                 F.concat(n("n_sparse"), F.lit(TITLES["sparse"])), "Medium", 90, False, columns="sparse_columns"),
         _finding(facts, 1, 3, F.coalesce(F.abs(F.col("skewness")) > 2, F.lit(False)),
-                 F.lit("Highly Skewed Claim Distribution"), "High", 85, True),
+                 F.lit(TITLES["skewed"]), "High", 85, True, columns="claim_columns"),
         _finding(facts, 3, 1, F.col("n_susp") > 0,
-                 F.concat(n("n_susp"), F.lit(" Suspicious Features Require Validation")), "High", 70, True),
+                 F.concat(n("n_susp"), F.lit(TITLES["suspicious"])), "High", 70, True, columns="susp_columns"),
         _finding(facts, 3, 2, F.col("n_targets") == 0,
-                 F.lit("No Clear Modelling Target Detected"), "High", 80, True),
+                 F.lit(TITLES["no_target"]), "High", 80, True),
         _finding(facts, 4, 1, F.col("has_claims") == 1,
-                 F.concat(F.lit("Claiming Rate: "), F.coalesce(n("claiming_pct"), F.lit("?")), F.lit("%")),
-                 "Medium", 95, False, F.when(F.col("claiming_pct") < 20, "low rate")),
+                 F.concat(F.lit(TITLES["rate"]), F.coalesce(n("claiming_pct"), F.lit("?")), F.lit("%")),
+                 "Medium", 95, False, F.when(F.col("claiming_pct") < 20, "low rate"), columns="claim_columns"),
         _finding(facts, 4, 2, F.col("has_geo") == 1,
-                 F.lit("Geographic Segmentation Available"), "Medium", 85, False),
+                 F.lit(TITLES["geography"]), "Medium", 85, False, columns="geo_columns"),
     ]
     w = Window.partitionBy("dataset", "status").orderBy("check_no")
     ranked = status.where(F.col("status").isin("fail", "warn")).withColumn("_k", F.row_number().over(w))
     fails = ranked.where((F.col("status") == "fail") & (F.col("_k") <= max_fails)).select(
         "dataset", F.lit(SECTIONS[2]).alias("section"), F.col("check_no").alias("_o"),
-        F.concat(F.lit("FAIL: "), F.col("check")).alias("title"), F.lit("High").alias("impact"),
-        F.lit(95).alias("confidence"), F.lit(True).alias("human_review"), F.lit(None).cast("string").alias("note"))
+        F.concat(F.lit(TITLES["fail"]), F.col("check")).alias("title"), F.lit("High").alias("impact"),
+        F.lit(95).alias("confidence"), F.lit(True).alias("human_review"), F.lit(None).cast("string").alias("note"), flagged)
     warns = ranked.where((F.col("status") == "warn") & (F.col("_k") <= max_warns)).select(
         "dataset", F.lit(SECTIONS[2]).alias("section"), (F.col("check_no") + 100).alias("_o"),
-        F.concat(F.lit("WARNING: "), F.col("check")).alias("title"), F.lit("Medium").alias("impact"),
-        F.lit(85).alias("confidence"), F.lit(False).alias("human_review"), F.lit(None).cast("string").alias("note"))
+        F.concat(F.lit(TITLES["warn"]), F.col("check")).alias("title"), F.lit("Medium").alias("impact"),
+        F.lit(85).alias("confidence"), F.lit(False).alias("human_review"), F.lit(None).cast("string").alias("note"), flagged)
     out = parts[0]
     for p in parts[1:] + [fails, warns]:
         out = out.unionByName(p)
@@ -145,7 +175,7 @@ def findings(facts: DataFrame, status: DataFrame, max_fails: int = 5, max_warns:
     return out.select(
         "dataset", sec.cast("int").alias("section_no"), "section",
         F.row_number().over(w2).cast("int").alias("item_no"), "title", "impact",
-        F.col("confidence").cast("int").alias("confidence"), "human_review", "note")
+        F.col("confidence").cast("int").alias("confidence"), "human_review", "note", "columns")
 
 
 def roadmap(facts: DataFrame) -> DataFrame:

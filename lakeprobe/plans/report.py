@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import checks as Q
 from ..operators import distributions as D
@@ -99,8 +100,81 @@ def report(df: DataFrame, dataset: str = "data", as_of=None, method: str = "exac
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN in float columns becomes NULL before writing."""
-    return df.select([
-        F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name)
-        if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
-        for f in df.schema.fields])
+    """NaN becomes NULL before writing, in float columns and at any depth of
+    nested ones."""
+    def walk(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            return F.when(~F.isnan(c), c)
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: walk(x, t.elementType))
+        if isinstance(t, T.MapType):
+            return F.transform_values(c, lambda k, v: walk(v, t.valueType))
+        if isinstance(t, T.StructType) and t.fields:
+            return F.when(c.isNotNull(), F.struct(*[walk(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
+        return c
+    return df.select([walk(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+# The sections of a report document: (section, field or none, result table, order or none
+# for a table of one row per dataset).
+DOCUMENT = (
+    ("meta", None, "meta", None),
+    ("anatomy", None, "profile", ("ordinal",)),
+    ("quality", "checks", "check_status", ("check_no",)),
+    ("quality", "detail", "check_detail", ("check_no", "column", "metric")),
+    ("quality", "outliers", "outliers", ("column",)),
+    ("quality", "dates", "date_checks", ("ordinal",)),
+    ("coverage", "summary", "coverage", None),
+    ("coverage", "heatmaps", "heatmaps", ("category", "rank")),
+    ("claims", "summary", "claims", None),
+    ("claims", "percentiles", "claim_percentiles", ("q_no",)),
+    ("claims", "histogram", "claim_histogram", ("bin",)),
+    ("targets", None, "targets", ("target_rank",)),
+    ("features", None, "features", ("feature_rank",)),
+    ("readiness", None, "readiness", None),
+    ("roadmap", "steps", "roadmap", ("step_no",)),
+    ("roadmap", "summary", "roadmap_summary", None),
+    ("findings", None, "findings", ("section_no", "item_no")),
+)
+
+
+def report_document(results: dict[str, DataFrame]) -> DataFrame:
+    """One row per dataset, all result tables of ``report`` or ``assess`` nested:
+    ``dataset`` and a column per section of ``DOCUMENT`` whose tables are there.
+
+    Tables of many rows become arrays in their order, tables of one row structs (NULL
+    without it). NaN is NULL at every depth. All of it is sized by the schema of the
+    dataset, never by its rows; the datasets are those of the profile.
+    """
+    tables, sections = [], {}
+    for section, field, name, order in DOCUMENT:
+        if name not in results:
+            continue
+        df = nan_to_null(results[name])
+        rest = [c for c in df.columns if c != "dataset"]
+        column = f"_{len(tables)}"
+        if order is None:
+            got = df.select("dataset", F.struct(*rest).alias(column))
+            value = F.col(column)
+        else:
+            # sorted by the order columns, then shown as the table is
+            first = [F.col(c).alias(f"_{i}") for i, c in enumerate(order)]
+            got = df.groupBy("dataset").agg(F.array_sort(
+                F.collect_list(F.struct(*first, F.struct(*rest).alias("row"))), lambda a, b: _by(a, b, len(order))).alias(column))
+            value = F.transform(F.coalesce(column, F.array().cast(got.schema[column].dataType)), lambda x: x["row"])
+        tables.append(got)
+        sections.setdefault(section, []).append((field, value))
+    base = results["profile"].select("dataset").distinct()
+    for got in tables:
+        base = base.join(got, "dataset", "left")
+    nested = lambda parts: parts[0][1] if parts[0][0] is None else F.struct(*[v.alias(f) for f, v in parts])
+    return base.select("dataset", *[nested(parts).alias(section) for section, parts in sections.items()])
+
+
+def _by(a: Column, b: Column, n: int) -> Column:
+    """Comparison of two structs by their first ``n`` fields."""
+    out = F.lit(0)
+    for i in reversed(range(n)):
+        x, y = a[f"_{i}"], b[f"_{i}"]
+        out = F.when(x < y, -1).when(x > y, 1).otherwise(out)
+    return out

@@ -489,6 +489,38 @@ def findings_sql(datasets: list[str]) -> str:
         f"CAST(confidence AS INTEGER) AS confidence, human_review, note FROM ({' UNION ALL '.join(parts)})")
 
 
+def finding_columns_sql(datasets: list[str]) -> str:
+    """One row per finding and column it is about, in order."""
+    feature = lambda c: f"SELECT dataset, name AS c, feature_rank AS k FROM features WHERE classification = '{c}'"
+    claim = "SELECT dataset, unnest(string_split(detected_fields, ',')) AS c, generate_subscripts(string_split(detected_fields, ','), 1) AS k FROM c"
+    by = {
+        "% Modelling Targets Available": "SELECT dataset, name AS c, target_rank AS k FROM targets",
+        "% High-Value Features Identified": feature("High Value"),
+        "% Potential Leakage Features Detected": feature("Potential Leakage"),
+        "% Sparse Columns%": "SELECT dataset, \"column\" AS c, ordinal AS k FROM p WHERE coverage_pct < 30",
+        "Highly Skewed%": claim,
+        "% Suspicious Features Require Validation": feature("Suspicious"),
+        "Claiming Rate%": claim,
+        "Geographic%": "SELECT dataset, \"column\" AS c, ordinal AS k FROM p WHERE category = 'Geography'",
+    }
+    arms = [f"SELECT f.dataset, f.section, f.item_no, x.c, x.k FROM f JOIN ({inner}) x ON f.dataset = x.dataset WHERE f.title LIKE {lit(like)}"
+            for like, inner in by.items()]
+    arms.append("SELECT f.dataset, f.section, f.item_no, x.c, x.k FROM f JOIN (SELECT dataset, \"check\", "
+                "unnest(string_split(detail, ',')) AS c, generate_subscripts(string_split(detail, ','), 1) AS k FROM s WHERE detail <> '') x "
+                "ON f.dataset = x.dataset AND f.title IN ('FAIL: ' || x.\"check\", 'WARNING: ' || x.\"check\")")
+    body = findings_sql(datasets)
+    cut = body.index("SELECT dataset, CAST(CASE section")
+    return (body[:cut].rstrip() + f", f AS ({body[cut:]}) SELECT dataset, section, item_no, "
+            f"CAST(row_number() OVER (PARTITION BY dataset, section, item_no ORDER BY k) - 1 AS INTEGER) AS place, c AS \"column\" "
+            f"FROM ({' UNION ALL '.join(arms)})")
+
+
+def report_columns_sql(ds: str) -> str:
+    ready, found = readiness_sql([ds]), findings_sql([ds])
+    return (f"SELECT p.dataset, (SELECT score FROM ({ready})) AS score, CAST((SELECT count(*) FROM ({found})) AS INTEGER) AS n_findings, "
+            f"ordinal, \"column\", dtype, category, non_null, round(coverage_pct, 4) AS coverage_pct, unique_values FROM ({profile_sql([ds])}) p")
+
+
 def roadmap_sql(datasets: list[str]) -> str:
     steps = " UNION ALL ".join(
         f"SELECT {i + 1} AS step_order, {lit(k)} AS step_key, {lit(t)} AS title, {lit(pr)} AS priority, "
@@ -678,6 +710,8 @@ def oracle_queries() -> dict[str, str]:
                              f"SELECT 'policy_fx' AS dataset, e.bin, {_money('lo')} || '–' || {_money('hi')} AS label, round(lo, 4) AS lo, "
                              f"round(hi, 4) AS hi, CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM e LEFT JOIN c USING (bin)"),
         "category_distribution": _share("lineitem", "l_quantity", "double"),
+        "category_top_parts": _share("lineitem", "l_partkey", "bigint"),
+        "category_top_prices": _share("lineitem", "l_extendedprice", "double"),
         "coverage_heatmaps": "\nUNION ALL\n".join(_share("policy_fx", n, t, f", {lit(c)} AS category") for c, n, t in _heatmap_cols("policy_fx")),
         "meta_claim_rate": (f"SELECT 'policy_fx' AS dataset, 'claim_amount' AS claim_column, "
                             f"CAST(count_if(claim_amount IS NOT NULL AND claim_amount > 0) AS BIGINT) AS claiming_entities, "
@@ -707,6 +741,9 @@ def oracle_queries() -> dict[str, str]:
         "rule_features": facts_sql(FIXTURE_NAMES) + "SELECT * FROM features",
         "readiness_score": readiness_sql(FIXTURE_NAMES),
         "findings": findings_sql(FIXTURE_NAMES),
+        "finding_columns": finding_columns_sql(FIXTURE_NAMES),
+        "report_document": wp([d], status_sql([d])),
+        "report_document_columns": report_columns_sql(d),
         "roadmap_steps": roadmap_sql(FIXTURE_NAMES),
         "date_layout_votes": layouts_sql() + ("SELECT 'layout_fx' AS dataset, ordinal, \"column\", layout, votes, layout = best AS chosen "
                                               "FROM w JOIN b USING (ordinal)"),
