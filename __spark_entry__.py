@@ -22,6 +22,7 @@ import oracles as O
 from lakeprobe.operators import checks as Q
 from lakeprobe.operators import distributions as D
 from lakeprobe.operators import meta as M
+from lakeprobe.operators.footers import coverage_of, footer_counts
 from lakeprobe.operators.layouts import layout_votes, read_dates
 from lakeprobe.operators.profile import coverage_summary, profile, samples
 from lakeprobe.operators.rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, POLICY_EXACT,
@@ -30,6 +31,7 @@ from lakeprobe.functions import parse_date, parse_number
 from lakeprobe.plans.catalog import ProfileCatalog
 from lakeprobe.plans.fixtures import dataset
 from lakeprobe.operators.scoring import features, targets
+from lakeprobe.plans.ingest import write_profiled
 from lakeprobe.plans.report import assess, report, union_all
 from lakeprobe.session import ensure_checkpoint_dir
 from lakeprobe.sources.readers import read_csv, read_parquet, table
@@ -340,6 +342,17 @@ def q_catalog_outliers(spark, sf):
     return r4(Q.outlier_counts(table(spark, sf, "lineitem"), "lineitem", sketches=kll))
 
 
+def q_profile_observed(spark, sf):
+    """The profile of dirty_fx, observed while it is written."""
+    return r4(write_profiled(dataset(spark, sf, "dirty_fx"), _scratch(spark), "dirty_fx", as_of=AS_OF).select(*_STORED))
+
+
+def q_footer_checks(spark, sf):
+    """Missing cells, sparse columns and coverage of every table from its footers."""
+    counts = coverage_of(union_all([footer_counts(spark, f"{sf.rstrip('/')}/{n}.parquet", n) for n in O.TABLES]))
+    return r4(union_all([Q.check_missing(counts), Q.check_sparse(counts), Q.check_coverage(counts)]))
+
+
 # ---------------------------------------------------------------------------
 # rule layer over the three fixtures
 
@@ -421,6 +434,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "date_layout_profile": lambda spark, sf: _profile(spark, sf, "layout_fx").where("kind = 'string'").select(
             "ordinal", "column", "dtype", "date_layout", "date_parsed", "bad_dates", "layout_conflicts", "future_dates"),
         "date_layout_read": q_date_layout_read,
+        "footer_counts": lambda spark, sf: footer_counts(spark, f"{sf.rstrip('/')}/lineitem.parquet", "lineitem"),
+        "footer_checks": q_footer_checks,
+        "profile_observed": q_profile_observed,
         "catalog_refresh": q_catalog_refresh,
         "catalog_lake": q_catalog_lake,
         "catalog_features": q_catalog_features,

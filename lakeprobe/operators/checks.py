@@ -251,42 +251,58 @@ def _text(c) -> Column:
     return col.cast("string")
 
 
-def dup_column_pairs(df: DataFrame) -> list[tuple[str, str]]:
+def dup_column_pairs(df: DataFrame, batch: int = 200) -> list[tuple[str, str]]:
     """Q3 pairs (later column, first column with equal content).
 
-    Columns are compared by their text form with null = null, over all rows.
-    Pass 1 takes, per column, its non-null count and two order-aware 64-bit
-    sums of ``hash(text, row fingerprint)``; only columns with equal
-    fingerprints are compared value by value in pass 2. The driver reads one
-    small row per column, never the data.
+    Columns are compared by their text form with null = null, over all rows. Pass 1
+    takes, per column, its non-null count and a 64-bit sum of its values' hashes, which
+    is blind to order, ``batch`` columns in one aggregate and pruned to them. Of the
+    columns that agree in both, pass 2 takes two sums of ``hash(text, row
+    fingerprint)``, the fingerprint being that of those columns. Only columns that agree
+    again are compared value by value in pass 3. The driver reads one small row per
+    batch, never the data.
     """
     cols = columns_of(df)
-    if len(cols) < 2:
+    p = by_position(df)
+
+    def alike(groups: list[list], aggs) -> list[list]:
+        """Groups cut by what ``aggs`` gives for each column, in order; single ones go."""
+        found, flat = {}, [c for g in groups for c in g]
+        for start in range(0, len(flat), batch):
+            some = flat[start:start + batch]
+            found |= aggs(some).first().asDict()
+        out = []
+        for g in groups:
+            by = {}
+            for c in g:
+                by.setdefault(found[f"k{c.ordinal}"], []).append(c)
+            out += [same for same in by.values() if len(same) > 1]
+        return out
+
+    def blind(some: list) -> DataFrame:
+        return p.select(*[_text(c).alias(c.ref) for c in some]).agg(*[
+            F.struct(F.count(c.ref), F.sum(F.xxhash64(c.ref).cast("decimal(38,0)"))).cast("string").alias(f"k{c.ordinal}") for c in some])
+
+    groups = alike([cols], blind)
+    if not groups:
         return []
-    key = _row_key(df)
-    r1, r2 = F.xxhash64(F.lit("r1"), *key), F.xxhash64(F.lit("r2"), *key)
-    base = by_position(df).select(*[_text(c).alias(f"c{c.ordinal}") for c in cols],
-                     r1.alias("_r1"), r2.alias("_r2"))
-    aggs = []
-    for c in cols:
-        t = F.col(f"c{c.ordinal}")
-        aggs += [F.count(t).alias(f"n{c.ordinal}"),
-                 F.sum(F.xxhash64(t.isNull(), t, F.col("_r1")).cast("decimal(38,0)")).alias(f"a{c.ordinal}"),
-                 F.sum(F.xxhash64(t.isNull(), t, F.col("_r2")).cast("decimal(38,0)")).alias(f"b{c.ordinal}")]
-    fp = base.agg(*aggs).first()
-    first_of, cands = {}, []
-    for c in cols:
-        k = (fp[f"n{c.ordinal}"], fp[f"a{c.ordinal}"], fp[f"b{c.ordinal}"])
-        if k in first_of:
-            cands.append((c, first_of[k]))
-        else:
-            first_of[k] = c
-    if not cands:
-        return []
-    verify = base.agg(*[
-        F.count_if(~F.col(f"c{a.ordinal}").eqNullSafe(F.col(f"c{b.ordinal}"))).alias(f"p{i}")
-        for i, (a, b) in enumerate(cands)]).first()
-    return [(a.name, b.name) for i, (a, b) in enumerate(cands) if verify[f"p{i}"] == 0]
+    left = [c for g in groups for c in g]
+    base = p.select(*[_text(c).alias(c.ref) for c in left])
+    marks = [x for c in left for x in (F.col(c.ref).isNull(), F.col(c.ref))]
+    rows = base.select("*", F.xxhash64(F.lit("r1"), *marks).alias("_r1"), F.xxhash64(F.lit("r2"), *marks).alias("_r2"))
+
+    def aware(some: list) -> DataFrame:
+        return rows.agg(*[F.struct(*[F.sum(F.xxhash64(F.col(c.ref).isNull(), F.col(c.ref), F.col(r)).cast("decimal(38,0)"))
+                                     for r in ("_r1", "_r2")]).cast("string").alias(f"k{c.ordinal}") for c in some])
+
+    groups = alike(groups, aware)
+    cands = [(c, g[0]) for g in groups for c in g[1:]]
+    out = []
+    for start in range(0, len(cands), batch):
+        some = cands[start:start + batch]
+        verify = base.agg(*[F.count_if(~F.col(a.ref).eqNullSafe(F.col(b.ref))).alias(f"p{i}") for i, (a, b) in enumerate(some)]).first()
+        out += [(a, b) for i, (a, b) in enumerate(some) if verify[f"p{i}"] == 0]
+    return [(a.name, b.name) for a, b in sorted(out, key=lambda x: x[0].ordinal)]
 
 
 def check_dup_cols(df: DataFrame, dataset: str = "data", pairs: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -69,7 +69,9 @@ def _as_date(ci: ColumnInfo, c: Column) -> tuple[Column | None, Column | None]:
 _LAYOUT = "array<struct<n:bigint,future:bigint,last:timestamp_ntz>>"
 
 
-def _column_metrics(ci: ColumnInfo, as_of: Column, sketches: Sketches | None) -> Column:
+def column_metrics(ci: ColumnInfo, as_of: Column, sketches: Sketches | None = None) -> Column:
+    """Aggregates of one column of ``by_position(df)``; of text, its values read by all
+    layouts must be there as ``d<ordinal>``."""
     c = F.col(ci.ref)
     x = clean(c, ci.dtype)
     none = F.lit(None).cast("bigint")
@@ -110,6 +112,13 @@ def _column_metrics(ci: ColumnInfo, as_of: Column, sketches: Sketches | None) ->
         low.alias("low"), high.alias("high"), distinct.alias("distinct_sketch"), quantile.alias("quantile_sketch"))
 
 
+def partial_schema() -> str:
+    """Schema of ``partials`` of a whole table."""
+    return ("rows bigint, ordinal int, column string, spark_type string, kind string, type_label string, non_null bigint, "
+            "num_parsed bigint, negatives bigint, bad bigint, future bigint, last timestamp_ntz, any_date bigint, "
+            f"layouts {_LAYOUT}, low bigint, high bigint, distinct_sketch binary, quantile_sketch binary")
+
+
 @dataclass(frozen=True)
 class Sketches:
     """What a catalog's sketches keep: ``2 ** lg_k`` registers for distinct values
@@ -142,7 +151,7 @@ def partials(df: DataFrame, as_of=None, by: Column | None = None, sketches: Sket
         # each text is read by all layouts once, before the aggregates use it
         dates = [parse_layouts(F.col(ci.ref)).alias(f"d{ci.ordinal}") for ci in some if ci.kind == "string"]
         p = named.select(*(["part"] if part else []), *[ci.ref for ci in some], *dates)
-        structs = [_column_metrics(ci, clock, sketches) for ci in some]
+        structs = [column_metrics(ci, clock, sketches) for ci in some]
         keys = ["part"] if part else []
         got = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("m")).select(*keys, "rows", F.inline("m"))
         out = got if out is None else out.unionByName(got)

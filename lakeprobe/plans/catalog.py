@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.profile import Sketches, finish_profile, merged, partials
+from ..operators.profile import Sketches, finish_profile, merged, partial_schema, partials
 from ..operators.schema import columns_of
 
 _COLUMN = "struct<ordinal:int,column:string,spark_type:string,kind:string,type_label:string>"
@@ -38,10 +38,7 @@ _KEYS = "dataset string, gen string, "
 TABLES = {
     "commits": _KEYS + f"as_of timestamp_ntz, schema string, columns array<{_COLUMN}>",
     "files": _KEYS + "file string, modified timestamp, size bigint, part_gen string, as_of timestamp_ntz",
-    "parts": _KEYS + ("file string, rows bigint, ordinal int, column string, spark_type string, kind string, type_label string, "
-                      "non_null bigint, num_parsed bigint, negatives bigint, bad bigint, future bigint, last timestamp_ntz, "
-                      "any_date bigint, layouts array<struct<n:bigint,future:bigint,last:timestamp_ntz>>, low bigint, high bigint, "
-                      "distinct_sketch binary, quantile_sketch binary"),
+    "parts": _KEYS + "file string, " + partial_schema(),
 }
 
 

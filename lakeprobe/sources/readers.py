@@ -99,27 +99,29 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, encoding: str |
 TRUE_WORDS, FALSE_WORDS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 
 
-def infer_types(text: DataFrame) -> DataFrame:
-    """Pick a type per text column from one aggregate of cast successes."""
-    checks = []
-    for c in text.columns:
-        col = F.col(f"`{c}`")
-        checks += [
-            F.count(col).alias(f"n|{c}"),
-            F.count_if(col.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b|{c}"),
-            F.count_if(col.try_cast("long").isNotNull()).alias(f"l|{c}"),
-            F.count_if(parse_number(col).isNotNull()).alias(f"d|{c}"),
-        ]
-    r = text.agg(*checks).first().asDict()
+def infer_types(text: DataFrame, batch: int = 200) -> DataFrame:
+    """Pick a type per text column from counts of cast successes, ``batch`` columns in
+    one aggregate, so that generated code stays small however wide the table is."""
+    found: dict[str, int] = {}
+    for start in range(0, len(text.columns), batch):
+        checks = []
+        for i, c in enumerate(text.columns[start:start + batch], start):
+            col = F.col(f"`{c}`")
+            checks += [
+                F.count(col).alias(f"n|{i}"),
+                F.count_if(col.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b|{i}"),
+                F.count_if(col.try_cast("long").isNotNull()).alias(f"l|{i}"),
+                F.count_if(parse_number(col).isNotNull()).alias(f"d|{i}"),
+            ]
+        found |= text.agg(*checks).first().asDict()
     out = []
-    for c in text.columns:
-        n = r[f"n|{c}"]
-        col = F.col(f"`{c}`")
-        if n and r[f"b|{c}"] == n:
+    for i, c in enumerate(text.columns):
+        n, col = found[f"n|{i}"], F.col(f"`{c}`")
+        if n and found[f"b|{i}"] == n:
             out.append(F.when(col.isNotNull(), col.isin(*TRUE_WORDS)).alias(c))
-        elif n and r[f"l|{c}"] == n:
+        elif n and found[f"l|{i}"] == n:
             out.append(col.cast("long").alias(c))
-        elif n and r[f"d|{c}"] == n:
+        elif n and found[f"d|{i}"] == n:
             out.append(col.try_cast("double").alias(c))
         else:
             out.append(col.alias(c))

@@ -747,6 +747,12 @@ def oracle_queries() -> dict[str, str]:
         "roadmap_steps": roadmap_sql(FIXTURE_NAMES),
         "date_layout_votes": layouts_sql() + ("SELECT 'layout_fx' AS dataset, ordinal, \"column\", layout, votes, layout = best AS chosen "
                                               "FROM w JOIN b USING (ordinal)"),
+        "footer_counts": " UNION ALL ".join(
+            f"SELECT 'lineitem' AS dataset, {i} AS ordinal, {lit(n)} AS \"column\", CAST(count(*) AS BIGINT) AS rows, CAST(count({q(n)}) AS BIGINT) AS non_null, "
+            + ", ".join(f"CAST({f}({q(n)}) AS VARCHAR) AS {a}" if t in ("int", "bigint") else f"CAST(NULL AS VARCHAR) AS {a}" for f, a in (("min", "low"), ("max", "high")))
+            + " FROM lineitem" for i, (n, t) in enumerate(SCHEMAS["lineitem"])),
+        "footer_checks": wp(TABLES, " UNION ALL ".join((pc[1], pc[5], pc[12]))),
+        "profile_observed": wp([d], f"SELECT {STORED} FROM p"),
         "catalog_refresh": wp(["lineitem"], f"SELECT {STORED} FROM p"),
         "catalog_lake": wp(TABLES, f"SELECT {STORED} FROM p"),
         "catalog_features": f"WITH p AS ({profile_sql(TABLES)}), {features_sql()} SELECT * FROM features",
