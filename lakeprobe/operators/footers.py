@@ -7,6 +7,9 @@ footers of the files. What footers do not know exactly is read: NaN in float col
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +35,9 @@ def pushed(spark: SparkSession, path: str, ranges: bool = True) -> tuple[DataFra
     own.conf.set("spark.sql.sources.useV1SourceList", "")
     own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     df = own.read.parquet(path)
-    cols = [ci for ci in columns_of(df) if ci.kind != "nested" and not ci.is_float]
+    # columns that are folders, not in the files: footers would count their NULLs
+    folders = {unquote(k) for f in df.inputFiles()[:1] for k in re.findall(r"/([^/=]+)=", f)}
+    cols = [ci for ci in columns_of(df) if ci.kind != "nested" and not ci.is_float and ci.name not in folders]
     ref = lambda ci: F.col("`" + ci.name.replace("`", "``") + "`")
     aggs = [F.count(ref(ci)).alias(f"n{ci.ordinal}") for ci in cols]
     aggs += [f(ref(ci)).alias(f"{k}{ci.ordinal}") for ci in cols if ranges and _ranged(ci) for k, f in (("a", F.min), ("b", F.max))]

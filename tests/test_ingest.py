@@ -83,7 +83,8 @@ def test_observing_needs_no_second_scan(spark, tmp_path):
 def test_two_thousand_columns(spark):
     """Duplicate columns and CSV types of a table far wider than one aggregate."""
     n = 2000
-    exprs = [(F.col("id") * (i % 5 + 1) % 17 + i % 31).cast("string").alias(f"c{i}") for i in range(n)]
+    exprs = [(F.col("id") * (i + 3) % 1009 + (7 if i % 100 == 0 else i)).cast("string").alias(f"c{i}") for i in range(n)]
+    exprs[1500], exprs[1999] = exprs[3].alias("c1500"), exprs[3].alias("c1999")
     df = spark.range(5).select(*exprs)
     rows = df.collect()
     first, want = {}, []
