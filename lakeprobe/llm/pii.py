@@ -86,26 +86,48 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column, gaps: Column, found: Column) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
+_POWERS = tuple(1 << i for i in range(31))
+
+
+def running(values: Column, combine) -> Column:
+    """Running combination (sum, largest) of an array: each pass reaches twice as far
+    back, so n values take n log n steps and no array is grown piece by piece."""
+    return let(values, lambda all: F.aggregate(
+        F.filter(F.array(*map(F.lit, _POWERS)), lambda s: s < F.size(all)), all,
+        lambda acc, s: F.transform(acc, lambda x, i: F.when(i >= s, combine(F.get(acc, i - s), x)).otherwise(x))))
+
+
+def below(starts: Column, value: Column) -> Column:
+    """How many of the ascending ``starts`` are less than ``value``, by halving."""
+    return F.aggregate(F.array(*map(F.lit, reversed(_POWERS))), F.lit(0), lambda at, s: F.when(
+        (F.size(starts) - at >= s) & (F.get(starts, at + s - 1) < value), at + s).otherwise(at))
+
+
+def _spans(kind: str, gaps: Column, found: Column) -> Column:
     """Confirmed and scored spans from the gaps and matches of one pattern."""
-    def step(acc, i):
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"),
-                    F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda a: a["out"])
-
-    def scored(x):
-        first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, x["start"] - first))
-        score = _SCORE[kind] + F.when(before.rlike(_CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+    ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m)), lambda a, b: a + b)
+    numbered = F.zip_with(F.transform(found, lambda m, i: F.struct(m.alias("match"), i.alias("i"))), ends, lambda m, e: F.struct(
+        m["match"].alias("match"), m["i"].alias("i"), (e - F.length(m["match"])).alias("start"), e.alias("end")))
+    good = F.filter(numbered, lambda x: _confirmed(kind, x["match"]))
+    # what stands before a match: the ends of the gaps and matches before it, of which
+    # each match has a character at least
+    tail = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+    pieces = F.zip_with(gaps, found, lambda g, m: F.struct(tail(g).alias("gap"), F.concat(tail(g), tail(F.coalesce(m, F.lit("")))).alias("both")))
+
+    def scored(x, all):
+        back = F.least(x["i"], F.lit(CONTEXT_CHARS))
+        before = F.concat(F.array_join(F.transform(F.slice(all, x["i"] - back + 1, back), lambda p: p["both"]), ""), F.get(all, x["i"])["gap"])
+        score = _SCORE[kind] + F.when(F.lower(tail(before)).rlike(_CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                         x["match"].alias("match"), F.least(score, F.lit(1.0)).alias("score"))
 
-    good = F.transform(F.filter(placed, lambda x: _confirmed(kind, x["match"])), scored)
+    good = let(F.struct(good.alias("good"), pieces.alias("pieces")), lambda z: F.transform(
+        z["good"], lambda x: scored(x, z["pieces"])))
     if kind not in BASE:
         good = F.filter(good, lambda x: x["score"] >= MIN_SCORE)
     return F.when(F.size(found) > 0, good).otherwise(F.array().cast(_SPAN))
@@ -122,7 +144,8 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
     A null or empty text has an empty array. All rows and columns stay; repeated
     rows are handled one by one; helper columns never clash. Texts of any length
-    are searched whole in linear time. No shuffle.
+    are searched whole, in time linear in the text and n log n in its matches. No
+    shuffle.
     """
     t, = fresh(df, "pii_text")
     names = fresh(df, *[f"pii_{k}{p}" for k in KINDS for p in ("_g", "_m", "")], out)
@@ -140,10 +163,15 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         pieces[g] = F.when(can, F.split(F.col(t), _SEARCH[k], -1)).otherwise(none)
         pieces[m] = F.when(can, F.regexp_extract_all(F.col(t), F.lit(_SEARCH[k]), F.lit(0))).otherwise(none)
     cur = cur.withColumns(pieces)
-    cur = cur.withColumns({trio[k][2]: _spans(k, F.col(t), F.col(trio[k][0]), F.col(trio[k][1])) for k in KINDS})
+    cur = cur.withColumns({trio[k][2]: _spans(k, F.col(trio[k][0]), F.col(trio[k][1])) for k in KINDS})
     base = F.concat(*[F.col(trio[k][2]) for k in BASE])
-    added = F.filter(F.concat(*[F.col(trio[k][2]) for k in KINDS if k not in BASE]), lambda x: ~F.exists(
-        base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # an added span overlaps if, of the base spans that start before its end, one ends after its start
+    spans = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    reach = let(spans, lambda b: F.struct(F.transform(b, lambda x: x["start"]).alias("starts"), running(
+        F.transform(b, lambda x: x["end"]), F.greatest).alias("ends")))
+    added = F.concat(*[F.col(trio[k][2]) for k in KINDS if k not in BASE])
+    added = F.when(F.size(added) > 0, let(F.struct(added.alias("added"), reach.alias("reach")), lambda z: F.filter(
+        z["added"], lambda x: ~F.coalesce(F.get(z["reach"]["ends"], below(z["reach"]["starts"], x["end"]) - 1) > x["start"], F.lit(False))))).otherwise(added)
     order = {k: i for i, k in enumerate(KINDS)}
     rank = lambda c: F.element_at(F.create_map(*[F.lit(v) for kv in order.items() for v in kv]), c)
     keyed = F.transform(F.concat(base, added), lambda x: F.struct(

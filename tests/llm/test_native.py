@@ -1,9 +1,12 @@
 """Operators 1 and 4 against plain Python, and their edge cases."""
 
 import hashlib
+import itertools
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeprobe.llm import licenses as L
 from lakeprobe.llm import pii as P
@@ -59,6 +62,59 @@ def test_pii_equals_plain_search(docs):
         assert {x for x in joined.split(",") if x} <= set(r.spans.split(","))
 
 
+def _seconds(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    P.op1_pii(df).collect()
+    start = time.time()
+    row = P.op1_pii(df).collect()[0]
+    return time.time() - start, row
+
+
+@pytest.mark.parametrize("piece,columns", [("a 12 ", ()), ("mail ab@cd.ef 12 ", ("n_email",)), ("ssn 123-45-6789 x@y.zz ", ("n_email",)),
+                                           ("+1 (017) 555-7713, ", ("n_phone",))])
+def test_pii_time_is_in_proportion_to_the_matches(spark, piece, columns):
+    few, _ = _seconds(spark, piece * 5_000)
+    many, row = _seconds(spark, piece * 50_000)
+    assert many < 30 * few + 1 and many < 30
+    for c in columns:
+        assert row[c] == 50_000
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in brute_spans(piece * 50_000)).encode()).hexdigest()
+
+
+def test_pii_a_million_bytes_of_numbers(spark):
+    took, row = _seconds(spark, "a 12 " * 200_000)
+    assert row.spans == "" and took < 10
+    plan = P.op1_pii(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_pii_context_and_overlap(spark):
+    """Context over many short pieces, and added spans against overlapping base ones."""
+    texts = ["call 1 2 3 4 5 6 7 8 9 +49 30 1234567", "call" + " 1" * 25 + " +49 30 1234567", "card 4539 1488 0343 6467 4539 1488 0343 6467",
+             "ssn 123-45-6789@x.yy ssn 123-45-6789", "iban GB82 WEST 1234 5698 7654 32 and 12.34.56.78", "ssn 123-45-6789 " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.find_pii(df).collect():
+        base = [x for x in r.pii if x.kind in P.BASE]
+        for x in r.pii:
+            before = r.text[max(0, x.start - 40):x.start].lower()
+            assert r.text[x.start:x.end] == x.match
+            assert x.score == pytest.approx(min(1.0, P._SCORE[x.kind] + (0.3 if re.search(P._CONTEXT[x.kind], before) else 0)))
+            assert x.kind in P.BASE or not any(b.start < x.end and x.start < b.end for b in base)
+    kinds = {r.doc_id: [x.kind for x in r.pii] for r in P.find_pii(df).collect()}
+    assert kinds[3] == ["email", "ssn"] and kinds[5] == ["ssn"] * 3
+
+
+def test_running_and_below(spark):
+    rows = [([5, 1, 4, 1, 7],), ([],), ([3],), (list(range(100)),)]
+    df = spark.createDataFrame(rows, "a array<int>")
+    got = df.select(P.running(F.col("a"), lambda x, y: x + y), P.running(F.col("a"), F.greatest)).collect()
+    for (a,), r in zip(rows, got):
+        assert r[0] == list(itertools.accumulate(a)) and r[1] == list(itertools.accumulate(a, max))
+    starts = spark.createDataFrame([([1, 1, 4, 9],), ([],)], "s array<int>")
+    for v, want in ((0, 0), (1, 0), (2, 2), (5, 3), (99, 4)):
+        assert [r[0] for r in starts.select(P.below(F.col("s"), F.lit(v))).collect()] == [want, 0]
+
+
 def test_pii_confirms_and_scores(docs):
     got = {r.doc_id: r.pii for r in P.find_pii(docs).collect()}
     iban = [x for x in got[19] if x.kind == "iban"]
