@@ -6,9 +6,9 @@ done by slot ceil((j + 1) Q / n); one block runs per slot and the earliest
 deadline goes first. At any slot every source is then less than one block away
 from its share. n and Q are the target weights as whole numbers, without rounding.
 
-The driver makes the schedule of all blocks from the byte counts of the sources
-(one step a block, written in pieces of ``PIECE``; nothing else is gathered) and
-every row finds its slot by a join on its block.
+The driver makes the schedule of all blocks from the byte counts of the sources: one
+step a block, and blocks are so large that there are at most ``MAX_BLOCKS`` of them and
+one more a source, whatever the bytes. Every row finds its slot by a join on its block.
 """
 
 from __future__ import annotations
@@ -26,33 +26,20 @@ from pyspark.sql import functions as F
 from .common import fresh, scratch, small, stored
 from .sharding import text_size
 
-BLOCK_BYTES = 1 << 16
+BLOCK_BYTES = 1 << 16    # bytes of a block, doubled until there are few enough blocks
+MAX_BLOCKS = 2_000_000   # of all sources together, but for one more each
 ALPHA = 0.7              # default target: bytes of the source to this power
-CYCLE = 1024             # slots of a short cycle, at least; 16 per source at least
-MAX_SOURCES = 100_000    # more raise an error
+MAX_SOURCES = 1_000_000  # more raise an error
 BUCKET_ROWS = 2_000      # rows of a source that one task orders
 PIECE = 500_000          # blocks of the schedule that the driver holds at once
 BROADCAST = 2_000_000    # blocks that are joined by broadcast (16 bytes each)
 
 
-def cycle_units(weights: Mapping, least: int = CYCLE) -> tuple[int, dict]:
-    """Whole slots of each source with a positive weight in a cycle short enough
-    to repeat (largest remainders, one slot at least), and the length of the cycle.
-    These are rounded weights; ``mix`` keeps to those of ``exact_units``."""
-    pos = {s: w for s, w in weights.items() if w > 0}
-    if not pos:
-        return 0, {}
-    q, total = max(least, 16 * len(pos)), sum(pos.values())
-    units = {s: max(1, int(q * w / total)) for s, w in pos.items()}
-    rest = sorted(pos, key=lambda s: (-(q * pos[s] / total - units[s]), str(s)))
-    i = 0
-    while sum(units.values()) < q:
-        units[rest[i % len(rest)]] += 1
-        i += 1
-    big = sorted(pos, key=lambda s: (-units[s], str(s)))
-    while sum(units.values()) > q:
-        units[max(big, key=lambda s: units[s])] -= 1
-    return q, units
+def block_size(total: int, least: int = BLOCK_BYTES, most: int = MAX_BLOCKS) -> int:
+    """``least``, doubled until ``total`` bytes are at most ``most`` blocks."""
+    while total > most * least:
+        least *= 2
+    return least
 
 
 def exact_units(weights: Mapping) -> dict:
@@ -91,15 +78,6 @@ def pfair(units: Mapping, blocks: Mapping) -> Iterator[tuple]:
         t += 1
 
 
-def pfair_cycle(q: int, units: Mapping) -> dict:
-    """The slots of each source in one cycle."""
-    slots = {s: [0] * n for s, n in units.items()}
-    for t, s, j in pfair(units, units):
-        if t < q:
-            slots[s][j] = t
-    return slots
-
-
 def _schedule(spark, units: Mapping, blocks: Mapping, place: Mapping) -> tuple[DataFrame, int, int]:
     """The stored schedule ``(block_key, slot)``, its number of rows, and the first
     slot that a source cannot fill. The key is ``place`` of the source * 2^40 + block."""
@@ -127,34 +105,37 @@ def _schedule(spark, units: Mapping, blocks: Mapping, place: Mapping) -> tuple[D
 
 
 def mix(df: DataFrame, source: str = "source", size: Column | None = None,
-        weights: Mapping | None = None, block_bytes: int = BLOCK_BYTES, seed: int = 0) -> DataFrame:
+        weights: Mapping | None = None, block_bytes: int | None = None, seed: int = 0) -> DataFrame:
     """Add ``mix_slot`` (the slot of the row's block), ``mix_offset`` (first byte
     of the row in its source) and ``in_mix``; reading rows by the first two is the mix.
 
     ``weights`` maps sources to target weights, by default the bytes of each
-    source to the power 0.7. All rows stay. ``in_mix`` is true up to the slot that
+    source to the power 0.7. ``block_bytes`` is by default ``block_size`` of all bytes:
+    64 KB up to 131 GB, then larger, 64 MB at 100 TB. All rows stay. ``in_mix`` is true up to the slot that
     some source can no longer fill; before it, each source is less than one block
     away from its exact weight at every slot, however long the mix. Later blocks
     keep to the windows of their weights, and the slots of sources that have run
     out are left empty or go to blocks that may start. Rows of sources without a
     positive weight have a null slot and are not in the mix.
 
-    The order within a source is a hash of the row's columns and ``seed``. A null
-    source is a source of its own; repeated rows are rows of their own; a row over
-    many blocks takes the slot of its first byte and the next row starts after it.
-    An empty table stays empty. Raises ``ValueError`` for clashing column names or
-    more than 100,000 sources.
+    The order within a source is a hash of the row's columns and ``seed``, so it does
+    not depend on files or partitions; only rows that are equal in all columns (maps
+    aside) may change places, and rows whose hash falls beside some thousands of such
+    ones. A null source is a source of its own; repeated rows are rows of their own; a
+    row over many blocks takes the slot of its first byte and the next row starts after
+    it. An empty table stays empty. Raises ``ValueError`` for clashing column names or
+    more than ``MAX_SOURCES`` sources.
     """
     new = ("mix_slot", "mix_offset", "in_mix")
     if clash := {c.lower() for c in df.columns} & set(new):
         raise ValueError(f"columns {sorted(clash)} exist")
-    b, k, no, bucket, before, src, base, slot_key, n = fresh(
-        df, "size_", "key_", "no_", "bucket_", "before_", "src_", "base_", "slot_key_", "n_")
+    b, k, no, bucket, before, src, base, slot_key, n, sub, parts = fresh(
+        df, "size_", "key_", "no_", "bucket_", "before_", "src_", "base_", "slot_key_", "n_", "sub_", "parts_")
     size = text_size(F.col("text")) if size is None else size
     named = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n"))
     cur = df.withColumns({b: size.cast("long"), src: named, no: F.monotonically_increasing_id()})
     plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    cur = stored(cur.withColumn(k, F.shiftrightunsigned(F.xxhash64(F.lit(seed), no, *plain), 1)).drop(no))
+    cur = stored(cur.withColumn(k, F.shiftrightunsigned(F.xxhash64(F.lit(seed), *plain), 1)))
     totals = cur.groupBy(src).agg(F.sum(b).alias("bytes"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -165,19 +146,28 @@ def mix(df: DataFrame, source: str = "source", size: Column | None = None,
         named_w = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
         target = {s: named_w.get(s, 0) for s in bytes_of}
     units = exact_units(target)
+    block_bytes = block_size(sum(bytes_of[s] for s in units)) if block_bytes is None else block_bytes
     blocks = {s: (bytes_of[s] - 1) // block_bytes + 1 for s in units}
     place = {s: i for i, s in enumerate(sorted(units))}
     spark = df.sparkSession
     table, n_blocks, horizon = _schedule(spark, units, blocks, place)
     bits = max(0, (max((r["rows"] for r in totals), default=0) // BUCKET_ROWS).bit_length())
     cur = cur.withColumn(bucket, F.shiftright(k, 63 - bits).cast("int"))
-    sums = stored(cur.groupBy(src, bucket).agg(F.sum(b).alias(before)))
-    run = W.partitionBy(src).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    sums = stored(cur.groupBy(src, bucket).agg(F.sum(b).alias(before), F.count(F.lit(1)).alias(parts)))
+    # a bucket is only so full when rows are equal: it is dealt over parts
+    full = sums.filter(F.col(parts) > 4 * BUCKET_ROWS).select(src, bucket, F.ceil(F.col(parts) / BUCKET_ROWS).cast("int").alias(parts))
+    if full.isEmpty():
+        cur, sums = cur.withColumn(sub, F.lit(0)), sums.drop(parts).withColumn(sub, F.lit(0))
+    else:
+        part = F.when(F.col(parts).isNotNull(), F.pmod(F.xxhash64(k, no), F.col(parts))).otherwise(0)
+        cur = cur.join(small(full, 100_000), [src, bucket], "left").withColumn(sub, part.cast("int")).drop(parts)
+        sums = stored(cur.groupBy(src, bucket, sub).agg(F.sum(b).alias(before)))
+    run = W.partitionBy(src).orderBy(bucket, sub).rowsBetween(W.unboundedPreceding, -1)
     sums = stored(sums.withColumn(before, F.coalesce(F.sum(before).over(run), F.lit(0))))
     plan = spark.createDataFrame([(s, place[s] << 40, max(0, blocks[s] - 1)) for s in units], f"{src} string, {base} long, {n} long")
     starts = small(sums.join(F.broadcast(plan), src, "left"), 100_000)  # a row for each source, at most MAX_SOURCES
-    cur = cur.join(starts, [src, bucket])
-    inside = W.partitionBy(src, bucket).orderBy(k).rowsBetween(W.unboundedPreceding, -1)
+    cur = cur.join(starts, [src, bucket, sub])
+    inside = W.partitionBy(src, bucket, sub).orderBy(k, no).rowsBetween(W.unboundedPreceding, -1)
     cur = cur.withColumn("mix_offset", F.col(before) + F.coalesce(F.sum(b).over(inside), F.lit(0)))
     block = F.least(F.floor(F.col("mix_offset") / block_bytes), F.col(n))  # rows without bytes may stand at the very end
     table = table.select(F.col("block_key").alias(slot_key), F.col("slot").alias("mix_slot"))

@@ -63,25 +63,40 @@ def test_shard_order_and_edges(spark):
         S.shard(df.withColumn("Slot", F.lit(1)), F.col("doc_id"), F.lit(1))
 
 
+def _schedule(weights, blocks):
+    """The slots of all blocks, and the first slot that some source cannot fill, held
+    against the fluid shares on both sides up to it."""
+    units = M.exact_units(weights)
+    q, slots, got, end = sum(units.values()), {}, dict.fromkeys(units, 0), None
+    for t, s, j in M.pfair(units, blocks):
+        if j == blocks[s]:
+            end = t if end is None else end
+            continue
+        slots[s, j] = t
+        got[s] += 1
+        if end is None:
+            assert all(abs(got[x] - M.Fraction(n * (t + 1), q)) < 1 for x, n in units.items())
+    return slots, end
+
+
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 0.5, "b": 0.5}, {"a": 0.9, "b": 0.07, "c": 0.03},
                                      {i: 1 + i ** 2 for i in range(90)}, {i: 1e-9 + (i == 0) for i in range(80)}])
 def test_pfair_deviates_less_than_a_block(weights):
-    q, units = M.cycle_units(weights)
-    assert sum(units.values()) == q and min(units.values()) >= 1
-    slots = M.pfair_cycle(q, units)
-    at = {t: s for s, v in slots.items() for t in v}
-    assert sorted(at) == list(range(q))
-    got = defaultdict(int)
-    for t in range(2 * q):
-        got[at[t % q]] += 1
-        assert all(abs(got[s] - n * (t + 1) / q) < 1 for s, n in units.items())
+    slots, end = _schedule(weights, dict.fromkeys(weights, 700))
+    assert len(slots) == 700 * len(weights) and len(set(slots.values())) == len(slots) and end >= 700
 
 
 def _check_mix(rows, weights, block):
+    """Every row lies in the slot of the block that its first byte falls into; a schedule
+    of exact weights says which slot that is."""
     total = defaultdict(int)
     for r in rows:
         total[r["source"]] += r["size"]
-    q, units = M.cycle_units(weights or {s: b ** M.ALPHA for s, b in total.items()})
+    name = lambda s: "n" if s is None else f"s{s}"
+    weights = {s: weights.get(s, 0) for s in total} if weights else {s: b ** M.ALPHA for s, b in total.items()}
+    weights = {s: w for s, w in weights.items() if w > 0}
+    blocks = {name(s): max(1, -(-total[s] // block)) for s in weights}
+    slots, end = _schedule({name(s): w for s, w in weights.items()}, blocks)
     by = defaultdict(list)
     for r in rows:
         by[r["source"]].append(r)
@@ -91,14 +106,33 @@ def _check_mix(rows, weights, block):
         for r in own:
             assert r["mix_offset"] == at
             at += r["size"]
-        if s not in units:
-            assert all(r["mix_slot"] is None and not r["in_mix"] for r in own)
-    end = max((r["mix_slot"] + 1 for r in rows if r["in_mix"]), default=0)
-    for t in range(1, end, max(1, end // 200)):
-        for s, n in units.items():
-            blocks = {r["mix_offset"] // block for r in by[s] if r["mix_slot"] < t}
-            done = max(blocks, default=-1) + 1
-            assert done - n * t / q < 1
+            if s in weights:
+                assert r["mix_slot"] == slots[name(s), r["mix_offset"] // block]
+                assert r["in_mix"] == (r["mix_slot"] < end)
+            else:
+                assert r["mix_slot"] is None and not r["in_mix"]
+
+
+def test_other_partitions_give_the_same_mix(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    mixes = [M.mix(d, block_bytes=4096).drop("m") for d in (docs, docs.repartition(5), docs.orderBy(F.desc("n_chars")).coalesce(2))]
+    first, *others = [sorted((r.doc_id, r.mix_slot, r.mix_offset, r.in_mix) for r in m.collect()) for m in mixes]
+    assert all(first == o for o in others) and len(first) == docs.count()
+
+
+def test_thousands_of_equal_rows_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 20)
+    df = spark.createDataFrame([("a", "same", 10)] * 900 + [("a", f"t{i}", 10) for i in range(300)], "source string, t string, size long").repartition(3)
+    rows = [r.asDict() for r in M.mix(df, size=F.col("size"), weights={"a": 1}, block_bytes=30).collect()]
+    _check_mix(rows, {"a": 1}, 30)
+    plan = M.mix(df, size=F.col("size"), block_bytes=30)._jdf.queryExecution().toString()
+    assert "sub_" in plan
+
+
+def test_blocks_grow_with_the_bytes():
+    assert M.block_size(0) == M.block_size(2_000_000 << 16) == 1 << 16
+    assert M.block_size((2_000_000 << 16) + 1) == 1 << 17
+    assert M.block_size(100 << 40) == 1 << 26 and (100 << 40) / (1 << 26) <= M.MAX_BLOCKS
 
 
 def test_mix_of_the_documents(spark):
