@@ -12,7 +12,6 @@ long. The cell (reset gate after the product): ``z, r = sigmoid(W x + U h)``,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,6 @@ STEPS, BATCH, RATE = 220, 384, 0.02
 PAD = 256              # input that leaves the state as it is
 CHUNK = 2048           # windows run at once
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang string, score double, shares map<string,double>"
 
 
@@ -42,6 +40,11 @@ class LanguageModel:
     params: dict[str, np.ndarray]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a letter is among the characters; figures such as ² or ① are none."""
+    return any(c.isalpha() for c in text)
+
+
 def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -158,7 +161,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, windows: int = TRAIN_
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for t, lang in zip(texts, langs, strict=True):
-        if t and _LETTER.search(t):
+        if t and has_letter(t):
             w = _windows(t.encode("utf-8", "replace"), TRAIN_WINDOW)
             w = w[rng.permutation(len(w))[:windows]]
             xs.append(w)
@@ -195,7 +198,7 @@ def predict(texts: list[str | None], model: LanguageModel) -> list[tuple[str, fl
     """Per text the language, its pooled probability and the share of bytes
     labelled with each language. Texts that are null or have no letter are ``und``
     with score 0."""
-    ok = [bool(model.langs and t and _LETTER.search(t)) for t in texts]
+    ok = [bool(model.langs and t and has_letter(t)) for t in texts]
     parts, of = [], []
     sums = np.zeros((len(texts), len(model.langs)))
     votes, lengths = np.zeros_like(sums), np.ones(len(texts))
