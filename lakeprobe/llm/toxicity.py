@@ -100,7 +100,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     rate, leak = np.full(len(ids), 0.01), 0.01
     for _ in range(STEPS):
         total = np.bincount(doc, rate[cue] * times, minlength=n) + leak
-        pull = np.where(labels, 1 / -np.expm1(-total), 0.0)
+        pull = np.zeros(n)
+        pull[labels] = 1 / -np.expm1(-total[labels])
         rate *= np.bincount(cue, pull[doc] * times, minlength=len(ids)) / (per_cue + penalty)
         leak *= pull.sum() / n
     kept = {w: float(rate[i]) for w, i in ids.items() if per_cue[i] and rate[i] >= KEEP_RATE}

@@ -108,14 +108,47 @@ def test_toxicity_finds_the_sentence():
     assert X.score_text("A calm line. Another.", m)[0] < 0.1
 
 
+def _plain_noisy_or(text, model):
+    """The score from the definition: sentences as runs of the pattern, the sum of the
+    rates of their cues, and one minus the product of what is left."""
+    left = 1 - model.leak
+    for m in X._SENTENCE.finditer(text or ""):
+        rate = sum(model.rates.get(c, 0.0) for c in X._cues(m.group().lower()))
+        left *= np.exp(-rate)
+    return 1 - left
+
+
 def test_toxicity_held_out(spark, docs):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    r = X.op5_toxicity(docs, labels).join(labels, "doc_id").collect()
+    """Rows that training never saw: found and false alarms, and scores as defined."""
+    labels = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet")
+    many = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/documents.parquet")
+    r = X.op5_toxicity(many, labels).join(labels, "doc_id").collect()
     for x in r[:50]:
         assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
-    all_rows = [(x.toxic, x.predicted) for x in r]
-    hit = sum(a and b for a, b in all_rows)
-    assert hit >= 0.6 * sum(a for a, _ in all_rows) and sum(b and not a for a, b in all_rows) <= 0.02 * len(all_rows)
+    unseen = [(x.toxic, x.predicted) for x in r if x.held_out]
+    assert len(unseen) > 500
+    toxic = sum(a for a, _ in unseen)
+    assert sum(a and b for a, b in unseen) >= 0.8 * toxic and sum(b and not a for a, b in unseen) <= 0.01 * len(unseen)
+    model = X.train(docs, labels)
+    for t in _texts(docs, 200) + [None, ""]:
+        assert X.score_text(t, model)[0] == pytest.approx(_plain_noisy_or(t, model), abs=1e-9)
+
+
+def test_toxicity_updates_raise_the_likelihood():
+    """Each step of training is worth at least as much as the one before, penalty included."""
+    rng = np.random.default_rng(4)
+    good = [f"calm {w} line here. fine {v} text." for w, v in rng.integers(0, 40, (120, 2))]
+    bad = [f"calm {w} line. vile {v} word here." for w, v in rng.integers(0, 40, (40, 2))]
+    values = []
+    for steps in (1, 2, 5, 20, 60):
+        old, X.STEPS = X.STEPS, steps
+        try:
+            m = X.fit(good + bad, [0] * 120 + [1] * 40)
+        finally:
+            X.STEPS = old
+        p = np.clip([_plain_noisy_or(t, m) for t in good + bad], 1e-12, 1 - 1e-12)
+        values.append(np.log(1 - p[:120]).sum() + np.log(p[120:]).sum())
+    assert values[-1] > values[0] and all(b > a - 2 for a, b in zip(values, values[1:]))
 
 
 def test_toxicity_edges(spark):
@@ -144,6 +177,52 @@ def test_gru_gradients():
         assert abs((loss[0] - loss[1]) / 2e-2 - g[name][at]) < 1e-5, name
 
 
+def _plain_forward(x, p):
+    """The cell from its definition, one number at a time, over one text's bytes."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    k, sides = G.HIDDEN, []
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, states = np.zeros(k), [None] * len(x)
+        for t in order:
+            if x[t] != G.PAD:
+                a, g = p[f"W{d}"][:, x[t]], p[f"U{d}"] @ h
+                z, r = sig(a[:k] + g[:k]), sig(a[k:2 * k] + g[k:2 * k])
+                h = h + z * (np.tanh(a[2 * k:] + r * g[2 * k:]) - h)
+            states[t] = h
+        sides.append(states)
+    logits = np.array([p["V"] @ np.concatenate([f, b]) + p["c"][:, 0] for f, b in zip(*sides)])
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_forward_equals_the_plain_cell():
+    rng = np.random.default_rng(2)
+    p = G._start(4, rng)
+    x = rng.integers(0, 256, (23, 3))
+    x[17:, 1] = G.PAD
+    got, _ = G.forward(x, p)
+    for i in range(3):
+        real = x[:, i] != G.PAD
+        assert np.allclose(got[:, real, i].T, _plain_forward(x[:, i], p)[real], atol=1e-5)
+
+
+def test_figures_are_no_letters(docs):
+    model = G.train(docs.limit(300))
+    texts = ["5²", "½ 10", "①②", "٣٤", "_", "😀", "a²", "é", "日"]
+    assert [r[0] == "und" for r in G.predict(texts, model)] == [True] * 6 + [False] * 3
+
+
+def test_clashing_names_raise(spark, docs):
+    df = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, Language string")
+    model = G.train(docs.limit(100))
+    with pytest.raises(ValueError, match="language"):
+        G.identify(df, model)
+    assert G.identify(df, model, out="found").columns == [*df.columns, "found"]
+    tox = X.fit(["a"], [0])
+    with pytest.raises(ValueError, match="toxicity"):
+        X.score_toxicity(df.withColumn("Toxicity", F.lit(1)), tox)
+
+
 def test_language_held_out(docs):
     r = G.op9_langid(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(r) == docs.count()
