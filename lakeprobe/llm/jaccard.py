@@ -1,20 +1,23 @@
-"""Operator 3, n-gram Jaccard join by MinHash bands.
+"""Operator 3, n-gram Jaccard join by a MinHash LSH forest.
 
 A document is its set of five-word shingles (lower case, split at white space).
-Documents with the same set are one node. A node's MinHash signature is cut into
-trees, each a path of minima, and two nodes meet in a tree when their paths agree
-up to a depth. That depth is one number for all nodes: the longest with which the
-trees together reach the target recall at the threshold (``depth_for``). So this is
-banding, not an LSH forest: no deeper path is made, sorted or shortened.
-
-What meets is judged in two steps. First by the signatures, far below the
-threshold, which gives groups of possible neighbours; then all documents of a
-group are compared by their exact shingle sets. Both steps run in tiles (see
-``graph``): per document only counts and forest edges come out, never the pairs.
+Documents with the same set are one node. A node's signature is a path of ``DEPTH``
+minima in each of ``TREES`` prefix tries. In a trie, sorted by path, neighbours share
+the longest prefixes: nodes meet first where their whole paths agree, then, as the
+matched prefix is shortened level by level, where less of them does. How short it must
+become is measured (``shortest_prefix``): until pairs at just the threshold meet with
+the target recall. A pair belongs to the trie in which its common prefix is longest.
+
+Pairs that meet are judged by their whole signatures first, well below the threshold.
+Only nodes of pairs that pass come back, to the tiles in which they met, with their exact
+shingle sets, and only these pairs are verified. Both steps run in tiles of bounded size
+(``graph.py``): per document counts and forest edges come out, never the pairs, and
+components are made of verified links alone.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,25 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored
-from .graph import Forest, components, dealt, in_tiles, joined_by_size, pairs, whole_runs
+from .graph import Forest, components, in_tiles, joined_by_size, pairs, whole_runs
 
 SIMILARITY = 0.8
 WORDS = 5
 TREES, DEPTH = 20, 8
-RECALL = 0.9995
-SLACK = 0.2            # signatures may show this much less than the threshold
-SKETCH_TILE, SET_TILE = 1024, 512
+RECALL = 0.999         # of pairs at just the threshold, as measured
+SAMPLE = 10_000        # pairs it is measured on
+SLACK = 0.15           # signatures may show this much less than the threshold
+TILE = 512
+TREE_BITS = 6          # of a bucket's number, for its trie: at most 64 of them
 CACHE = 500_000        # word hashes, emptied when full
 _MIX = np.array([3, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def depth_for(similarity: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which ``trees`` trees reach the recall."""
-    while depth > 1 and 1 - (1 - similarity ** depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
 class Shingles:
     """Hashed shingle sets of texts."""
 
@@ -85,44 +83,110 @@ def minima(s: np.ndarray, c: np.ndarray, a: np.ndarray) -> np.ndarray:
     return best
 
 
-def _sketch(depth: int, trees: int):
+def paths(m: np.ndarray) -> np.ndarray:
+    """A path digit of each minimum: eight mixed bits, so that a path is its bytes."""
+    with np.errstate(over="ignore"):
+        return ((m ^ (m >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
+def _common_prefix(same: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix in each trie, from the agreement of all digits."""
+    return np.cumprod(same.reshape(len(same), -1, depth), axis=2, dtype=np.uint8).sum(axis=2)
+
+
+@functools.cache
+def shortest_prefix(similarity: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """How far matched prefixes must be shortened: from whole paths down until the
+    wanted share of ``SAMPLE`` pairs of sets, at just the similarity, meets in some
+    trie. One digit if nothing reaches it."""
+    rng = np.random.default_rng(41)
+    shared = 90
+    apart = max(0, round(shared * (1 - similarity) / similarity / 2))
+    c, a = _functions(trees * depth)
+    found = np.zeros(SAMPLE, int)
+    for i in range(SAMPLE):
+        x = rng.integers(0, 1 << 63, shared + 2 * apart, np.uint64) << np.uint64(1)
+        p, q = (paths(minima(s, c, a)) for s in (x[:shared + apart], np.r_[x[:shared], x[shared + apart:]]))
+        found[i] = _common_prefix((p == q)[None, :], depth).max()
+    for level in range(depth, 0, -1):
+        if (found >= level).mean() >= recall:
+            return level
+    return 1
+
+
+def _sketch(prefix: int, trees: int, depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, (c, a) = Shingles(), _functions(depth * trees)
         for pdf in batches:
-            out = {k: [] for k in ("c1", "c2", "size", "sig", "nodes")}
+            out = {k: [] for k in ("c1", "c2", "size", "path", "buckets")}
             for t in pdf["text"]:
                 s = sets.of(t)
                 key = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
-                m = minima(s, c, a)
-                path = m.reshape(trees, depth)
+                path = paths(minima(s, c, a)).reshape(trees, depth)
                 out["c1"].append(int(key[0]))
                 out["c2"].append(int(key[1]))
                 out["size"].append(len(s))
-                out["sig"].append((m >> np.uint32(7)).astype(np.uint8).tobytes())
-                out["nodes"].append([xxhash.xxh64_intdigest(path[i].tobytes(), i) - (1 << 63) for i in range(trees)])
+                out["path"].append(path.tobytes())
+                # a bucket is the part of a trie below a shortest prefix
+                out["buckets"].append([((xxhash.xxh64_intdigest(path[i, :prefix].tobytes(), i) >> (TREE_BITS + 1)) << TREE_BITS) + i
+                                       for i in range(trees)])
             yield pd.DataFrame({"rid": pdf["rid"], "id": pdf["id"], **out})
     return run
 
 
-def _meet(least: float, ratio: float):
-    """Pairs of a tile whose signatures agree in ``least`` of their places, as
-    forest edges."""
+def met(path: np.ndarray, tree: np.ndarray, run: np.ndarray, side: np.ndarray, diagonal: np.ndarray,
+        prefix: int, depth: int, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run, level by level: those whose whole paths in the run's
+    trie agree, then, with each shortening, those that meet there. Rows are sorted by
+    (run, path in the trie)."""
+    n = len(run)
+    own = path.reshape(n, -1, depth)[np.arange(n), tree]
+    common = np.zeros(n, int)        # with the row before
+    common[1:] = np.where(run[1:] == run[:-1], np.cumprod(own[1:] == own[:-1], axis=1).sum(axis=1), -1)
+    deeper = np.arange(n)
+    for level in range(depth, prefix - 1, -1):
+        node = np.cumsum(np.r_[True, common[1:] < level]) if n else deeper
+        for i, j in pairs(node, side, diagonal, most):
+            new = deeper[i] != deeper[j]
+            if new.any():
+                yield i[new], j[new]
+        deeper = node
+
+
+def owned(pdf: pd.DataFrame, runs: np.ndarray, prefix: int, depth: int, least: float, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that meet in these tiles and belong there: their sizes allow the ratio,
+    their signatures agree in ``least`` of all digits, and no trie has a longer common
+    prefix of theirs, nor an earlier one as long."""
+    path = np.frombuffer(b"".join(pdf["path"]), np.uint8).reshape(len(pdf), -1)
+    tree, size = (pdf["bucket"].to_numpy() & ((1 << TREE_BITS) - 1)).astype(int), pdf["size"].to_numpy()
+    for i, j in met(path, tree, runs, pdf["side"].to_numpy(), (pdf["ta"] == pdf["tb"]).to_numpy(), prefix, depth):
+        fit = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+        i, j = i[fit], j[fit]
+        same = path[i] == path[j]
+        near = same.mean(axis=1) >= least
+        i, j = i[near], j[near]
+        if len(i):
+            here = _common_prefix(same[near], depth).argmax(axis=1) == tree[i]
+            yield i[here], j[here]
+
+
+def _meet(prefix: int, depth: int, least: float, ratio: float):
+    """The rows of each tile that are in a pair that belongs there."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, runs in whole_runs(batches):
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-            size, node = pdf["size"].to_numpy(), pdf["node"].to_numpy()
-            trees = Forest(len(pdf))
-            for i, j in pairs(runs, pdf["side"].to_numpy(), (pdf["ta"] == pdf["tb"]).to_numpy(), 50_000):
-                fit = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-                i, j = i[fit], j[fit]
-                near = (sig[i] == sig[j]).mean(axis=1) >= least
-                if near.any():
-                    trees.add(i[near], j[near])
-            a, b = trees.edges(node)
-            yield pd.DataFrame({"a": a, "b": b})
+            use = np.zeros(len(pdf), bool)
+            for i, j in owned(pdf, runs, prefix, depth, least, ratio):
+                use[i] = use[j] = True
+            yield pdf.loc[use, ["bucket", "node", "side", "ta", "tb"]]
     return run
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sets = Shingles()
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["node"], "shingles": [sets.of(t).tobytes() for t in pdf["text"]]})
+
+
 def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of some sets."""
     n = len(sets)
@@ -147,36 +211,34 @@ def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(similarity: float):
-    """Links of the tile pairs by exact sets: per node the copies linked, and
-    forest edges."""
+def _verify(prefix: int, depth: int, least: float, similarity: float):
+    """Links of the tiles by exact sets: per node the copies linked, and forest edges."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = Shingles()
         for pdf, runs in whole_runs(batches):
-            node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-            side, diagonal = pdf["side"].to_numpy(), (pdf["ta"] == pdf["tb"]).to_numpy()
+            node, copies, size = (pdf[c].to_numpy() for c in ("node", "copies", "size"))
+            sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
             links, trees = np.zeros(len(pdf)), Forest(len(pdf))
-            ends = np.flatnonzero(np.r_[runs[1:] != runs[:-1], True]) + 1
-            first, second = [], []
-            begin = 0
-            for end in ends:
-                sets = [maker.of(t) for t in pdf["text"].iloc[begin:end]]
-                if len(sets) > 1:
-                    sizes = np.array([len(s) for s in sets], float)
-                    both = common_sizes(sets)
-                    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-                    if not diagonal[begin]:
-                        near &= side[begin:end, None] != side[None, begin:end]
-                    np.fill_diagonal(near, False)
-                    links[begin:end] = near @ copies[begin:end]
-                    i, j = np.nonzero(np.triu(near))
-                    own = Forest(end - begin)
-                    own.add(i, j)
-                    first.append(np.arange(begin, end))
-                    second.append(own.label + begin)
-                begin = end
-            if first:
-                trees.add(np.concatenate(first), np.concatenate(second))
+            starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+            ends = np.r_[starts[1:], len(runs)]
+            tables: dict[int, np.ndarray] = {}
+            for i, j in owned(pdf, runs, prefix, depth, least, similarity):
+                at = np.searchsorted(starts, i, "right") - 1
+                both = np.empty(len(i))
+                for k in np.unique(at):
+                    use = at == k
+                    lo, hi = int(starts[k]), int(ends[k])
+                    if k not in tables and use.sum() > 4 * (hi - lo):   # many pairs: all at once
+                        tables.clear()
+                        tables[k] = common_sizes(sets[lo:hi])
+                    if k in tables:
+                        both[use] = tables[k][i[use] - lo, j[use] - lo]
+                    else:
+                        both[use] = [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i[use], j[use])]
+                near = both >= similarity * (size[i] + size[j] - both) - 1e-9
+                i, j = i[near], j[near]
+                if len(i):
+                    links += np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
+                    trees.add(i, j)
             a, b = trees.edges(node)
             keep = links > 0
             yield pd.DataFrame({"a": np.concatenate([node[keep], a]), "b": np.concatenate([node[keep], b]),
@@ -184,34 +246,52 @@ def _verify(similarity: float):
     return run
 
 
+def _tries(tiles: DataFrame, depth: int) -> DataFrame:
+    """One tile's rows together, in the order of their paths in the bucket's trie."""
+    at = (F.col("bucket").bitwiseAND((1 << TREE_BITS) - 1) * depth + 1).cast("int")
+    return tiles.repartition("bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb", F.substring("path", at, F.lit(depth)), "node")
+
+
+def signatures(rows: DataFrame, prefix: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Stored, a row per text: the 128-bit hash and size of its set, its paths, and the
+    buckets of its shortest prefixes."""
+    return stored(rows.select("rid", "id", "text").mapInPandas(
+        _sketch(prefix, trees, depth), f"rid long, id {rows.schema['id'].dataType.simpleString()}, c1 long, c2 long, "
+        "size int, path binary, buckets array<long>"))
+
+
+def meetings(nodes: DataFrame, prefix: int, similarity: float, depth: int = DEPTH) -> DataFrame:
+    """Stored ``(bucket, node, side, ta, tb)``: the nodes (``node, size, path, buckets``)
+    in the tiles that have a pair of theirs to verify."""
+    tiles = in_tiles(nodes.select("node", F.explode("buckets").alias("bucket")), TILE)
+    tiles = _tries(tiles.join(nodes.select("node", "size", "path"), "node"), depth)
+    return stored(tiles.mapInPandas(_meet(prefix, depth, similarity - SLACK, similarity), "bucket long, node long, side int, ta int, tb int"))
+
+
 def link_rows(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
-              trees: int = TREES) -> DataFrame:
+              trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """``rows`` is a stored table ``(rid, id, text)`` with distinct ``rid``. Returns
     a stored ``(rid, id, class_id, n_links, component_id, leader)``; ``leader`` is
     the ``rid`` that stands for the component: of its rows with the least id, the
     first. See ``jaccard_join`` for the meaning of the rest."""
-    depth = depth_for(similarity, recall, trees)
-    sketch = stored(rows.select("rid", "id", "text").mapInPandas(
-        _sketch(depth, trees), f"rid long, id {rows.schema['id'].dataType.simpleString()}, c1 long, c2 long, "
-        "size int, sig binary, nodes array<long>"))
+    prefix, least = shortest_prefix(similarity, recall, trees, depth), similarity - SLACK
+    sketch = signatures(rows, prefix, trees, depth)
     classes = stored(sketch.filter("size > 0").groupBy("c1", "c2").agg(
         F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")))
     nodes = stored(sketch.drop("id").join(classes.select("node", "copies"), F.col("rid") == F.col("node")).select(
-        "node", "copies", "size", "sig", "nodes"))
-    members = nodes.select("node", F.explode(F.array_distinct("nodes")).alias("bucket"))
-    tiles = dealt(in_tiles(members, SKETCH_TILE).join(nodes.select("node", "size", "sig"), "node"))
-    near = tiles.mapInPandas(_meet(similarity - SLACK, similarity), "a long, b long")
-    groups = stored(components(near).withColumnRenamed("root", "bucket"))
-    tiles = stored(in_tiles(groups, SET_TILE).join(nodes.select("node", "copies"), "node"))
-    texts = rows.select(F.col("rid").alias("node"), "text").join(small(tiles, 300_000), "node")
-    found = stored(dealt(texts).mapInPandas(_verify(similarity), "a long, b long, links long"))
+        "node", "copies", "size", "path", "buckets"))
+    tiles = meetings(nodes, prefix, similarity, depth)
+    texts = rows.select(F.col("rid").alias("node"), "text").join(small(stored(tiles.select("node").distinct()), 300_000), "node")
+    sets = stored(texts.mapInPandas(_sets, "node long, shingles binary"))
+    tiles = tiles.join(nodes.select("node", "size", "path", "copies"), "node").join(sets, "node")
+    found = stored(_tries(tiles, depth).mapInPandas(_verify(prefix, depth, least, similarity), "a long, b long, links long"))
     links = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = stored(components(found.select("a", "b")))
     n = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     n = stored(n)
-    least = n.groupBy("root").agg(F.min("first").alias("lead"))
-    n = stored(n.join(least, "root").select(
+    least_id = n.groupBy("root").agg(F.min("first").alias("lead"))
+    n = stored(n.join(least_id, "root").select(
         "c1", "c2", F.col("first.id").alias("class_id"), F.col("lead.id").alias("component_id"),
         F.col("lead.rid").alias("leader"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     out = joined_by_size(sketch.select("rid", "id", "c1", "c2", "size"), n, ["c1", "c2"], "left")

@@ -59,10 +59,9 @@ def _corpus():
     return texts
 
 
-@pytest.mark.parametrize("tiles", [(1024, 512), (4, 3)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, tiles):
-    monkeypatch.setattr(J, "SKETCH_TILE", tiles[0])
-    monkeypatch.setattr(J, "SET_TILE", tiles[1])
+@pytest.mark.parametrize("tile", [512, 3])
+def test_jaccard_equals_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(J, "TILE", tile)
     texts = _corpus()
     rows = J.op3_jaccard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     deg, root = _jaccard(texts)
@@ -85,10 +84,58 @@ def test_jaccard_edges(spark):
     assert J.op3_jaccard(df.limit(0)).count() == 0 and J.one_of_each(df.limit(0)).count() == 0
 
 
-def test_depth_reaches_the_recall():
-    d = J.depth_for(0.8)
-    assert 1 - (1 - 0.8 ** d) ** J.TREES >= J.RECALL
-    assert 1 - (1 - 0.8 ** (d + 1)) ** J.TREES < J.RECALL
+def test_prefixes_are_shortened_until_the_recall_holds():
+    rate = lambda s, level: 1 - (1 - s ** level) ** J.TREES
+    for similarity, recall in ((0.8, J.RECALL), (0.8, 0.95), (0.6, 0.9), (0.9, J.RECALL)):
+        level = J.shortest_prefix(similarity, recall)
+        assert rate(similarity, level) >= recall - 0.002 and (level == J.DEPTH or rate(similarity, level + 1) < recall + 0.01)
+    assert J.shortest_prefix(0.2, 0.9999) == 1
+
+
+def test_pairs_meet_at_their_longest_prefix():
+    """Level by level every pair of a run comes once, the longest prefixes first, and of
+    all tries a pair belongs to exactly one."""
+    rng = np.random.default_rng(3)
+    trees, depth, n = 6, 4, 60
+    path = rng.integers(0, 2, (n, trees, depth)).astype(np.uint8)
+    for level in (1, 2, 3):
+        owners = {}
+        for t in range(trees):
+            keys = [bytes(p[t]) for p in path]
+            order = sorted(range(n), key=lambda i: keys[i])
+            run = np.cumsum([k == 0 or keys[order[k]][:level] != keys[order[k - 1]][:level] for k in range(n)])
+            zero, yes = np.zeros(n, int), np.ones(n, bool)
+            got, lengths = [], []
+            for i, j in J.met(path[order].reshape(n, -1), np.full(n, t), run, zero, yes, level, depth, most=37):
+                for a, b in zip(i, j):
+                    a, b = order[a], order[b]
+                    got.append((min(a, b), max(a, b)))
+                    lengths.append(int(np.cumprod(path[a, t] == path[b, t]).sum()))
+            want = {(a, b) for a in range(n) for b in range(a + 1, n) if keys[a][:level] == keys[b][:level]}
+            assert set(got) == want and len(got) == len(want) and lengths == sorted(lengths, reverse=True)
+            same = {p: (path[p[0]] == path[p[1]]).reshape(1, -1) for p in want}
+            for p, s in same.items():
+                if J._common_prefix(s, depth).argmax() == t:
+                    assert p not in owners
+                    owners[p] = t
+        assert set(owners) == {(a, b) for a in range(n) for b in range(a + 1, n) if any(
+            (path[a, t, :level] == path[b, t, :level]).all() for t in range(trees))}
+
+
+def test_a_chain_of_loosely_similar_texts_stays_in_proportion(spark):
+    """5,000 texts, each 0.65 similar to the next: they meet, but a text comes back for
+    its own neighbours only, not for all of the chain."""
+    n, step, size = 5000, 21, 104
+    stream = [f"w{i}" for i in range(n * step + size)]
+    texts = [" ".join(stream[i * step:i * step + size]) for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").withColumn("id", F.col("rid")).repartition(8, "rid")
+    prefix = J.shortest_prefix(J.SIMILARITY)
+    nodes = J.signatures(df, prefix).withColumnRenamed("rid", "node")
+    back = J.meetings(nodes, prefix, J.SIMILARITY)
+    assert n / 10 < back.count() <= 6 * n
+    assert max(r["count"] for r in back.groupBy("bucket", "ta", "tb").count().collect()) < 50
+    out = J.jaccard_join(df.select(F.col("id").alias("doc_id"), "text"))
+    assert out.filter("n_links > 0 OR NOT kept").count() == 0 and out.count() == n
 
 
 def test_components_of_long_chains(spark):
