@@ -1,18 +1,21 @@
 """Operator 8, benchmark decontamination by SimHash windows.
 
 Every window of a document gets a 64-bit SimHash of its words (a running sum per
-bit, so a window costs the same whatever its length), for some window lengths:
-those of the items in classes a third apart. An item is looked up by its first and
-by its last words of its class. The fingerprints are indexed
+bit, so a window costs the same whatever its length), for some window lengths in
+classes a third apart: those of the items and of their parts. An item is looked up by
+its first and last words of its class, by three windows of about 0.8 of it, and, from 45
+words on, by windows of about a third of it, side by side (``prints_of``): an edit
+that leaves four fifths of its shingles leaves one of these nearly as it was. The
+fingerprints are indexed
 in four blocks of 16 bits: two that differ in at most 7 bits agree in some block
 up to one bit, so looking up every block with its one-bit neighbours finds all
 fingerprints within that radius.
 
-Fingerprints alone miss rewritten phrases, and documents shorter than a class have
-none. So each item has anchors besides: its rarest shingles, more than a fifth of
+Besides, each item has anchors: its rarest shingles, more than a fifth of
 them. A window that reaches 0.8 lacks at most a fifth of the item, by number or by
-weight, so it holds an anchor, whatever the lengths; where one is met, all windows
-around it are measured. Found places are verified on the words: Jaccard
+weight, so it holds an anchor, whatever the lengths. They find what rounding of a
+fingerprint loses. Where either is met, all windows of the item's length around it are
+measured: Jaccard
 similarity of five-word shingles between the item and a window of its length,
 plain or weighted, whichever is higher. With weights, a shingle that k different
 item texts of the whole benchmark share weighs 1/k, and a shingle that only the
@@ -85,21 +88,28 @@ class WordHashes:
 
 def simhashes(h: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
     """SimHash (n, 4) of 16-bit blocks, of every window of ``size`` words."""
-    sums = running(h) if sums is None else sums
+    sums = running(h, size) if sums is None else sums
     bits = np.subtract(sums[size:], sums[:-size]) > size // 2
     return np.packbits(bits, axis=1).view(np.uint16)
 
 
-def running(h: np.ndarray) -> np.ndarray:
-    """Sums of each bit over the first i words, for i from 0."""
+def running(h: np.ndarray, size: int) -> np.ndarray:
+    """Sums of each bit over the first i words, for i from 0. They wrap round, which
+    leaves the differences over ``size`` words right."""
+    kind = _kind(size)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    out = np.zeros((len(h) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
+    out = np.zeros((len(h) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
     return out
 
 
+def _kind(size: int) -> type:
+    """The smallest numbers that hold a sum over ``size`` words."""
+    return np.uint8 if size < 1 << 8 else np.uint16 if size < 1 << 16 else np.uint32
+
+
 def classes(lengths: set[int]) -> list[int]:
-    """Window lengths: from the smallest item on, each a third above the last or more."""
+    """Window lengths: from the smallest on, each a third above the last or more."""
     out: list[int] = []
     for n in sorted(lengths):
         if not out or n >= out[-1] * 4 / 3:
@@ -107,6 +117,27 @@ def classes(lengths: set[int]) -> list[int]:
     return out
 
 
+WHOLE, PARTED = 8, 45    # words from which an item is looked up by less than all, by thirds
+
+
+def window_lengths(lengths: set[int]) -> list[int]:
+    """Classes of the lengths of items, of four fifths and of thirds of them."""
+    parts = {math.ceil(0.7 * n) for n in lengths if n >= WHOLE} | {n // 3 for n in lengths if n >= PARTED}
+    return classes(lengths | parts)
+
+
+def prints_of(n: int, sizes: list[int]) -> set[tuple[int, int]]:
+    """The windows ``(size, first word)`` by which an item of ``n`` words is looked up."""
+    below = lambda most: max((s for s in sizes if s <= most), default=None)
+    own = below(n)
+    out = {(own, 0), (own, n - own)}
+    if n >= WHOLE and (s := below(0.8 * n)):
+        out |= {(s, 0), (s, (n - s) // 2), (s, n - s)}
+    if n >= PARTED and (s := below(n // 3)):
+        out |= {(s, min(a, n - s)) for a in range(0, n, s)}
+    return out
+
+
 class Index:
     """Fingerprints of the items of a block, by window length. ``shared`` tells, by
     the hash of a shingle, how many different texts of the whole benchmark hold it
@@ -127,19 +158,16 @@ class Index:
                         self.held[tuple(w[i:i + SHINGLE])] = shared[x]
         self.own = [math.fsum(1 / self.held.get(x, 1) for x in s) for s in self.shingles]
         self._set_anchors()
-        self.by_size: dict[int, tuple] = {}
-        sizes = classes({len(w) for w in items if w})
-        for k, size in enumerate(sizes):
-            top = sizes[k + 1] if k + 1 < len(sizes) else float("inf")
-            of, at, prints = [], [], []
-            for i, w in enumerate(items):
-                if size <= len(w) < top:
-                    p = simhashes(self.hashes.of(w), size)
-                    for a in {0, len(w) - size}:
-                        of.append(i)
-                        at.append(a)
-                        prints.append(p[a])
-            self.by_size[size] = (np.array(of), np.array(at), *self._tables(np.array(prints)))
+        sizes = window_lengths({len(w) for w in items if w})
+        found: dict[int, list] = {size: [] for size in sizes}
+        for i, w in enumerate(items):
+            if w:
+                h = self.hashes.of(w)
+                for size, a in sorted(prints_of(len(w), sizes)):
+                    found[size].append((i, a, simhashes(h[a:a + size], size)[0]))
+        self.by_size: dict[int, tuple] = {
+            size: (*map(np.array, list(zip(*rows))[:2]), *self._tables(np.array([r[2] for r in rows])))
+            for size, rows in found.items() if rows}
 
     def _set_anchors(self):
         self.parts, keys, of = [], [np.zeros(0, np.uint64)], [np.zeros(0, int)]
@@ -230,18 +258,21 @@ class Index:
             lists.append((order // len(near)).astype(np.int32))
         return prints.view(np.uint64), some, starts, lists
 
-    def places(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``(word, item, offset in the item)`` of the windows within the radius,
+    def places(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(word, item, offset in the item, size)`` of the windows within the radius,
         over the words of many documents laid end to end."""
         most = max(self.by_size, default=0)
         for a in range(0, len(h), SLICE):
             part = h[a:a + SLICE + most - 1]
-            sums = running(part)
+            sums: dict[type, np.ndarray] = {}
             for size, (of, at, prints, some, starts, lists) in self.by_size.items():
                 n = min(SLICE, len(part) - size + 1)
                 if n <= 0:
                     continue
-                p = simhashes(part, size, sums[:n + size])
+                kind = _kind(size)
+                if kind not in sums:
+                    sums[kind] = running(part, size)
+                p = simhashes(part, size, sums[kind][:n + size])
                 for b in range(4):
                     value = np.ascontiguousarray(p[:, b])
                     hit = np.flatnonzero(some[b][value])
@@ -257,7 +288,7 @@ class Index:
                     row, which = row[good], which[good]
                     same = doc[a + row] == doc[a + row + size - 1]
                     for r, w in zip(row[same].tolist(), which[same].tolist(), strict=True):
-                        yield a + r, int(of[w]), int(at[w])
+                        yield a + r, int(of[w]), int(at[w]), size
 
     def similarity(self, item: int, window: list[str]) -> float:
         """Jaccard, plain or weighted, whichever is higher. A shingle of k different
@@ -269,8 +300,9 @@ class Index:
         weight = math.fsum(1 / self.held.get(x, 1) for x in both)
         return max(plain, weight / (self.own[item] * (1 + more / len(mine))))
 
-    def search(self, texts: list[str | None]) -> list[list[dict]]:
-        """Per text the items it holds: best place (in words) and similarity."""
+    def search(self, texts: list[str | None], anchors: bool = True) -> list[list[dict]]:
+        """Per text the items it holds: best place (in words) and similarity. Without
+        ``anchors`` by fingerprints alone."""
         lengths, parts = [], []
         for t in texts:
             w = words(t)
@@ -281,14 +313,22 @@ class Index:
         doc = np.repeat(np.arange(len(texts)), lengths)
         begin = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
         wanted: dict[tuple[int, int], set[int]] = {}
-        for at, item, offset in self.places(h, doc):
+        spans: dict[tuple[int, int], tuple[int, int]] = {}   # first and last shingle met
+        for at, item, offset, size in self.places(h, doc):
             d = int(doc[at])
-            wanted.setdefault((d, item), set()).add(max(0, at - int(begin[d]) - offset))
+            if len(self.items[item]) < SHINGLE:
+                wanted.setdefault((d, item), set()).add(max(0, at - int(begin[d]) - offset))
+            else:
+                first, end = spans.get((d, item), (at, at))
+                spans[d, item] = min(first, at), max(end, at + max(0, size - SHINGLE))
+        for d, item, a, b in self.anchored(h, doc) if anchors else ():
+            first, end = spans.get((d, item), (a, b))
+            spans[d, item] = min(first, a), max(end, b)
         last, s = -1, h
-        for d, item, a, b in self.anchored(h, doc):
+        for (d, item), (a, b) in sorted(spans.items()):
             if d != last:
                 last, s = d, shingle_hashes(h[begin[d]:begin[d + 1]])
-            start = self.best_start(item, s, a - int(begin[d]), b - int(begin[d]))
+            start = self.best_start(item, s, a - int(begin[d]), min(b - int(begin[d]), len(s) - 1))
             if start is not None:
                 wanted.setdefault((d, item), set()).add(start)
         last, w = -1, []

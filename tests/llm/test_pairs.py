@@ -265,10 +265,60 @@ def test_all_fingerprints_within_the_radius():
     index = D.Index(items)
     h = index.hashes.of([f"w{i}" for i in rng.integers(0, 60, 3000)] + [w for t in items for w in t])
     got = set(index.places(h, np.zeros(len(h), int)))
-    p = D.simhashes(h, 20).view(np.uint64)
-    own = np.concatenate([D.simhashes(index.hashes.of(t), 20) for t in items]).view(np.uint64)
-    near = np.argwhere(np.bitwise_count(p ^ own.T) <= D.RADIUS)
-    assert {(a, b) for a, b, _ in got} == {(int(a), int(b)) for a, b in near}
+    want = set()
+    assert list(index.by_size) == [14, 20]
+    for size in index.by_size:
+        p = D.simhashes(h, size).view(np.uint64)
+        prints = [(k, a) for k in range(40) for s, a in D.prints_of(20, [14, 20]) if s == size]
+        own = np.concatenate([D.simhashes(index.hashes.of(items[k][a:a + size]), size) for k, a in prints]).view(np.uint64)
+        near = np.argwhere(np.bitwise_count(p ^ own.T) <= D.RADIUS)
+        want |= {(int(at), *prints[k], size) for at, k in near}
+    assert got == want
+
+
+def test_windows_of_an_item():
+    assert D.prints_of(3, [3]) == {(3, 0)} and D.window_lengths({3}) == [3]
+    sizes = D.window_lengths(set(range(15, 60)))
+    assert sizes == [11, 15, 20, 27, 36, 48]
+    assert D.prints_of(15, sizes) == {(15, 0), (11, 0), (11, 2), (11, 4)}
+    assert D.prints_of(59, sizes) == {(48, 0), (48, 11), (36, 0), (36, 11), (36, 23), (15, 0), (15, 15), (15, 30), (15, 44)}
+    for n in range(45, 400):   # thirds leave no word out
+        sizes = D.window_lengths({n})
+        third = [(s, a) for s, a in D.prints_of(n, sizes) if s <= n // 3]
+        assert set().union(*(range(a, a + s) for s, a in third)) == set(range(n))
+
+
+def test_sums_of_long_windows_do_not_overflow():
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 1 << 63, 70_000, np.uint64)
+    h[:] |= np.uint64(1)
+    for size in (200, 300, 40_000, 69_990):
+        got = np.unpackbits(D.simhashes(h, size).view(np.uint8), axis=1)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        for at in (0, len(got) - 1):
+            assert (got[at] == (bits[at:at + size].sum(axis=0, dtype=np.int64) > size // 2)).all()
+
+
+@pytest.mark.parametrize("length", [15, 30, 60, 100, 200, 400])
+def test_fingerprints_alone_find_nine_in_ten(length):
+    """Items with the largest edit that still reaches 0.8, without the anchors."""
+    rng = random.Random(length)
+    words = [f"v{i}" for i in range(20_000)]
+    items = [[rng.choice(words) for _ in range(length)] for _ in range(max(10, 1200 // length))]
+    index = D.Index(items)
+    for kind in ("replaced", "inserted", "removed", "scattered", "cut"):
+        texts, of = [], []
+        for k, w in enumerate(items):
+            pad = [rng.choice(words) for _ in range(30)]
+            for size in range(length // (5 if kind == "cut" else 8), 0, -1):
+                body = (w[:-size] if k % 2 else w[size:]) if kind == "cut" else _edited(rng, w, kind, size)
+                text = pad[:15] + body + pad[15:]
+                if max(index.similarity(k, text[s:s + length]) for s in range(10, 20)) >= D.SIMILARITY:
+                    texts.append(" ".join(text))
+                    of.append(k)
+                    break
+        found = sum(k in {x["item"] for x in got} for k, got in zip(of, index.search(texts, anchors=False)))
+        assert found >= 0.9 * len(of)
 
 
 def test_leaks_in_blocks_and_edges(spark, monkeypatch):
