@@ -124,14 +124,20 @@ def _unit(col: pd.Series) -> np.ndarray:
     return x / np.abs(x).max(axis=1, keepdims=True)  # lengths neither overflow nor vanish
 
 
+def digests(buckets: np.ndarray) -> np.ndarray:
+    """The first 32 bits of bucket ids: by them a pair is told its first shared bucket."""
+    return (buckets.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
 def _assign(h: Hashing):
+    """Per node its buckets, worked out once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = _unit(pdf["vec"])
-                b = h.buckets(x / np.linalg.norm(x, axis=1, keepdims=True), pdf["salt"].to_numpy()).reshape(len(pdf), -1)
-                out = pd.DataFrame({"bucket": b.ravel(), "node": np.repeat(pdf["node"].to_numpy(), b.shape[1])})
-                yield out.drop_duplicates()
+                b = h.buckets(x / np.linalg.norm(x, axis=1, keepdims=True), pdf["salt"].to_numpy())
+                yield pdf.drop(columns="salt").assign(
+                    buckets=[np.unique(r) for r in b.reshape(len(pdf), -1)], own=[d.tobytes() for d in digests(b)])
     return run
 
 
@@ -142,20 +148,19 @@ def _link(h: Hashing, cosine: float):
             x = _unit(pdf["vec"])
             norm = np.linalg.norm(x, axis=1)
             node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-            here, salt = pdf["bucket"].to_numpy(), pdf["salt"].to_numpy()
-            links, trees, own = np.zeros(len(pdf)), Forest(len(pdf)), None
+            here = digests(pdf["bucket"].to_numpy())
+            own = np.frombuffer(b"".join(pdf["own"]), np.uint32).reshape(len(pdf), h.tables, h.probes)
+            links, trees = np.zeros(len(pdf)), Forest(len(pdf))
             for i, j in pairs(runs, pdf["side"].to_numpy(), (pdf["ta"] == pdf["tb"]).to_numpy()):
-                near = (np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= cosine) & (salt[i] == salt[j])
+                near = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= cosine
                 i, j = i[near], j[near]
                 if not len(i):
                     continue
-                if own is None:
-                    own = h.buckets(x / norm[:, None], salt)
                 # a pair counts in the first table they share, there in the least bucket
                 met = (own[i][:, :, :, None] == own[j][:, :, None, :]).any(axis=3)
                 table = met.any(axis=2).argmax(axis=1)
                 rows = np.arange(len(i))
-                least = np.where(met[rows, table], own[i][rows, table], np.iinfo(np.int64).max).min(axis=1)
+                least = np.where(met[rows, table], own[i][rows, table], np.iinfo(np.uint32).max).min(axis=1)
                 first = least == here[i]
                 i, j = i[first], j[first]
                 links += np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
@@ -180,7 +185,9 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     with nulls, and then kept. Each link counts once, whatever buckets share it.
     Only nodes travel, never pairs. An empty table gives an empty result.
     """
-    v = F.col(f"`{vector}`").cast("array<double>")
+    v = F.col(f"`{vector}`")
+    if df.schema[vector].dataType.simpleString() not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
     ok = F.col(f"`{label}`").isNotNull() & (F.size(v) > 0) & ~F.exists(
         v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{vec_id}`").alias("id"),
@@ -198,8 +205,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     for s in shapes:
         h = hashing_for(s["dim"], s["n"], cosine, recall)
         part = nodes.filter(F.size("vec") == s["dim"]).select("node", "salt", "vec", "copies")
-        member = stored(part.mapInPandas(_assign(h), "bucket long, node long"))
-        tiles = dealt(in_tiles(member, TILE).join(part, "node"))
+        vec = part.schema["vec"].dataType.simpleString()
+        part = stored(part.mapInPandas(_assign(h), f"node long, vec {vec}, copies long, buckets array<long>, own binary"))
+        member = part.select("node", F.explode("buckets").alias("bucket"))
+        tiles = dealt(in_tiles(member, TILE).join(part.drop("buckets"), "node"))
         got = tiles.mapInPandas(_link(h, cosine), "a long, b long, links long")
         found = got if found is None else found.union(got)
     spark = df.sparkSession

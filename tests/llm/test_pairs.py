@@ -186,7 +186,8 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [0.0] * 32, 1), (n + 2, [float("nan")] + [1.0] * 31, 1), (n + 3, [None] + [1.0] * 31, 1),
              (n + 4, rows[0][1], None), (n + 5, [1.0, 2.0], 1), (n + 6, [2.0, 4.0], 1), (n + 7, [], 1), (n + 8, [float("inf")] * 32, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    # helper columns clash with no name of the table
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, label int, node string, bucket int, vec int, own int")
     got = {r.vec_id: r for r in V.op6_vectors(df).collect()}
     links, root = _vector_truth(rows)
     deg = np.bincount(np.array(links).ravel(), minlength=len(rows))
