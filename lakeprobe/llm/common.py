@@ -11,9 +11,24 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+_made: list[str] = []    # scratch paths of this driver
+
+
 def scratch(spark) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _made.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cleanup(spark) -> int:
+    """Remove the scratch tables that this driver has written, and return how many.
+    Results read them: call it when what they went into is written. Until then a
+    result can be worked out again after the loss of an executor."""
+    jvm, gone = spark._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 7 and 10 and the pipeline."""
 
+import os
 import zlib
 from collections import defaultdict
 
@@ -219,6 +220,23 @@ def test_pipeline_equals_plain_python(spark):
     assert all(r.text == rows[r.doc_id].text for r in got)
 
 
+def test_scratch_tables_are_removed(spark, tmp_path):
+    from lakeprobe.llm.common import cleanup, stored
+    from lakeprobe.session import ensure_checkpoint_dir
+    cleanup(spark)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(folder) if f.startswith("llm-")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    d = docs
+    for _, stage in C.STAGES:
+        d = stored(stage(spark, d, SF))
+    d.write.parquet(str(tmp_path / "out"))
+    made = {f for f in os.listdir(folder) if f.startswith("llm-")} - before
+    assert len(made) > 5 and cleanup(spark) == len(made)
+    assert {f for f in os.listdir(folder) if f.startswith("llm-")} == before and cleanup(spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_pipeline_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b", "en", None, 3), (2, "a b", "en", "t", 3)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
