@@ -9,15 +9,17 @@ import json
 import os
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lakeprobe.operators import checks as Q  # noqa: E402
 from lakeprobe.operators import distributions as D  # noqa: E402
 from lakeprobe.operators.profile import profile  # noqa: E402
+from lakeprobe.plans.catalog import ProfileCatalog  # noqa: E402
 from lakeprobe.plans.fixtures import TABLES, dataset  # noqa: E402
 from lakeprobe.plans.report import assess, report, union_all  # noqa: E402
-from lakeprobe.session import get_session  # noqa: E402
+from lakeprobe.session import ensure_checkpoint_dir, get_session  # noqa: E402
 
 AS_OF = "2024-01-10"
 
@@ -26,6 +28,15 @@ def collect_all(dfs):
     return sum(len(d.collect()) for d in dfs)
 
 
+def catalog_lake(spark, sf):
+    """All tables into a new catalog, once more without changes, and their profiles."""
+    catalog = ProfileCatalog(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}")
+    paths = {t: f"{sf.rstrip('/')}/{t}.parquet" for t in TABLES}
+    catalog.refresh_all(paths, AS_OF)
+    catalog.refresh_all(paths, AS_OF)
+    return catalog.profile(distinct="sketch").collect()
+
+
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,6 +57,7 @@ def main():
         "report_dirty": lambda: collect_all(report(ds("dirty_fx"), "dirty_fx", as_of=AS_OF).values()),
         "rules_fixtures": lambda: collect_all(
             assess({n: ds(n) for n in ("policy_fx", "dirty_fx", "labelled_fx")}, as_of=AS_OF).values()),
+        "catalog_lake": lambda: catalog_lake(spark, sf),
     }
     # warm-up: JVM, codegen caches, file listing
     profile(ds("region"), "region").collect()
