@@ -22,7 +22,7 @@ import oracles as O
 from lakeprobe.operators import checks as Q
 from lakeprobe.operators import distributions as D
 from lakeprobe.operators import meta as M
-from lakeprobe.operators.footers import coverage_of, footer_counts
+from lakeprobe.operators.footers import coverage_of, footer_counts, footer_counts_of
 from lakeprobe.operators.layouts import layout_votes, read_dates
 from lakeprobe.operators.profile import coverage_summary, profile, samples
 from lakeprobe.operators.rules import (CUSTOMER_EXACT, CUSTOMER_PATTERN, POLICY_EXACT,
@@ -349,7 +349,7 @@ def q_profile_observed(spark, sf):
 
 def q_footer_checks(spark, sf):
     """Missing cells, sparse columns and coverage of every table from its footers."""
-    counts = coverage_of(union_all([footer_counts(spark, f"{sf.rstrip('/')}/{n}.parquet", n) for n in O.TABLES]))
+    counts = coverage_of(footer_counts_of(spark, {n: f"{sf.rstrip('/')}/{n}.parquet" for n in O.TABLES}))
     return r4(union_all([Q.check_missing(counts), Q.check_sparse(counts), Q.check_coverage(counts)]))
 
 

@@ -8,6 +8,8 @@ footers of the files. What footers do not know exactly is read: NaN in float col
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -80,6 +82,13 @@ def footer_counts(spark: SparkSession, path: str, dataset: str = "data") -> Data
     return spark.createDataFrame(rows, SCHEMA).coalesce(1)
 
 
+def footer_counts_of(spark: SparkSession, paths: dict[str, str], at_once: int = 4) -> DataFrame:
+    """``footer_counts`` of many datasets, ``at_once`` of them at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        each = list(pool.map(lambda item: footer_counts(spark, item[1], item[0]), paths.items()))
+    return reduce(lambda a, b: a.unionByName(b), each) if each else spark.createDataFrame([], SCHEMA)
+
+
 def coverage_of(counts: DataFrame) -> DataFrame:
     """``footer_counts`` with the raw and rounded coverage that the checks of missing
     cells (Q1), sparse columns (Q5) and mean coverage (Q12) and the summary (C6) read."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeprobe.operators.checks import dup_column_pairs
-from lakeprobe.operators.footers import coverage_of, footer_counts, pushed
+from lakeprobe.operators.footers import coverage_of, footer_counts, footer_counts_of, pushed
 from lakeprobe.operators.profile import profile
 from lakeprobe.plans.ingest import write_profiled
 from lakeprobe.sources.readers import infer_types, table
@@ -52,6 +52,13 @@ def test_footer_counts_of_empty_and_partitioned_tables(spark, tmp_path):
     assert got == {"a k": 2, "f": 1, "n": 2, "d": 2, "b": 2, "s": 2}
 
 
+def test_footers_of_many_datasets(spark):
+    paths = {n: f"{SF}/{n}.parquet" for n in ("nation", "orders", "embeddings")}
+    many = sorted(footer_counts_of(spark, paths).collect())
+    assert many == sorted(r for n, p in paths.items() for r in footer_counts(spark, p, n).collect())
+    assert footer_counts_of(spark, {}).collect() == []
+
+
 def test_files_without_statistics_are_scanned(spark, tmp_path):
     path = str(tmp_path / "t")
     _mixed(spark).write.option("parquet.column.statistics.enabled", "false").option("parquet.statistics.enabled", "false").parquet(path)
