@@ -28,6 +28,8 @@ COSINE = 0.93
 RECALL = 0.995
 PROBES = 4
 MAX_TABLES = 256       # more are not tried; fewer hashes a table are
+MAX_HASHES = 6         # of a table; probes are chosen among all 2 ** that
+CROWD = 0.1            # unrelated vectors of one label that share a bucket, about
 TILE = 1024
 
 
@@ -90,12 +92,12 @@ class Hashing:
         return out
 
 
-def hashing_for(dim: int, vectors: int, cosine: float = COSINE, recall: float = RECALL) -> Hashing:
-    """``k`` keeps buckets of unrelated vectors small (2 hashes up to a million
-    vectors of one label, then more); ``tables`` is measured on 3,000 pairs. Where
+def hashing_for(dim: int, vectors: int, cosine: float = COSINE, recall: float = RECALL, crowd: float = 100) -> Hashing:
+    """``k``, at least 2, is such that about ``crowd`` unrelated vectors of one label
+    share a bucket; ``tables`` is measured on 3,000 pairs. Where
     ``MAX_TABLES`` miss the recall, ``k`` is lowered, which makes buckets larger;
     raises ``ValueError`` when they miss it with 2 hashes as well."""
-    k = max(2, math.ceil(math.log(max(vectors, 2) / 100) / math.log(2 * max(dim, 2))))
+    k = min(MAX_HASHES, max(2, math.ceil(math.log(max(vectors, 2) / crowd) / math.log(2 * max(dim, 2)))))
     rng = np.random.default_rng(5)
     a = rng.normal(size=(3000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -112,7 +114,7 @@ def hashing_for(dim: int, vectors: int, cosine: float = COSINE, recall: float =
         met = (p[:, :, :, None] == q[:, :, None, :]).any(axis=(1, 2, 3)).mean()
         if met >= recall:
             return h
-        tables += 4
+        tables += 2 if tables < 16 else 4
         if tables > MAX_TABLES:
             if k == 2:
                 raise ValueError(f"recall {met:.4f} instead of {recall} with {MAX_TABLES} tables")
@@ -203,7 +205,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         F.max("n").alias("n")).collect()  # a row per length of vectors
     found = None
     for s in shapes:
-        h = hashing_for(s["dim"], s["n"], cosine, recall)
+        h = hashing_for(s["dim"], s["n"], cosine, recall, CROWD)
         part = nodes.filter(F.size("vec") == s["dim"]).select("node", "salt", "vec", "copies")
         vec = part.schema["vec"].dataType.simpleString()
         part = stored(part.mapInPandas(_assign(h), f"node long, vec {vec}, copies long, buckets array<long>, own binary"))
