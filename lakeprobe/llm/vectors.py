@@ -29,7 +29,8 @@ RECALL = 0.995
 PROBES = 4
 MAX_TABLES = 256       # more are not tried; fewer hashes a table are
 MAX_HASHES = 6         # of a table; probes are chosen among all 2 ** that
-CROWD = 0.1            # unrelated vectors of one label that share a bucket, about
+CROWD = 0.1            # unrelated vectors of one label that share a bucket, about;
+WIDE = 32              # from so many dimensions on: narrower ones have too few axes
 TILE = 1024
 
 
@@ -205,7 +206,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         F.max("n").alias("n")).collect()  # a row per length of vectors
     found = None
     for s in shapes:
-        h = hashing_for(s["dim"], s["n"], cosine, recall, CROWD)
+        h = hashing_for(s["dim"], s["n"], cosine, recall, *([CROWD] if s["dim"] >= WIDE else []))
         part = nodes.filter(F.size("vec") == s["dim"]).select("node", "salt", "vec", "copies")
         vec = part.schema["vec"].dataType.simpleString()
         part = stored(part.mapInPandas(_assign(h), f"node long, vec {vec}, copies long, buckets array<long>, own binary"))
