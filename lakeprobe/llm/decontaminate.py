@@ -21,8 +21,9 @@ plain or weighted, whichever is higher. With weights, a shingle that k different
 item texts of the whole benchmark share weighs 1/k, and a shingle that only the
 window holds weighs as much as the item's own do on average.
 
-The benchmark is the fixed side: it is read in blocks of ``ITEMS`` items, each of
-which goes to all tasks; documents are never moved.
+The benchmark is the fixed side: it is read in blocks of bounded size, each of which is
+broadcast. One block is searched where the documents lie, in one projection; of more
+blocks each has a pass of its own, and only what it finds is written and joined.
 """
 
 from __future__ import annotations
@@ -31,19 +32,24 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import fresh, small, stored
 
 SIMILARITY = 0.8
 SHINGLE = 5
 RADIUS = 7             # bits, of 64
-ITEMS = 20_000         # items per pass over the documents
+ITEMS = 20_000         # items per pass over the documents, at most,
+ITEM_CHARS = 16 << 20  # and letters of their texts, unless one item alone has more
+FOUND = 200_000        # items found that are joined by broadcast; more by a shuffle
+SALTS = 16
 SLICE = 8_192          # words whose windows are hashed at once
 CACHE = 500_000        # words; the cache is emptied when it is full
 PART = 1 << 18         # words whose shingles are looked up at once
@@ -362,10 +368,11 @@ def with_shared(items: DataFrame) -> DataFrame:
     return items.join(found.groupBy("uid").agg(F.collect_list(F.struct("hash", "texts")).alias("shared")), "uid", "left")
 
 
-def _search(text: Column, items: list[list[str]], shared: dict[int, int]) -> Column:
+def _found(block: Broadcast, text: Column) -> Column:
+    """The items of ``block`` that ``text`` holds, by their place in the block."""
     @F.pandas_udf(RESULT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items, shared)
+        index = Index(block.value["words"], block.value["shared"])
         for s in batches:
             out: list = []
             for a in range(0, len(s), 500):
@@ -374,6 +381,59 @@ def _search(text: Column, items: list[list[str]], shared: dict[int, int]) -> Col
     return found(text)
 
 
+def _blocks(items: DataFrame) -> Iterator[tuple[Broadcast, list]]:
+    """The stored ``(uid, id, text, shared)`` in blocks of bounded size: their words, sent
+    to the executors once, and ``(uid, id)`` of each item. The driver holds one at a time."""
+    sc = items.sparkSession.sparkContext
+    block, size, shared = [], 0, {}
+
+    def sent():
+        return sc.broadcast({"words": [words(t) for _, _, t in block], "shared": shared}), [(u, i) for u, i, _ in block]
+
+    for r in items.toLocalIterator():
+        more = len(r["text"] or "")
+        if block and (len(block) == ITEMS or size + more > ITEM_CHARS):
+            yield sent()
+            block, size, shared = [], 0, {}
+        block.append((r["uid"], r["id"], r["text"]))
+        size += more
+        shared |= {x["hash"] % (1 << 64): x["texts"] for x in r["shared"] or ()}
+    if block:
+        yield sent()
+
+
+def _by_text(df: DataFrame, text: str, items: DataFrame, blocks: Iterator[tuple[Broadcast, list]], kind: str, out: str) -> DataFrame:
+    """``df`` with ``out`` for a benchmark of many blocks: one pass over the texts for each,
+    of which only what is found is written, by two 64-bit hashes of the text; the
+    rows then look their text up. A task holds one block, however many there are."""
+    c1, c2, salt = fresh(df.withColumn(out, F.lit(0)), "c1_", "c2_", "salt_")
+    held, t = None, F.col(f"`{text}`")
+    keyed = df.withColumns({c1: F.xxhash64(t), c2: F.xxhash64(F.lit(9), t)})
+    for block, names in blocks:
+        uids = df.sparkSession.sparkContext.broadcast([u for u, _ in names])
+        got = keyed.filter(t.isNotNull()).select(c1, c2, F.explode(_found(block, t)).alias("x"))
+        got = stored(got.select(c1, c2, _uid(uids, F.col("x.item")).alias("uid"), "x.start", "x.similarity").distinct())
+        held = got if held is None else held.union(got)
+        for b in (block, uids):
+            b.destroy()  # what it found is written
+    named = held.join(small(items.select("uid", "id")), "uid")
+    per_text = stored(named.groupBy(c1, c2).agg(F.collect_list(F.struct(
+        F.col("id").cast(kind).alias("item_id"), "start", "similarity")).alias(out)))
+    if held.count() <= FOUND:
+        found = keyed.join(F.broadcast(per_text), [c1, c2], "left")
+    else:  # a text may be that of many rows: they are dealt over copies of what it holds
+        dealt = per_text.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = keyed.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(dealt, [c1, c2, salt], "left")
+    return found.select(*[f"`{c}`" for c in df.columns], F.coalesce(F.col(out), F.array().cast(f"array<struct<item_id:{kind},start:int,similarity:double>>")).alias(out))
+
+
+def _uid(uids: Broadcast, item: Column) -> Column:
+    @F.pandas_udf("long")
+    def uid(at: pd.Series) -> pd.Series:
+        return pd.Series(np.array(uids.value, "i8")[at.to_numpy()])
+    return uid(item)
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                item_text: str = "text", out: str = "leaks") -> DataFrame:
     """Add ``out``: the benchmark items each text holds, an array of ``(item_id,
@@ -381,32 +441,29 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
     Null and empty texts hold nothing and items without words are found nowhere;
     items with the same id or text are all reported; an item with a null id is
-    reported with a null. Rows and other columns stay; the documents are not
-    shuffled. Texts are read whole.
+    reported with a null. Rows and other columns stay. Texts are read whole. A benchmark
+    of one block (``ITEMS`` and ``ITEM_CHARS``) is searched in one projection; a larger one
+    in a pass over ``df`` for each block, at once, so store an expensive ``df`` before.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {out} exists")
-    ids = benchmark.schema[item_id].dataType.simpleString()
-    cur, block = df.withColumn(out, F.array().cast(f"array<struct<item_id:{ids},start:int,similarity:double>>")), []
-    shared: dict[int, int] = {}
-
-    def search(cur, block, shared):
-        got = _search(F.col(f"`{text}`"), [words(t) for _, t in block], shared)
-        names = F.lit([i for i, _ in block]) if all(i is not None for i, _ in block) else F.array(*[F.lit(i) for i, _ in block])
-        named = F.transform(got, lambda x: F.struct(
-            F.get(names, x["item"]).cast(ids).alias("item_id"), x["start"].alias("start"), x["similarity"].alias("similarity")))
-        return cur.withColumn(out, F.concat(F.col(out), named))
-
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    none = F.array().cast(f"array<struct<item_id:{kind},start:int,similarity:double>>")
     items = stored(benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{item_id}`").alias("id"),
                                     F.col(f"`{item_text}`").alias("text")))
-    for r in stored(with_shared(items)).toLocalIterator():
-        block.append((r["id"], r["text"]))
-        shared |= {x["hash"] % (1 << 64): x["texts"] for x in r["shared"] or ()}
-        if len(block) == ITEMS:
-            cur, block, shared = search(cur, block, shared), [], {}
-    if block:
-        cur = search(cur, block, shared)
-    return cur.withColumn(out, F.array_sort(out))
+    items = stored(with_shared(items))
+    blocks = _blocks(items)
+    head = list(islice(blocks, 2))
+    if not head:
+        return df.withColumn(out, none)
+    if len(head) > 1:
+        return _by_text(df, text, items, chain(head, blocks), kind, out).withColumn(out, F.array_sort(out))
+    (block, names), = head
+    ids = [i for _, i in names]
+    ids = F.lit(ids) if all(i is not None for i in ids) else F.array(*[F.lit(i) for i in ids])
+    found = F.transform(_found(block, F.col(f"`{text}`")), lambda x: F.struct(
+        F.get(ids, x["item"]).cast(kind).alias("item_id"), x["start"].alias("start"), x["similarity"].alias("similarity")))
+    return df.withColumn(out, F.array_sort(found))
 
 
 def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

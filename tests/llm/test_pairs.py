@@ -335,6 +335,29 @@ def test_leaks_in_blocks_and_edges(spark, monkeypatch):
         D.find_leaks(df, bench, out="ITEM_ID")
 
 
+def test_leaks_of_many_blocks_equal_those_of_one(spark, monkeypatch):
+    """Repeated and null texts, clashing columns, blocks by items and by letters, both joins."""
+    items = [(i % 7, " ".join(VOCAB[12 * i:12 * i + 12])) for i in range(9)] + [(None, "")]
+    texts = [" ".join(VOCAB[:60])] * 40 + [None, "", " ".join(VOCAB[30:108]), "clean"]
+    df = spark.createDataFrame([(i, t, -i) for i, t in enumerate(texts)], "doc_id long, text string, c1_ long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+
+    def leaks():
+        got = D.find_leaks(df, bench)
+        assert got.columns == [*df.columns, "leaks"] and got.schema["leaks"].dataType.simpleString() == "array<struct<item_id:int,start:int,similarity:double>>"
+        rows = got.collect()
+        assert all(r.c1_ == -r.doc_id and r.text == texts[r.doc_id] for r in rows)
+        return sorted((r.doc_id, [tuple(x) for x in r.leaks]) for r in rows)
+
+    one = leaks()
+    assert len(one) == 44 and [len(x) for _, x in one[:40]] == [5] * 40 and [len(x) for _, x in one[40:]] == [0, 0, 6, 0]
+    monkeypatch.setattr(D, "ITEM_CHARS", 200)
+    assert leaks() == one
+    monkeypatch.setattr(D, "ITEMS", 2)
+    monkeypatch.setattr(D, "FOUND", 0)
+    assert leaks() == one
+
+
 def test_shared_shingles_lose_no_near_copy(spark, monkeypatch):
     rng = random.Random(4)
     some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
