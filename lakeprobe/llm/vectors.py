@@ -32,17 +32,22 @@ MAX_HASHES = 6         # of a table; probes are chosen among all 2 ** that
 CROWD = 0.1            # unrelated vectors of one label that share a bucket, about;
 WIDE = 32              # from so many dimensions on: narrower ones have too few axes
 TILE = 1024
+ROWS = 1024            # vectors rotated at once, so that they stay in the processor's cache
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Normalised fast Walsh-Hadamard transform of the rows (width a power of 2)."""
-    n, d = x.shape
+    """Normalised fast Walsh-Hadamard transform of the columns (height a power of 2).
+    With a vector a column, each sum runs over whole rows of memory."""
+    d, n = x.shape
+    x, other = x.copy(), np.empty_like(x)
     h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
+        a, b = x.reshape(d // (2 * h), 2, h, n), other.reshape(d // (2 * h), 2, h, n)
+        np.add(a[:, 0], a[:, 1], out=b[:, 0])
+        np.subtract(a[:, 0], a[:, 1], out=b[:, 1])
+        x, other = other, x
         h *= 2
-    return x / math.sqrt(d)
+    return x / np.float32(math.sqrt(d))
 
 
 @dataclass(frozen=True)
@@ -56,30 +61,39 @@ class Hashing:
     def buckets(self, x: np.ndarray, salt: np.ndarray) -> np.ndarray:
         """Bucket ids (n, tables, probes) of unit vectors; ``salt`` keeps labels apart."""
         width = 1 << max(1, (self.dim - 1).bit_length())
-        padded = np.zeros((len(x), width), "f4")
-        padded[:, :self.dim] = x
         rng = np.random.default_rng(self.seed)
+        signs = [[[rng.choice(np.array([-1, 1], "f4"), (width, 1)) for _ in range(3)] for _ in range(self.k)] for _ in range(self.tables)]
+        out = np.empty((len(x), self.tables, self.probes), np.int64)
+        for a in range(0, len(x), ROWS):
+            padded = np.zeros((width, len(x[a:a + ROWS])), "f4")
+            padded[:self.dim] = x[a:a + ROWS].T
+            out[a:a + ROWS] = self._buckets(padded, salt[a:a + ROWS], signs)
+        return out
+
+    def _buckets(self, padded: np.ndarray, salt: np.ndarray, signs: list) -> np.ndarray:
+        width, n = padded.shape
+        rows = np.arange(n)
         # the cheapest choices of first (0) or second (1) axis in each of the k hashes
         choices = [tuple(int(b) for b in f"{c:0{self.k}b}") for c in range(1 << self.k)]
-        out = np.empty((len(x), self.tables, self.probes), np.int64)
+        out = np.empty((n, self.tables, self.probes), np.int64)
         with np.errstate(over="ignore"):
             for t in range(self.tables):
                 axis, loss = [], []
-                for _ in range(self.k):
+                for rounds in signs[t]:
                     y = padded
-                    for _ in range(3):
-                        y = hadamard(y * rng.choice(np.array([-1, 1], "f4"), width))
+                    for sign in rounds:
+                        y = hadamard(y * sign)
+                    y = np.ascontiguousarray(y.T)
                     size = np.abs(y)
                     first = size.argmax(axis=1)
-                    rows = np.arange(len(x))
                     top = size[rows, first]
                     size[rows, first] = -1
                     second = size.argmax(axis=1)
                     axis.append([2 * a + (y[rows, a] > 0) for a in (first, second)])
                     loss.append((top - size[rows, second]) ** 2)
-                cost = np.stack([sum((loss[i] for i in range(self.k) if c[i]), np.zeros(len(x))) for c in choices])
+                cost = np.stack([sum((loss[i] for i in range(self.k) if c[i]), np.zeros(n)) for c in choices])
                 order = np.argsort(cost, axis=0, kind="stable")[: self.probes]
-                codes = np.zeros((len(choices), len(x)), np.uint64)
+                codes = np.zeros((len(choices), n), np.uint64)
                 for c, choice in enumerate(choices):
                     for i in range(self.k):
                         codes[c] = codes[c] * np.uint64(2 * width + 1) + axis[i][choice[i]].astype(np.uint64)
@@ -89,7 +103,7 @@ class Hashing:
                     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     codes[c] = z ^ (z >> np.uint64(31))
                 for p in range(self.probes):
-                    out[:, t, p] = codes[order[p], np.arange(len(x))].view(np.int64)
+                    out[:, t, p] = codes[order[p], rows].view(np.int64)
         return out
 
 
