@@ -32,7 +32,7 @@ from lakeprobe.plans.catalog import ProfileCatalog
 from lakeprobe.plans.fixtures import dataset
 from lakeprobe.operators.scoring import features, targets
 from lakeprobe.plans.ingest import write_profiled
-from lakeprobe.plans.report import assess, report, union_all
+from lakeprobe.plans.report import assess, materialise, report, union_all
 from lakeprobe.session import ensure_checkpoint_dir
 from lakeprobe.sources.readers import read_csv, read_parquet, table
 from lakeprobe.sources.sinks import write_document, write_report
@@ -191,14 +191,14 @@ def _measured(cat, picked, name, metric):
 
 
 def q_rule_find_column(spark, sf):
-    cat = _catalog(spark, sf, ALL)
+    cat = materialise(_catalog(spark, sf, ALL))
     pol = _measured(cat, find_column(cat, POLICY_PATTERN, POLICY_EXACT), "policy_column", "non_null")
     cus = _measured(cat, find_column(cat, CUSTOMER_PATTERN, CUSTOMER_EXACT), "customer_column", "non_null")
     return cat.select("dataset").distinct().join(pol, "dataset", "left").join(cus, "dataset", "left")
 
 
 def q_rule_claims_columns(spark, sf):
-    cat = _catalog(spark, sf, ALL)
+    cat = materialise(_catalog(spark, sf, ALL))
     out = claims_columns(cat)
     for name in ("amount_col", "flag_col", "count_col"):
         m = cat.select("dataset", F.col("column").alias(name), F.col("non_null").alias(f"{name.split('_')[0]}_non_null"))
@@ -208,7 +208,7 @@ def q_rule_claims_columns(spark, sf):
 
 def q_rule_targets(spark, sf):
     """Targets, with the rows in which all their source columns can have values."""
-    cat = _catalog(spark, sf, FX)
+    cat = materialise(_catalog(spark, sf, FX))
     each = targets(cat).withColumn("column", F.explode(F.split("source_columns", ",")))
     least = each.join(cat.select("dataset", "column", "non_null"), ["dataset", "column"], "left").groupBy(
         "dataset", "target_rank").agg(F.min("non_null").alias("usable_rows"))

@@ -127,25 +127,42 @@ class Sketches:
     quantile_k: int = 1024
 
 
+# Spark generates code for an aggregate of at most 100 fields (``spark.sql.codegen.maxFields``),
+# and the JVM compiles a method of at most 8,000 bytes; this many aggregates keep to both.
+MOST_AGGREGATES = 90
+
+
+def _aggregates(ci: ColumnInfo) -> int:
+    """Aggregates that ``column_metrics`` takes of a column."""
+    if ci.kind == "string":
+        return 5 + 3 * len(LAYOUTS)
+    if ci.kind == "nested":
+        return 1
+    dates = 3 if _as_date(ci, F.col(ci.ref))[0] is not None else 0
+    return 3 + (ci.kind == "numeric") + dates
+
+
 def partials(df: DataFrame, as_of=None, by: Column | None = None, sketches: Sketches | None = None,
              batch: int = 200) -> DataFrame:
     """One row per column of what merges over parts of a table, or, with ``by`` (a
     column of ``df``, such as the file's path), one per column and its value ``part``.
 
-    ``batch`` columns go into one aggregate (a text column counts as five); a wider
-    table is scanned once per batch, so generated code stays small.
+    ``batch`` columns go into one aggregate (a text column counts as five), and without
+    sketches at most ``MOST_AGGREGATES``; a wider table is scanned once per batch, for
+    its columns alone, so generated code stays small enough to be compiled.
     """
     cols, clock = columns_of(df), as_of_lit(as_of)
     part = [] if by is None else [by.alias("part")]
     named = df.select(*part, *[F.col("`" + f.name.replace("`", "``") + "`").alias(ci.ref)
                                for f, ci in zip(df.schema.fields, cols)]) if part else by_position(df)
-    batches, size = [[]], 0
+    batches, size, taken = [[]], 0, 0
     for ci in cols:
-        size += 5 if ci.kind == "string" else 1
-        if size > batch and batches[-1]:
+        wide, takes = 5 if ci.kind == "string" else 1, 0 if sketches else _aggregates(ci)
+        if batches[-1] and (size + wide > batch or taken + takes > MOST_AGGREGATES):
             batches.append([])
-            size = 5 if ci.kind == "string" else 1
+            size = taken = 0
         batches[-1].append(ci)
+        size, taken = size + wide, taken + takes
     out = None
     for some in batches:
         # each text is read by all layouts once, before the aggregates use it
