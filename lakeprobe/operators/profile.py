@@ -166,8 +166,10 @@ def partials(df: DataFrame, as_of=None, by: Column | None = None, sketches: Sket
     out = None
     for some in batches:
         # each text is read by all layouts once, before the aggregates use it
-        dates = [parse_layouts(F.col(ci.ref)).alias(f"d{ci.ordinal}") for ci in some if ci.kind == "string"]
-        p = named.select(*(["part"] if part else []), *[ci.ref for ci in some], *dates)
+        text = [ci for ci in some if ci.kind == "string"]
+        columns = [*(["part"] if part else []), *[ci.ref for ci in some]]
+        p = named.select(*columns, *[F.trim(F.col(ci.ref).cast("string")).alias(f"s{ci.ordinal}") for ci in text])
+        p = p.select(*columns, *[parse_layouts(F.col(f"s{ci.ordinal}"), trimmed=True).alias(f"d{ci.ordinal}") for ci in text])
         structs = [column_metrics(ci, clock, sketches) for ci in some]
         keys = ["part"] if part else []
         got = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("m")).select(*keys, "rows", F.inline("m"))
