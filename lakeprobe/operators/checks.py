@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.nulls import clean
 from .distributions import numeric_long, quantiles
 from .schema import by_position, columns_of
 
@@ -255,8 +256,8 @@ def dup_column_pairs(df: DataFrame, batch: int = 200) -> list[tuple[str, str]]:
     """Q3 pairs (later column, first column with equal content).
 
     Columns are compared by their text form with null = null, over all rows. Pass 1
-    takes, per column, its non-null count and a 64-bit sum of its values' hashes, which
-    is blind to order, ``batch`` columns in one aggregate and pruned to them. Of the
+    takes, per column, its non-null count and sums of its values' hashes, which are blind
+    to order, ``batch`` columns in one aggregate and pruned to them. Of the
     columns that agree in both, pass 2 takes two sums of ``hash(text, row
     fingerprint)``, the fingerprint being that of those columns. Only columns that agree
     again are compared value by value in pass 3. The driver reads one small row per
@@ -281,7 +282,7 @@ def dup_column_pairs(df: DataFrame, batch: int = 200) -> list[tuple[str, str]]:
 
     def blind(some: list) -> DataFrame:
         return p.select(*[_text(c).alias(c.ref) for c in some]).agg(*[
-            F.struct(F.count(c.ref), F.sum(F.xxhash64(c.ref).cast("decimal(38,0)"))).cast("string").alias(f"k{c.ordinal}") for c in some])
+            F.struct(F.count(c.ref), *_hash_sums(F.xxhash64(c.ref))).cast("string").alias(f"k{c.ordinal}") for c in some])
 
     groups = alike([cols], blind)
     if not groups:
@@ -292,8 +293,8 @@ def dup_column_pairs(df: DataFrame, batch: int = 200) -> list[tuple[str, str]]:
     rows = base.select("*", F.xxhash64(F.lit("r1"), *marks).alias("_r1"), F.xxhash64(F.lit("r2"), *marks).alias("_r2"))
 
     def aware(some: list) -> DataFrame:
-        return rows.agg(*[F.struct(*[F.sum(F.xxhash64(F.col(c.ref).isNull(), F.col(c.ref), F.col(r)).cast("decimal(38,0)"))
-                                     for r in ("_r1", "_r2")]).cast("string").alias(f"k{c.ordinal}") for c in some])
+        return rows.agg(*[F.struct(*[x for r in ("_r1", "_r2") for x in _hash_sums(
+            F.xxhash64(F.col(c.ref).isNull(), F.col(c.ref), F.col(r)))]).cast("string").alias(f"k{c.ordinal}") for c in some])
 
     groups = alike(groups, aware)
     cands = [(c, g[0]) for g in groups for c in g[1:]]
@@ -315,6 +316,12 @@ def check_dup_cols(df: DataFrame, dataset: str = "data", pairs: list[tuple[str,
                    F.col("f"), F.col("f"), F.col("d"))
 
 
+def _hash_sums(h: Column) -> list[Column]:
+    """Sums of a hash's three parts of 22 bits: as telling as the sum of the whole, in
+    plain longs that hold 2^41 rows."""
+    return [F.sum(F.shiftright(h, 44)), *[F.sum(F.shiftright(h, k).bitwiseAND(F.lit((1 << 22) - 1))) for k in (22, 0)]]
+
+
 OUTLIER_SCHEMA = "dataset string, column string, q1 double, q3 double, lo double, hi double, outliers bigint"
 
 
@@ -335,14 +342,28 @@ def outlier_counts(df: DataFrame, dataset: str = "data", method: str = "exact",
     iqr = F.col("q3") - F.col("q1")
     b = b.where(iqr != 0).select("column", "q1", "q3", (F.col("q1") - IQR_FACTOR * iqr).alias("lo"),
                                  (F.col("q3") + IQR_FACTOR * iqr).alias("hi"))
-    # Fences: one row per numeric column, joined by broadcast.
-    out = long.join(F.broadcast(b), "column").groupBy("column").agg(
-        F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outliers"))
+    out = _outside(df, num, b)
     return b.join(out, "column", "left").select(
         F.lit(dataset).alias("dataset"), "column", "q1", "q3", "lo", "hi",
         F.coalesce("outliers", F.lit(0)).cast("bigint").alias("outliers"))
 
 
+def _outside(df: DataFrame, num: list[str], fences: DataFrame, batch: int = 25) -> DataFrame:
+    """``column, outliers``: the values of the columns ``num`` outside their fences, one
+    aggregate for ``batch`` columns (few enough for generated code), pruned to them. The
+    fences of a batch are one row, joined by broadcast."""
+    cols, out = [c for c in columns_of(df) if c.name in num], None
+    for start in range(0, len(cols), batch):
+        some = cols[start:start + batch]
+        edges = fences.agg(*[F.max(F.when(F.col("column") == c.name, F.col(e))).alias(f"{e}{c.ordinal}") for c in some for e in ("lo", "hi")])
+        values = by_position(df).select(*[clean(F.col(c.ref), c.dtype).cast("double").alias(c.ref) for c in some])
+        counts = values.crossJoin(F.broadcast(edges)).agg(*[
+            F.count_if((F.col(c.ref) < F.col(f"lo{c.ordinal}")) | (F.col(c.ref) > F.col(f"hi{c.ordinal}"))).alias(c.ref) for c in some])
+        got = counts.select(F.inline(F.array(*[F.struct(F.lit(c.name).alias("column"), F.col(c.ref).alias("outliers")) for c in some])))
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("column").agg(F.sum("outliers").alias("outliers"))
+
+
 def check_outliers(df: DataFrame, dataset: str = "data", method: str = "exact",
                    counts: DataFrame | None = None) -> DataFrame:
     """Q7: columns with outliers; none pass, <5 warn, else fail. ``counts`` is the

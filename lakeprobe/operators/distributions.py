@@ -47,6 +47,21 @@ def sketch_brackets(sketches: DataFrame, keys: list[str], probs: list[float], k:
     return sketches.withColumn("n", F.kll_sketch_get_n_double("sketch")).select(*keys, "n", edge(-1).alias("lo"), edge(1).alias("hi"))
 
 
+def mark_counts(rows: DataFrame, keys: list[str], marks: dict[int, Column]) -> DataFrame:
+    """``keys + [i, b, cnt]``: how many rows have the value ``b`` (not null) of mark ``i``.
+
+    Rows are counted by all marks together, and only these combinations are then set
+    apart, so no row is copied per mark. Steps of brackets along a line only move at
+    their edges: there are no more combinations of them than steps and edges.
+    """
+    names = {i: f"_m{i + 1}" for i in marks}
+    together = rows.select(*keys, *[m.alias(names[i]) for i, m in marks.items()]).groupBy(*keys, *names.values()).agg(
+        F.count(F.lit(1)).alias("_n"))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(name).alias("b")) for i, name in names.items()])
+    return together.select(*keys, "_n", F.explode(each).alias("x")).where("x.b IS NOT NULL").groupBy(
+        *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.sum("_n").alias("cnt"))
+
+
 def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str = "exact",
               accuracy: int = 10_000, few_groups: bool = False, sketches: DataFrame | None = None,
               sketch_k: int = 1024) -> DataFrame:
@@ -102,17 +117,15 @@ def quantiles(long: DataFrame, keys: list[str], probs: list[float], method: str
     def step(i: int) -> Column:
         lo, hi = edge("lo", i), edge("hi", i)
         part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * SUB_BUCKETS), F.lit(SUB_BUCKETS - 1))).otherwise(0)
-        return F.struct(F.lit(i).alias("i"), F.when((v >= lo) & (v <= hi), part).cast("int").alias("b"))
+        return F.when((v >= lo) & (v <= hi), part).cast("int")
 
     # every value once, with the number of brackets that start above it, and once
     # more in each bracket that holds it
     each = F.sequence(F.lit(0), F.lit(q - 1))
-    inside = [step(i) for i in range(q)]
+    inside = [F.struct(F.lit(i).alias("i"), step(i).alias("b")) for i in range(q)]
     starts_above = reduce(add, [(edge("lo", i) > v).cast("int") for i in range(q)])
-    above = F.struct(F.lit(-1).alias("i"), starts_above.alias("b"))
     placed = long.join(hint(brackets), list(keys))
-    counts = placed.select(*keys, F.explode(F.array(above, *inside)).alias("x")).where("x.b IS NOT NULL").groupBy(
-        *keys, F.col("x.i").alias("i"), F.col("x.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+    counts = mark_counts(placed, keys, {-1: starts_above} | {i: step(i) for i in range(q)}).checkpoint()
     below = counts.where("i = -1").groupBy(*keys).agg(F.array(*[
         F.coalesce(F.sum(F.when(F.col("b") >= q - i, F.col("cnt"))), F.lit(0)) for i in range(q)]).alias("below"),
         F.sum("cnt").alias("seen"))

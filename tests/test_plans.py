@@ -106,3 +106,36 @@ def test_rules_over_the_catalog_scan_no_table_again(spark):
     import __spark_entry__ as entry
     for name in ("rule_targets", "rule_claims_columns", "rule_find_column"):
         assert "FileScan parquet" not in _plan(entry.queries()[name](spark, SF_SMALL)), name
+
+
+def test_bracket_steps_are_counted_before_they_are_set_apart(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(1000).selectExpr("'a' AS column", "id % 3 AS m", "CASE WHEN id < 10 THEN id % 2 END AS b")
+    got = D.mark_counts(rows, ["column"], {-1: F.col("m"), 0: F.col("b")})
+    assert {(r["i"], r["b"]): r["cnt"] for r in got.collect()} == {(-1, 0): 334, (-1, 1): 333, (-1, 2): 333, (0, 0): 5, (0, 1): 5}
+    plan = _plan(got)
+    assert plan.index("Generate explode") < plan.index("partial_count(1)")  # the plan reads from the last step to the first
+
+
+def test_outliers_are_counted_without_a_row_per_value(spark):
+    from lakeprobe.operators import checks as Q
+    nan, inf = float("nan"), float("inf")
+    names = [f"n{i}" for i in range(30)]
+    rows = [tuple(float(r * (i + 1)) for i in range(30)) for r in range(20)]
+    rows += [tuple([nan, inf, None, 1e9] + [-1e9] * 26)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = {r["column"]: r["outliers"] for r in Q.outlier_counts(df, "t").collect()}
+    assert got == {n: 0 if i in (0, 2) else 1 for i, n in enumerate(names)}
+    fences = spark.createDataFrame([(n, 0.0, 1.0) for n in names[1:]], "column string, lo double, hi double")
+    assert {r["column"]: r["outliers"] for r in Q._outside(df, names, fences).collect()}["n0"] == 0
+    assert "Generate explode" not in _plan(Q._outside(df, names, fences))
+
+
+def test_hash_sums_are_longs_and_tell_the_whole(spark):
+    from pyspark.sql import functions as F
+    from lakeprobe.operators import checks as Q
+    for h in (-2 ** 63, -1, 0, 2 ** 63 - 1, 1 << 44, 123456789012345678):
+        sums = spark.range(3).select(F.lit(h).cast("bigint").alias("h")).agg(*Q._hash_sums(F.col("h")))
+        assert {t for _, t in sums.dtypes} == {"bigint"}
+        a, b, c = sums.first()
+        assert (a << 44) + (b << 22) + c == 3 * h
