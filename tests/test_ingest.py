@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeprobe.operators.checks import dup_column_pairs
 from lakeprobe.operators.footers import coverage_of, footer_counts, footer_counts_of, pushed
-from lakeprobe.operators.profile import profile
+from lakeprobe.operators.profile import partials, profile
+from lakeprobe.plans import ingest
 from lakeprobe.plans.ingest import write_profiled
 from lakeprobe.sources.readers import infer_types, table
 
@@ -80,6 +81,21 @@ def test_observed_profile_is_the_profile(spark, tmp_path, name):
     assert back.columns == df.columns and sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
 
 
+def test_observed_dates_beyond_python(spark, tmp_path, monkeypatch):
+    """Digits that read as years after 9999 and before 1, to the ends of what a timestamp holds."""
+    rows = [("89999", "0000", "+294247-01-10 04:00:54.775807"), ("1209", "-0044-03-15", "12345-06-07 08:09:10.000001"), (None, None, None)]
+    df = spark.createDataFrame(rows, "late string, early string, t string")
+    df = df.withColumn("t", F.col("t").cast("timestamp_ntz")).withColumn("b", F.col("early").cast("timestamp_ntz"))
+    got = write_profiled(df, str(tmp_path / "t"), "t", AS_OF).collect()
+    assert sorted(got) == sorted(profile(df, "t", distinct=None, as_of=AS_OF).collect())
+    assert {r["column"]: (r["date_parsed"], r["future_dates"]) for r in got} == {"late": (2, 1), "early": (2, 0), "t": (None, 2), "b": (None, 0)}
+    # what merges over parts of a table comes back to the microsecond
+    monkeypatch.setattr(ingest, "finish_profile", lambda parts: parts)
+    seen, want = write_profiled(df, str(tmp_path / "u"), "t", AS_OF), partials(df, AS_OF)
+    text = lambda d: sorted(map(tuple, d.select("ordinal", F.col("last").cast("string"), F.col("layouts").cast("string")).collect()))
+    assert text(seen) == text(want) and seen.drop("unique_values", "dataset").schema.simpleString() == want.schema.simpleString()
+
+
 def test_observing_needs_no_second_scan(spark, tmp_path):
     reads = spark.sparkContext.accumulator(0)
     df = spark.range(1000).repartition(4).rdd.map(lambda r: (reads.add(1), (r[0], "2024-01-02"))[1]).toDF("k long, d string")
